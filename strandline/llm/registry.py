@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import packing, simhash
 
-QUERIES = {"op10_simhash": simhash.query}
+QUERIES = {"op9_packing": packing.query, "op10_simhash": simhash.query}
 ORACLE_SQL: dict[str, str] = {}
