@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, simhash
+from . import packing, quality_rules, simhash
 
-QUERIES = {"op9_packing": packing.query, "op10_simhash": simhash.query}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op8_quality_rules": quality_rules.query, "op9_packing": packing.query, "op10_simhash": simhash.query}
+ORACLE_SQL = {"op8_quality_rules": quality_rules.ORACLE_SQL}
