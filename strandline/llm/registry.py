@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from . import packing, quality_rules, simhash
+from . import line_dedup, packing, quality_rules, simhash
 
-QUERIES = {"op8_quality_rules": quality_rules.query, "op9_packing": packing.query, "op10_simhash": simhash.query}
-ORACLE_SQL = {"op8_quality_rules": quality_rules.ORACLE_SQL}
+QUERIES = {
+    "op6_line_dedup": line_dedup.query,
+    "op8_quality_rules": quality_rules.query,
+    "op9_packing": packing.query,
+    "op10_simhash": simhash.query,
+}
+ORACLE_SQL = {
+    "op6_line_dedup": line_dedup.ORACLE_SQL,
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
+}
