@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality_rules, simhash
+from . import line_dedup, packing, quality_rules, secrets, simhash
 
 QUERIES = {
+    "op4_secrets": secrets.query,
     "op6_line_dedup": line_dedup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_packing": packing.query,
     "op10_simhash": simhash.query,
 }
 ORACLE_SQL = {
+    "op4_secrets": secrets.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
