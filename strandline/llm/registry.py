@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import line_dedup, packing, quality_rules, secrets, simhash
+from . import embedding_dedup, line_dedup, packing, quality_rules, secrets, simhash, url_filter
 
 QUERIES = {
+    "op1_embedding_dedup": embedding_dedup.query,
     "op4_secrets": secrets.query,
+    "op5_url_filter": url_filter.query,
     "op6_line_dedup": line_dedup.query,
     "op8_quality_rules": quality_rules.query,
     "op9_packing": packing.query,
@@ -13,6 +15,7 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op4_secrets": secrets.ORACLE_SQL,
+    "op5_url_filter": url_filter.ORACLE_SQL,
     "op6_line_dedup": line_dedup.ORACLE_SQL,
     "op8_quality_rules": quality_rules.ORACLE_SQL,
 }
