@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_dedup, packing, quality_rules, secrets, simhash, url_filter
+from . import embedding_dedup, line_dedup, packing, quality_model, quality_rules, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
     "op4_secrets": secrets.query,
     "op5_url_filter": url_filter.query,
     "op6_line_dedup": line_dedup.query,
+    "op7_quality_model": quality_model.query,
     "op8_quality_rules": quality_rules.query,
     "op9_packing": packing.query,
     "op10_simhash": simhash.query,
