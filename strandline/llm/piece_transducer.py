@@ -28,14 +28,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks that a task remembers; beyond it the memory is emptied, nothing else changes.
-REMEMBERED = 400_000
+#: Chunks in each of the two generations that a task remembers; it only saves work.
+REMEMBERED = 250_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -112,10 +113,11 @@ class PieceTransducer:
                     self.arcs[p] = -1  # merging never makes it
         self.follows: dict[int, bool] = {}
         self.latest: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"latest": {}, "follows": {}}
+        return self.__dict__ | {"latest": {}, "older": {}, "follows": {}}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -190,29 +192,40 @@ class PieceTransducer:
         return self._back(text, came, by)
 
     def _constrained(self, chunk: str) -> tuple[int, ...]:
-        """Ids along the one path of a byte-pair model; by is -2 where no path has come, -1 after a fallback."""
+        """Ids along the one path of a byte-pair model; by is -2 where no path has come, -1 after a fallback.
+
+        Longest arcs first. All paths to a position but one break the constraint, so a position that
+        was left without reaching the end need never be entered again.
+        """
         n, arcs, follows = len(chunk), self.arcs.get, self.follows
         came, by = [0] * (n + 1), [-2] * (n + 1)
-        by[0] = -1
-        for at in range(n):
+        by[0], at, waiting = -1, 0, {}
+        while at < n:
+            found = waiting.get(at)
+            if found is None:
+                found = waiting[at] = []
+                for to in range(at + 1, n + 1):
+                    piece = arcs(chunk[at:to])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        found.append((to, piece))
+                if not found or found[0][0] != at + 1:
+                    found.insert(0, (at + 1, -1))
             last = by[at]
-            if last == -2:
-                continue
-            for to in range(at + 1, n + 1):
-                piece = arcs(chunk[at:to])
-                if piece is None:
-                    break
-                if piece < 0 or by[to] != -2:
+            while found:
+                to, piece = found.pop()
+                if by[to] != -2:
                     continue
-                if last >= 0:
+                if last >= 0 and piece >= 0:
                     ok = follows.get(last << 32 | piece)
-                    if ok is None:
-                        ok = self.may_follow(last, piece)
-                    if not ok:
+                    if not (self.may_follow(last, piece) if ok is None else ok):
                         continue
                 came[to], by[to] = at, piece
-            if by[at + 1] == -2 and arcs(chunk[at], -1) < 0:
-                came[at + 1], by[at + 1] = at, -1
+                at = to
+                break
+            else:
+                at = came[at]
         return self._back(chunk, came, by)
 
     def _back(self, text: str, came: list[int], by: list[int]) -> tuple[int, ...]:
@@ -257,9 +270,11 @@ class PieceTransducer:
             ids = latest.get(chunk)
             if ids is None:
                 if len(latest) >= REMEMBERED:
-                    latest.clear()
-                    self.follows.clear()
-                ids = self._chunk(chunk)
+                    self.older, self.latest = latest, {}
+                    latest = self.latest
+                    if len(self.follows) > 4 * REMEMBERED:
+                        self.follows.clear()
+                ids = self.older.get(chunk) or self._chunk(chunk)
                 latest[chunk] = ids
             out += ids
         return out
@@ -317,8 +332,6 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: PieceTransducer | None
             texts = [None if x is None else transducer.decode(x) for x in (v.as_py() for v in batch.column(ids_col))]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
-    from pyspark.sql import types as T
-
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
 
 
