@@ -305,10 +305,9 @@ def load(path: str | None = None) -> PieceTransducer:
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: PieceTransducer | None = None) -> DataFrame:
     """(id_col, ids) of every row. Null and empty texts have no ids; nulls in id_col are kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or load())
+    transducer = model or load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = sent.value
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -323,11 +322,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: PieceTransducer | None = None) -> DataFrame:
     """rows with a column ``decoded``; null ids decode to null. A column of that name is replaced."""
-    sent = rows.sparkSession.sparkContext.broadcast(model or load())
+    transducer = model or load()
     rows = rows.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        transducer = sent.value
         for batch in batches:
             texts = [None if x is None else transducer.decode(x) for x in (v.as_py() for v in batch.column(ids_col))]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
