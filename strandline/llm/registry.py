@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, line_dedup, packing, piece_transducer, quality_model, quality_rules, secrets, simhash, url_filter
+from . import embedding_dedup, line_dedup, masked_lm, packing, piece_transducer, quality_model, quality_rules, secrets, simhash, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
+    "op2_masked_lm": masked_lm.query,
     "op3_piece_transducer": piece_transducer.query,
     "op4_secrets": secrets.query,
     "op5_url_filter": url_filter.query,
