@@ -204,5 +204,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(of, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rest) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one whose id is the group's component_id.
+
+    Rows with a null id stay where nothing with an id is in their group. Of rows with a repeated id one stays.
+    """
+    found = written(near_duplicates(docs, id_col, text_col, **rest).select(F.col(id_col).alias("__kept"), "component_id"), "groups")
+    kept = found.where(F.col("__kept").eqNullSafe(F.col("component_id"))).select("__kept").distinct()
+    out = docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    repeated = found.groupBy("__kept").count().where("count > 1 and __kept is not null")
+    return out if repeated.isEmpty() else out.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.where(F.col(id_col).isNull()))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
