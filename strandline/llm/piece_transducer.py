@@ -14,14 +14,16 @@ follow another only if merging would leave the two side by side. Every prefix th
 has one path, the one that merging by rank gives, so one predecessor per position
 is enough and the ids are those of the reference encoder.
 
-No piece reaches over the start of a run of spaces, so texts are cut there and the
-chunks, mostly words, are looked up among the latest of the task.
+No piece reaches over the start of a run of spaces, nor, in many models, from a word
+into punctuation, so texts are cut there and the chunks, mostly words, are looked
+up among the latest of the task.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +37,8 @@ from .common import table
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Chunks in each of the two generations that a task remembers; it only saves work.
-REMEMBERED = 250_000
+#: Words and chunks in each generation that a task remembers; it only saves work.
+REMEMBERED = 200_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -91,6 +93,9 @@ class PieceTransducer:
         text_ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.unk = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
+        shown = ("" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(MARK, " ") if self.escape else p for p, k in zip(self.pieces, self.kinds, strict=True))
+        #: what each piece stands for when it is decoded
+        self.written = [bytes([int(p[3:5], 16)]) if k == BYTE else t.encode("utf-8", "replace") for p, k, t in zip(self.pieces, self.kinds, shown, strict=True)]
         #: prefix of a piece -> the piece's id, or -1 where only longer pieces begin so
         self.arcs: dict[str, int] = {}
         for p, i in text_ids.items():
@@ -114,10 +119,16 @@ class PieceTransducer:
         self.follows: dict[int, bool] = {}
         self.latest: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.chunks: dict[str, tuple[int, ...]] = {}
+        used = {chr(c) for c in range(128)}.union(*text_ids) - {MARK}
+        signs = "".join(sorted(c for c in used if unicodedata.category(c)[0] in "PSZC" or unicodedata.category(c) == "No"))
+        apart = not any((a in signs) != (b in signs) for p in text_ids for a, b in zip(p, p[1:]) if a != MARK)
+        signs = re.escape(signs)
+        #: chunks that no piece reaches across: runs of spaces with a word or, if pieces never mix them, with signs
+        self.cut = re.compile(f"{MARK}*[^{MARK}{signs}]+|{MARK}*[{signs}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"latest": {}, "older": {}, "follows": {}}
+        return self.__dict__ | {"latest": {}, "older": {}, "chunks": {}, "follows": {}}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -198,23 +209,25 @@ class PieceTransducer:
         was left without reaching the end need never be entered again.
         """
         n, arcs, follows = len(chunk), self.arcs.get, self.follows
-        came, by = [0] * (n + 1), [-2] * (n + 1)
-        by[0], at, waiting = -1, 0, {}
+        came, by, waiting = [0] * (n + 1), [-2] * (n + 1), [None] * n
+        by[0] = at = 0
+        last = -1
         while at < n:
-            found = waiting.get(at)
+            found = waiting[at]
             if found is None:
-                found = waiting[at] = []
-                for to in range(at + 1, n + 1):
+                found = waiting[at] = []  # piece and end in turn
+                to = at
+                while to < n:
+                    to += 1
                     piece = arcs(chunk[at:to])
                     if piece is None:
                         break
                     if piece >= 0:
-                        found.append((to, piece))
-                if not found or found[0][0] != at + 1:
-                    found.insert(0, (at + 1, -1))
-            last = by[at]
+                        found += (to, piece)
+                if not found or found[0] != at + 1:
+                    found[:0] = (at + 1, -1)
             while found:
-                to, piece = found.pop()
+                piece, to = found.pop(), found.pop()
                 if by[to] != -2:
                     continue
                 if last >= 0 and piece >= 0:
@@ -222,10 +235,11 @@ class PieceTransducer:
                     if not (self.may_follow(last, piece) if ok is None else ok):
                         continue
                 came[to], by[to] = at, piece
-                at = to
+                at, last = to, piece
                 break
             else:
                 at = came[at]
+                last = by[at] if at else -1
         return self._back(chunk, came, by)
 
     def _back(self, text: str, came: list[int], by: list[int]) -> tuple[int, ...]:
@@ -239,7 +253,7 @@ class PieceTransducer:
             else:
                 out.append(self.unk)
             at = came[at]
-        return tuple(reversed(out))
+        return tuple(out[::-1])
 
     def _run(self, n: int) -> tuple[int, ...]:
         """Ids of n space marks: equal ranks, so the leftmost pair merges first."""
@@ -264,34 +278,45 @@ class PieceTransducer:
         text = self.normalise(text)
         if self.kind != BPE:
             return list(self._shortest(text))
-        out: list[int] = []
-        latest = self.latest
-        for chunk in self.cut.findall(text):
-            ids = latest.get(chunk)
+        first, *words = text.split(MARK)
+        out = list(self._cut_up(first))
+        latest, older, run = self.latest, self.older, 0
+        for word in words:
+            if not word:
+                run += 1
+                continue
+            if run:
+                out += self._cut_up(MARK * (run + 1) + word)
+                run = 0
+                continue
+            ids = latest.get(word)
             if ids is None:
+                ids = latest[word] = older.get(word) or self._cut_up(MARK + word)
                 if len(latest) >= REMEMBERED:
                     self.older, self.latest = latest, {}
-                    latest = self.latest
-                    if len(self.follows) > 4 * REMEMBERED:
-                        self.follows.clear()
-                ids = self.older.get(chunk) or self._chunk(chunk)
-                latest[chunk] = ids
+                    latest, older = self.latest, self.older
+            out += ids
+        return out + list(self._run(run)) if run else out
+
+    def _cut_up(self, text: str) -> tuple[int, ...]:
+        """Ids of a run of marks and a word, chunk by chunk."""
+        out: tuple[int, ...] = ()
+        for chunk in self.cut.findall(text):
+            ids = self.chunks.get(chunk)
+            if ids is None:
+                if len(self.chunks) >= 2 * REMEMBERED:
+                    self.chunks = {}
+                if len(self.follows) >= 4 * REMEMBERED:
+                    self.follows.clear()
+                ids = self.chunks[chunk] = self._chunk(chunk)
             out += ids
         return out
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        if self.bytes and any(self.kinds[i] == BYTE for i in ids):
-            raw = b"".join(bytes([int(self.pieces[i][3:5], 16)]) if self.kinds[i] == BYTE else self._text(i).encode("utf-8", "replace") for i in ids)
-            text = raw.decode("utf-8", "replace")
-        else:
-            text = "".join(map(self._text, ids))
-        text = text.replace(MARK, " ") if self.escape else text
+        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
-    def _text(self, i: int) -> str:
-        return "" if self.kinds[i] == CONTROL else " ⁇ " if self.kinds[i] == UNKNOWN else self.pieces[i]
-
 
 def load(path: str | None = None) -> PieceTransducer:
     """Compiles a model file, by default the public one."""
