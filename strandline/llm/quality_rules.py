@@ -63,13 +63,13 @@ def line_fails(line: Column) -> Column:
     )
 
 
-def judged(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost: float = MAX_LOST) -> DataFrame:
-    """docs with one struct column ``quality``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+def judged(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT, max_lost: float = MAX_LOST, name: str = "quality") -> DataFrame:
+    """docs with one struct column, ``name``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, n_failed_lines, lost (share of the text's line characters), cleaned (text without failing
     lines), kept.
 
     Null texts count as empty; texts without words fail. Repeated rows are judged each for itself.
-    A column of docs that is called quality is replaced.
+    A column of docs of that name is replaced.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
 
@@ -94,13 +94,13 @@ def judged(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
     parts = docs.withColumns({"__w": _let(words_of(text), of_words), "__l": _let(F.split(text, "\n"), with_words), "__s": F.regexp_count(text, F.lit(SYMBOLS)).cast("long")})
     base_failed = (F.col("__w.n_words") < min_words) | (100 * F.col("__w.n_repeat_words") > max_repeat_percent * F.col("__w.n_words"))
     fields = [F.col("__w.n_words"), F.col("__w.word_chars"), F.col("__s").alias("n_symbols"), F.col("__l.n_dup_lines"), F.col("__w.n_repeat_words"), base_failed.alias("base_failed"), F.col("__l.of.n_failed_lines"), F.col("__l.of.lost"), F.col("__l.of.cleaned"), (~base_failed & (F.col("__l.of.lost") <= max_lost)).alias("kept")]
-    return parts.withColumn("quality", F.struct(*fields)).drop("__w", "__l", "__s")
+    return parts.withColumn(name, F.struct(*fields)).drop("__w", "__l", "__s")
 
 
 def clean(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
     """The documents that pass, with all their columns; their texts lose the failing lines."""
-    passed = judged(docs, text_col, **rules).where("quality.kept")
-    return passed.withColumn(text_col, F.col("quality.cleaned")).select(*docs.columns)
+    passed = judged(docs, text_col, name="__quality", **rules).where("__quality.kept")
+    return passed.withColumn(text_col, F.col("__quality.cleaned")).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

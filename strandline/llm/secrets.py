@@ -108,7 +108,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
     live = spans.select("doc_id", "text_hash", F.filter("spans", lambda x: x["live"]).alias("live")).where(F.size("live") > 0).dropDuplicates(["doc_id", "text_hash"])
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keyed = docs.withColumn("__hash", F.xxhash64(text))
-    joined = keyed.join(live, keyed[id_col].eqNullSafe(live["doc_id"]) & (keyed["__hash"] == live["text_hash"]), "left").select(*(keyed[c] for c in docs.columns), F.col("live").alias("__live"))
+    joined = keyed.join(live, keyed[id_col].eqNullSafe(live["doc_id"]) & (keyed["__hash"] == live["text_hash"]), "left").select(*(keyed[c] for c in docs.columns), live["live"].alias("__live"))
     whole = F.col(text_col).cast("string")
 
     def step(acc: Column, x: Column) -> Column:  # overlapping spans are masked once
