@@ -24,6 +24,7 @@ from __future__ import annotations
 import re
 import struct
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +38,8 @@ from .common import table
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words and chunks in each generation that a task remembers; it only saves work.
-REMEMBERED = 200_000
+#: Words, other chunks and pairs of pieces that a task remembers, so many of each; it only saves work.
+REMEMBERED = 400_000
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -98,6 +99,8 @@ class PieceTransducer:
         self.written = [bytes([int(p[3:5], 16)]) if k == BYTE else t.encode("utf-8", "replace") for p, k, t in zip(self.pieces, self.kinds, shown, strict=True)]
         #: prefix of a piece -> the piece's id, or -1 where only longer pieces begin so
         self.arcs: dict[str, int] = {}
+        #: the same as a tree: character -> (id or -1, the next characters)
+        self.tree: dict[str, tuple[int, dict]] = {}
         for p, i in text_ids.items():
             for n in range(1, len(p)):
                 self.arcs.setdefault(p[:n], -1)
@@ -116,10 +119,13 @@ class PieceTransducer:
             for p, i in text_ids.items():
                 if len(p) > 1 and p.strip(MARK) and not self._parts_of(i):
                     self.arcs[p] = -1  # merging never makes it
+        kids: dict[str, dict] = {"": self.tree}
+        for p in sorted(self.arcs):
+            kids[p] = {}
+            kids[p[:-1]][p[-1]] = (self.arcs[p], kids[p])
         self.follows: dict[int, bool] = {}
-        self.latest: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[int, ...]] = {}
+        self.latest: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
         used = {chr(c) for c in range(128)}.union(*text_ids) - {MARK}
         signs = "".join(sorted(c for c in used if unicodedata.category(c)[0] in "PSZC" or unicodedata.category(c) == "No"))
         apart = not any((a in signs) != (b in signs) for p in text_ids for a, b in zip(p, p[1:]) if a != MARK)
@@ -128,7 +134,7 @@ class PieceTransducer:
         self.cut = re.compile(f"{MARK}*[^{MARK}{signs}]+|{MARK}*[{signs}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"latest": {}, "older": {}, "chunks": {}, "follows": {}}
+        return self.__dict__ | {"latest": {}, "chunks": {}, "follows": {}}
 
     def normalise(self, text: str) -> str:
         if self.squeeze:
@@ -183,7 +189,8 @@ class PieceTransducer:
                 until, b = np.nextafter(self.rank[b], np.inf), pb[0]
             else:
                 break
-        self.follows[key] = ok
+        if len(self.follows) < REMEMBERED:
+            self.follows[key] = ok
         return ok
 
     def _shortest(self, text: str) -> tuple[int, ...]:
@@ -208,20 +215,21 @@ class PieceTransducer:
         Longest arcs first. All paths to a position but one break the constraint, so a position that
         was left without reaching the end need never be entered again.
         """
-        n, arcs, follows = len(chunk), self.arcs.get, self.follows
+        n, tree, follows = len(chunk), self.tree, self.follows
         came, by, waiting = [0] * (n + 1), [-2] * (n + 1), [None] * n
         by[0] = at = 0
         last = -1
         while at < n:
             found = waiting[at]
             if found is None:
-                found = waiting[at] = []  # piece and end in turn
-                to = at
-                while to < n:
-                    to += 1
-                    piece = arcs(chunk[at:to])
-                    if piece is None:
+                found = waiting[at] = []  # end and piece in turn
+                kids, to = tree, at
+                for c in chunk[at:]:
+                    node = kids.get(c)
+                    if node is None:
                         break
+                    piece, kids = node
+                    to += 1
                     if piece >= 0:
                         found += (to, piece)
                 if not found or found[0] != at + 1:
@@ -275,42 +283,58 @@ class PieceTransducer:
         return self._run(n) + rest[1:] if rest[0] == self.runs[1] else self._run(n - 1) + rest
 
     def encode(self, text: str) -> list[int]:
+        return self.encode_array(text).tolist()
+
+    def encode_array(self, text: str) -> np.ndarray:
+        """Ids of a text, 32 bits each."""
         text = self.normalise(text)
         if self.kind != BPE:
-            return list(self._shortest(text))
+            return np.array(self._shortest(text), "<i4")
         first, *words = text.split(MARK)
-        out = list(self._cut_up(first))
-        latest, older, run = self.latest, self.older, 0
+        if "" in words:
+            return np.frombuffer(b"".join([self._cut_up(first), *self._with_runs(words)]), "<i4")
+        found = list(map(self.latest.get, words))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self._word(words[i])
+        return np.frombuffer(b"".join([self._cut_up(first), *found]), "<i4")
+
+    def _with_runs(self, words: list[str]) -> Iterator[bytes]:
+        run = 0
         for word in words:
             if not word:
                 run += 1
-                continue
-            if run:
-                out += self._cut_up(MARK * (run + 1) + word)
+            elif run:
+                yield self._cut_up(MARK * (run + 1) + word)
                 run = 0
-                continue
-            ids = latest.get(word)
-            if ids is None:
-                ids = latest[word] = older.get(word) or self._cut_up(MARK + word)
-                if len(latest) >= REMEMBERED:
-                    self.older, self.latest = latest, {}
-                    latest, older = self.latest, self.older
-            out += ids
-        return out + list(self._run(run)) if run else out
-
-    def _cut_up(self, text: str) -> tuple[int, ...]:
-        """Ids of a run of marks and a word, chunk by chunk."""
-        out: tuple[int, ...] = ()
-        for chunk in self.cut.findall(text):
-            ids = self.chunks.get(chunk)
+            else:
+                yield self._word(word)
+        if run:
+            yield _packed(self._run(run))
+
+    def _word(self, word: str) -> bytes:
+        """The packed ids of a mark and a word; the first ones met, common words among them, are remembered."""
+        ids = self.latest.get(word)
+        if ids is None:
+            ids = self._cut_up(MARK + word)
+            if len(self.latest) < REMEMBERED:
+                self.latest[word] = ids
+        return ids
+
+    def _cut_up(self, text: str) -> bytes:
+        """Packed ids of a run of marks and a word, chunk by chunk; a chunk that is a word is remembered as one."""
+        found = self.cut.findall(text)
+        if len(found) == 1:
+            return _packed(self._chunk(text))
+        out = []
+        for chunk in found:
+            held, key = (self.latest, chunk[1:]) if chunk[0] == MARK and chunk[1:2] != MARK else (self.chunks, chunk)
+            ids = held.get(key)
             if ids is None:
-                if len(self.chunks) >= 2 * REMEMBERED:
-                    self.chunks = {}
-                if len(self.follows) >= 4 * REMEMBERED:
-                    self.follows.clear()
-                ids = self.chunks[chunk] = self._chunk(chunk)
-            out += ids
-        return out
+                ids = _packed(self._chunk(chunk))
+                if len(held) < REMEMBERED:
+                    held[key] = ids
+            out.append(ids)
+        return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
@@ -318,6 +342,10 @@ class PieceTransducer:
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
+def _packed(ids: tuple[int, ...]) -> bytes:
+    return array("i", ids).tobytes()
+
+
 def load(path: str | None = None) -> PieceTransducer:
     """Compiles a model file, by default the public one."""
     if path is None:
@@ -336,7 +364,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                ids = [np.array(transducer.encode(t.as_py() or ""), np.int32) for t in part.column(1)]
+                ids = [transducer.encode_array(t.as_py() or "") for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = np.concatenate(ids) if ids else np.array([], np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "ids"])
