@@ -13,6 +13,12 @@ KSCALE_EDGES = tuple(20**k for k in range(7) if k == 0 or 20 ** (k - 1) < 365 *
 LEAP_DAYS = (4199, 4564, 4929, 5660, 6574, 7305, 7670, 8217, 8582, 8947, 9496, 10043, 10592, 13149, 14245, 15522, 16617, 17167)
 
 
+def floor_div(a: Column, b: Column | int) -> Column:
+    """Whole part of a / b towards minus infinity, exact for longs (a double of a time in nanoseconds is not)."""
+    b = F.lit(b).cast("long") if isinstance(b, int) else b
+    return F.call_function("div", a - F.pmod(a, b), b)
+
+
 def ns_of(ts: Column) -> Column:
     """Of a timestamp without time zone, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts.cast("timestamp_ntz")) * 1000
@@ -20,7 +26,7 @@ def ns_of(ts: Column) -> Column:
 
 def ts_of(ns: Column) -> Column:
     """Timestamp without time zone, cut to microseconds."""
-    return F.timestamp_add("MICROSECOND", F.floor(ns / 1000).cast("long"), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.timestamp_add("MICROSECOND", floor_div(ns, 1000), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
 
 
 def kscale(length_ns: Column) -> Column:
@@ -43,8 +49,8 @@ def julian_day(ns: Column) -> Column:
 def time_to_str(ns: Column, digits: int = 3) -> Column:
     """``YYYY-MM-DD HH:MM:SS.fff`` with that many fractional digits, rounded half up."""
     step = 10 ** (9 - digits)
-    rounded = F.floor((ns + step // 2) / step).cast("long") * step if digits < 9 else ns
-    fraction = F.lpad(((F.pmod(rounded, F.lit(SECOND))) / step).cast("long").cast("string"), digits, "0")
+    rounded = floor_div(ns + step // 2, step) * step if digits < 9 else ns
+    fraction = F.lpad(floor_div(F.pmod(rounded, F.lit(SECOND)), step).cast("string"), digits, "0")
     head = F.date_format(ts_of(rounded - F.pmod(rounded, F.lit(SECOND))), "yyyy-MM-dd HH:mm:ss")
     return F.concat(head, F.lit("."), fraction) if digits else head
 
@@ -61,10 +67,10 @@ def str_to_time(text: Column) -> Column:
 
 def gps_utc_offset(ns: Column) -> Column:
     """Seconds that GPS time is ahead of UTC, from its start in 1980 on; null before."""
-    days = F.floor(ns / DAY)
+    days = floor_div(ns, DAY)
     return F.when(days >= 3657, sum(F.when(days >= d, 1).otherwise(0) for d in LEAP_DAYS))
 
 
 def nonempty_windows(tmin: Column, tmax: Column, tinc: int) -> Column:
     """Number of steps of tinc ns that cover [tmin, tmax), one at least; a millionth of a step is rounding."""
-    return F.greatest(F.lit(1), F.floor((tmax - tmin) / tinc - 1e-6) + 1).cast("int")
+    return F.greatest(F.lit(1), F.floor((tmax - tmin) / F.lit(tinc) - 1e-6) + 1).cast("int")

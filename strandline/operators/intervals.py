@@ -6,36 +6,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import KSCALE_EDGES, SECOND, kscale
+from ..functions.times import SECOND, floor_div
+
+
+#: Widths of the join's buckets, in seconds; the last is longer than any span that fits into 64 bits of nanoseconds.
+WIDTHS = tuple(20**k for k in range(9))
 
 
 def interval_join(content: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Pairs of a content row [tmin_ns, tmax_ns) and a query row [qmin_ns, qmax_ns) that overlap, with equal keys.
 
-    Content is filed by its length class, in buckets as wide as the class is long, so a row lies in two
-    at most; a query asks in every class for the buckets it covers. A pair that meets in several buckets
-    is kept in the latest of the first ones of both, so there are no repeats to remove. The longest class
-    has one bucket. Instants are spans of one nanosecond.
+    A row's class is the narrowest of WIDTHS that is as long as it is. Two rows meet in the buckets of
+    the wider of their classes, of which each touches two at most; so a row is filed under its own class
+    and under those wider ones that the other side has, never under many buckets. A pair that meets twice
+    is kept in the later of the first buckets of both, so there are no repeats to remove. Instants are
+    spans of one nanosecond.
     """
     keys = keys or []
-    top = len(KSCALE_EDGES)
-    widths = F.array(*(F.lit(e * SECOND) for e in KSCALE_EDGES))
-
-    def end(lo: Column, hi: Column) -> Column:
-        return F.greatest(hi, lo + 1)
-
-    c = content.withColumn("__k", kscale(end(F.col("tmin_ns"), F.col("tmax_ns")) - F.col("tmin_ns")))
-    w = F.when(F.col("__k") < top, F.get(widths, F.col("__k")))
-    c = c.withColumns({"__first": F.coalesce(F.floor(F.col("tmin_ns") / w), F.lit(0)), "__last": F.coalesce(F.floor((end(F.col("tmin_ns"), F.col("tmax_ns")) - 1) / w), F.lit(0))})
-    c = c.withColumn("__b", F.explode(F.sequence("__first", "__last")))
-    q = queries.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(top))))
-    w = F.when(F.col("__k") < top, F.get(widths, F.col("__k")))
-    q = q.withColumns({"__qfirst": F.coalesce(F.floor(F.col("qmin_ns") / w), F.lit(0)), "__qlast": F.coalesce(F.floor((end(F.col("qmin_ns"), F.col("qmax_ns")) - 1) / w), F.lit(0))})
-    q = q.withColumn("__b", F.explode(F.sequence("__qfirst", "__qlast")))
-    met = c.join(q, [*keys, "__k", "__b"])
-    exact = (F.col("tmin_ns") < end(F.col("qmin_ns"), F.col("qmax_ns"))) & (end(F.col("tmin_ns"), F.col("tmax_ns")) > F.col("qmin_ns"))
-    once = F.col("__b") == F.greatest("__first", "__qfirst")
-    return met.where(exact & once).drop("__k", "__b", "__first", "__last", "__qfirst", "__qlast")
+
+    def classed(df: DataFrame, lo: str, hi: str, k: str) -> DataFrame:
+        length = F.greatest(F.col(hi) - F.col(lo), F.lit(1))
+        of = F.lit(len(WIDTHS) - 1)
+        for i in reversed(range(len(WIDTHS) - 1)):
+            of = F.when(length <= WIDTHS[i] * SECOND, F.lit(i)).otherwise(of)
+        return df.withColumn(k, of)
+
+    c, q = classed(content, "tmin_ns", "tmax_ns", "__kc"), classed(queries, "qmin_ns", "qmax_ns", "__kq")
+    has_c, has_q = (sorted(r[0] for r in df.select(k).distinct().collect() if r[0] is not None) for df, k in ((c, "__kc"), (q, "__kq")))
+    if not has_c or not has_q:
+        has_c = has_q = [0]
+
+    def filed(df: DataFrame, lo: str, hi: str, k: str, other: list[int], first: str) -> DataFrame:
+        levels = F.array_distinct(F.concat(F.array(F.col(k)), F.filter(F.array(*map(F.lit, other)), lambda x: x > F.col(k))))
+        width = F.get(F.array(*(F.lit(w * SECOND if w * SECOND < 1 << 62 else 1 << 62).cast("long") for w in WIDTHS)), F.col("__k"))
+        out = df.withColumn("__k", F.explode(levels))
+        start, end = floor_div(F.col(lo), width), floor_div(F.greatest(F.col(hi), F.col(lo) + 1) - 1, width)
+        exact = out.withColumns({first: start, "__end": end})
+        return exact.withColumn("__b", F.explode(F.sequence(first, F.greatest("__end", first)))).drop("__end")
+
+    met = filed(c, "tmin_ns", "tmax_ns", "__kc", has_q, "__cf").join(filed(q, "qmin_ns", "qmax_ns", "__kq", has_c, "__qf"), [*keys, "__k", "__b"])
+    overlap = (F.col("tmin_ns") < F.greatest("qmax_ns", F.col("qmin_ns") + 1)) & (F.greatest("tmax_ns", F.col("tmin_ns") + 1) > F.col("qmin_ns"))
+    once = (F.col("__k") == F.greatest("__kc", "__kq")) & (F.col("__b") == F.greatest("__cf", "__qf"))
+    return met.where(overlap & once).drop("__k", "__b", "__kc", "__kq", "__cf", "__qf")
 
 
 def sweep(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -71,20 +83,30 @@ def split(spans: DataFrame, tmin: int, tmax: int) -> DataFrame:
     return spans.withColumn("__p", F.explode(F.array(left, right))).where("__p.lo < __p.hi").withColumns({"tmin_ns": F.col("__p.lo"), "tmax_ns": F.col("__p.hi")}).drop("__p")
 
 
+# Round durations in seconds up to two days.
+NICE = (1, 2, 5, 10, 20, 30, 60, 120, 300, 600, 1200, 1800, 3600, 7200, 10800, 21600, 43200, 86400, 172800)
+
+
+def nice_value(x: Column) -> Column:
+    """The 1, 2 or 5 times a power of ten that is nearest to x > 0, from 1.5, 3.5 and 7.5 on the next one."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(x)))
+    lead = x / power
+    return power * F.when(lead >= 7.5, 10).when(lead >= 3.5, 5).when(lead >= 1.5, 2).otherwise(1)
+
+
 def block_length(deltat: Column, n_samples: int = 100_000) -> Column:
-    """Seconds of a block of about n_samples: the largest of some round durations that is not longer."""
+    """Seconds of a block of about n_samples, a round duration."""
     want = deltat * n_samples
-    # Round durations in seconds.
-    out = F.lit(1)
-    for nice in (10, 60, 600, 3600, 21600, 86400, 864000):
-        out = F.when(want >= nice, F.lit(nice)).otherwise(out)
-    return out
+    out = F.lit(float(NICE[-1]))
+    for nice in reversed(NICE):
+        out = F.when(want <= nice, F.lit(float(nice))).otherwise(out)
+    return F.when(want < 1, nice_value(want)).when(want > 86400, nice_value(want / 86400) * 86400).otherwise(out)
 
 
 def blocks(spans: DataFrame, n_samples: int = 100_000) -> DataFrame:
     """spans with one row per block they touch: block_min_ns and block_max_ns, aligned to multiples of the block's length."""
-    length = block_length(F.col("deltat"), n_samples).cast("long") * SECOND
-    first, last = F.floor(F.col("tmin_ns") / length), F.ceil(F.col("tmax_ns") / length) - 1
+    length = F.rint(block_length(F.col("deltat"), n_samples) * SECOND).cast("long")
+    first, last = floor_div(F.col("tmin_ns"), length), floor_div(F.col("tmax_ns") - 1, length)
     return spans.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last)))).withColumns({"block_min_ns": F.col("__b") * length, "block_max_ns": (F.col("__b") + 1) * length}).drop("__b")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.times import floor_div
+
 
 def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], width: int) -> DataFrame:
     """df with a running sum per key for each (value column: name of its sum), in the order of a long column.
@@ -13,7 +15,7 @@ def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, st
     The order is cut into blocks of ``width``. Sums within a block are a window over (key, block); what
     lies before a block is a window over one row per (key, block). Rows of equal order share their sum.
     """
-    block = F.floor(F.col(order) / width).cast("long")
+    block = floor_div(F.col(order), width)
     parts = df.withColumn("__block", block)
     inside = W.partitionBy(*keys, "__block").orderBy(order).rangeBetween(W.unboundedPreceding, 0)
     before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)

@@ -188,7 +188,7 @@ def gaps(spark, d):
     return iv.gaps(tables.nuts(spark, d), ["codes"], Y1997, Y1999)
 
 
-@register("blocks", f"WITH {_N}, w AS (SELECT *, (CASE WHEN deltat * 100000 >= 86400 THEN 86400 ELSE 21600 END) * 1000000000::BIGINT AS w FROM nuts WHERE file_id % 50 = 0), b AS (SELECT codes, element, w, unnest(range(floor(tmin_ns / w)::BIGINT, greatest(ceil(tmax_ns / w)::BIGINT, floor(tmin_ns / w)::BIGINT + 1))) AS b FROM w) SELECT codes, element, b * w AS block_min_ns, (b + 1) * w AS block_max_ns FROM b")
+@register("blocks", f"WITH {_N}, w AS (SELECT *, (CASE WHEN deltat * 100000 <= 86400 THEN 1 WHEN deltat * 100000 / 86400 >= 3.5 THEN 5 WHEN deltat * 100000 / 86400 >= 1.5 THEN 2 ELSE 1 END) * 86400000000000::BIGINT AS w FROM nuts WHERE file_id % 50 = 0), b AS (SELECT codes, element, w, unnest(range(floor(tmin_ns / w)::BIGINT, greatest(ceil(tmax_ns / w)::BIGINT, floor(tmin_ns / w)::BIGINT + 1))) AS b FROM w) SELECT codes, element, b * w AS block_min_ns, (b + 1) * w AS block_max_ns FROM b")
 def blocks(spark, d):
     return iv.blocks(tables.nuts(spark, d).where("file_id % 50 = 0")).select("codes", "element", "block_min_ns", "block_max_ns")
 
