@@ -338,7 +338,11 @@ class PieceTransducer:
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        text = b"".join(map(self.written.__getitem__, ids)).decode("utf-8", "replace")
+        return self.shown(b"".join(map(self.written.__getitem__, ids)))
+
+    def shown(self, written: bytes) -> str:
+        """The text of what pieces have written: without the dummy prefix."""
+        text = written.decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -379,8 +383,17 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: PieceTransducer | None
     rows = rows.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written = pa.array(transducer.written, pa.large_binary())
         for batch in batches:
-            texts = [None if x is None else transducer.decode(x) for x in (v.as_py() for v in batch.column(ids_col))]
+            column = batch.column(ids_col)
+            ends = column.offsets.to_numpy()
+            first = int(ends[0])
+            taken = written.take(column.values.slice(first, int(ends[-1]) - first))  # all texts of the batch, one after the other
+            places = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset :]
+            data = taken.buffers()[2]
+            data = memoryview(data) if data is not None else memoryview(b"")
+            cuts = places[ends - first].tolist() if len(taken) else [0] * len(ends)
+            texts = [None if gone else transducer.shown(bytes(data[s:e])) for s, e, gone in zip(cuts, cuts[1:], column.is_null().to_pylist(), strict=False)]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))
