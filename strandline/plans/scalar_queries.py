@@ -37,8 +37,8 @@ _COS = f"least(1.0, sin(radians({LAT0})) * sin(radians(lat)) + cos(radians({LAT0
 _AZI = f"degrees(atan2(cos(radians({LAT0})) * cos(radians(lat)) * sin(radians(lon - {LON0})), sin(radians(lat)) - sin(radians({LAT0})) * {_COS}))"
 _BAZ = f"degrees(atan2(cos(radians(lat)) * cos(radians({LAT0})) * sin(radians({LON0} - lon)), sin(radians({LAT0})) - sin(radians(lat)) * {_COS}))"
 _DIST = f"""g AS (SELECT *, radians(({LAT0} + lat) / 2) AS ff, radians(({LAT0} - lat) / 2) AS gg, radians(({LON0} - lon) / 2) AS hh FROM places),
-sc AS (SELECT *, pow(sin(gg), 2) * pow(cos(hh), 2) + pow(cos(ff), 2) * pow(sin(hh), 2) AS s, pow(cos(gg), 2) * pow(cos(hh), 2) + pow(sin(ff), 2) * pow(sin(hh), 2) AS c FROM g), wr AS (SELECT *, atan(sqrt(s / c)) AS w, sqrt(s * c) / atan(sqrt(s / c)) AS r FROM sc),
-dist AS (SELECT *, 2 * w * 6378140.0 * (1 + (1 / 298.257223563) * ((3 * r - 1) / (2 * c) * pow(sin(ff), 2) * pow(cos(gg), 2) - (3 * r + 1) / (2 * s) * pow(cos(ff), 2) * pow(sin(gg), 2))) AS dist FROM wr)"""
+sc AS (SELECT *, pow(sin(gg), 2) * pow(cos(hh), 2) + pow(cos(ff), 2) * pow(sin(hh), 2) AS s, pow(cos(gg), 2) * pow(cos(hh), 2) + pow(sin(ff), 2) * pow(sin(hh), 2) AS c FROM g), wr AS (SELECT *, atan(sqrt(s / c)) AS om, sqrt(s * c) / atan(sqrt(s / c)) AS r FROM sc),
+dist AS (SELECT *, 2 * om * 6378140.0 * (1 + (1 / 298.257223563) * ((3 * r - 1) / (2 * c) * pow(sin(ff), 2) * pow(cos(gg), 2) - (3 * r + 1) / (2 * s) * pow(cos(ff), 2) * pow(sin(gg), 2))) AS dist FROM wr)"""
 
 
 @register("geo_azimuths", f"WITH {_P} SELECT place, round({_COS}, 6) + 0.0 AS cosdelta, round({_AZI}, 6) + 0.0 AS azi, round({_BAZ}, 6) + 0.0 AS bazi FROM places")
