@@ -15,7 +15,7 @@ def cheby1(order: int, ripple_db: float, corner: float) -> tuple[np.ndarray, np.
     """Chebyshev low-pass with that ripple in the pass band."""
     eps = np.sqrt(10 ** (0.1 * ripple_db) - 1)
     mu = np.arcsinh(1 / eps) / order
-    theta = np.pi * (2 * np.arange(1, order + 1) - 1) / (2 * order)
+    theta = np.pi * np.arange(1 - order, order, 2) / (2 * order)
     poles = -np.sinh(mu + 1j * theta)
     gain = np.prod(-poles).real / (np.sqrt(1 + eps * eps) if order % 2 == 0 else 1)
     return _digital(poles, gain, [corner], "lowpass")
