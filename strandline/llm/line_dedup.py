@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_CHARS, ascii_lower, shared_dir, table
+from .common import SPACE_CHARS, ascii_lower, shared_dir, table, written
 
 MIN_DOCS, MIN_CHARS, BATCHES, FANOUT = 5, 40, 4, 4
 KEY = ("h1", "h2")
@@ -95,7 +95,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     runs = LineRuns(spark, fanout=fanout)
     for b in range(batches):
         runs.add(seen.where(F.col("batch") == b))
-    doomed = runs.known().where(F.col("n_docs") >= min_docs).hint("merge")
+    doomed = written(runs.known().where(F.col("n_docs") >= min_docs), "doomed").hint("merge")  # read back, so that a hot line's side can be split
     lost = seen.join(doomed, list(KEY)).where(~F.col("doc_id").eqNullSafe(F.col("last_doc"))).groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("__lost"))
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     keyed = docs.withColumns({"__id": docs[id_col].cast("long"), "__hash": F.xxhash64(text)})
