@@ -94,7 +94,8 @@ def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, **columns) -> DataFrame:
     """
     found = found_in(docs, **columns)
     each = found.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("x")).select("doc_id", "text_hash", "x.*")
-    judged = each.join(ownership(found), "hash").withColumn("live", F.col("n_owners") <= max_owners).where((F.col("kind") < 3) | F.col("live"))
+    owned = written(ownership(found), "owned")  # read back, so that a hot value's side of the join can be split
+    judged = each.join(owned, "hash").withColumn("live", F.col("n_owners") <= max_owners).where((F.col("kind") < 3) | F.col("live"))
     of = judged.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end", "hash", "n_docs", "n_repos", "n_owners", "live"))).alias("judged"))
     rows = found.select("doc_id", "text_hash")
     return rows.join(of, rows["doc_id"].eqNullSafe(of["doc_id"]) & (rows["text_hash"] == of["text_hash"]), "left").select(
