@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star joins.
 
 Each round is two joins on a node's smallest neighbour; the neighbour minimum is a
-partially aggregated group, the join back is one that adaptive execution splits
-when a node has very many neighbours. Rounds are written to the shared folder, so
+partially aggregated group, written and read back, so that adaptive execution can split
+the join when a node has very many neighbours. Rounds are written to the shared folder, so
 lineage stays short; nothing but two counters reaches the driver.
 """
 
@@ -20,7 +20,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = edges
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # read back, so that the join's side of a node with very many neighbours can be split
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     moved = both.join(least, "u")
     if large:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -30,6 +30,8 @@ from .components import connected_components
 
 #: Node pairs that are held at once while a trie is traversed; the rest wait on a stack.
 CHUNK = 1 << 18
+#: Distinct fingerprints of a front block beyond which it is dealt out by a second block.
+CROWD = 1 << 18
 #: Node pairs with so few fingerprint pairs below are compared directly.
 SMALL = 32
 
@@ -140,29 +142,62 @@ def _blocks(budget: int) -> list[tuple[int, int]]:
     return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def fingerprint_links(fps: DataFrame, rep: str = "rep", fp: str = "fp", budget: int = 4) -> DataFrame:
-    """(a, b): links between the rows of distinct fingerprints, a spanning forest of those of each front block."""
+def _behind(key, front: int, lo: int):
+    """A key whose bits behind the front are turned left by lo."""
+    low = F.shiftrightunsigned(F.shiftleft(key, front), front)
+    turned = F.shiftleft(low, lo).bitwiseOR(F.shiftrightunsigned(low, 64 - front - lo)) if lo else low
+    return key.bitwiseXOR(low).bitwiseOR(F.shiftrightunsigned(F.shiftleft(turned, front), front))
+
+
+def dealt_keys(fps: DataFrame, rep: str, fp: str, budget: int, crowd: int) -> DataFrame:
+    """(rep, r, q, front, width, key): every fingerprint in every rotation, by the ``width`` bits that links must agree in.
+
+    The front is one block. Nodes with over ``crowd`` fingerprints are dealt out once more: what differs
+    lies in the bits behind the front, of which one of budget + 1 blocks is equal again (q).
+    """
     blocks = _blocks(budget)
 
     def turn(x, by: int):
         return x if by == 0 else F.shiftleft(x, by).bitwiseOR(F.shiftrightunsigned(x, 64 - by))
 
-    turns = F.array(*(F.struct(F.lit(r).alias("r"), F.shiftrightunsigned(turn(F.col(fp), lo), 64 - size).alias("front"), turn(F.col(fp), lo).alias("key")) for r, (lo, size) in enumerate(blocks)))
-    dealt = fps.select(F.col(rep).alias("rep"), F.explode(turns).alias("t")).select("rep", "t.*").repartition("r", "front").sortWithinPartitions("r", "front")
+    turns = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(size).alias("width"), F.shiftrightunsigned(turn(F.col(fp), lo), 64 - size).alias("front"), turn(F.col(fp), lo).alias("key")) for r, (lo, size) in enumerate(blocks)))
+    one = fps.select(F.col(rep).alias("rep"), F.explode(turns).alias("t")).select("rep", "t.*")
+    crowds = written(one.groupBy("r", "front").count().where(F.col("count") > crowd).select("r", "front", F.lit(True).alias("crowded")), "crowds")
+    if crowds.isEmpty():
+        return one.withColumn("q", F.lit(0))
+    again = None
+    for r, (_, size) in enumerate(blocks):
+        edges = [round(x) for x in np.linspace(0, 64 - size, budget + 2)]
+        seconds = F.array(*(F.struct(F.lit(q + 1).alias("q"), F.lit(size + hi - lo).alias("width"), _behind(F.col("key"), size, lo).alias("key")) for q, (lo, hi) in enumerate(zip(edges, edges[1:]))))
+        again = F.when(F.col("r") == r, seconds) if again is None else again.when(F.col("r") == r, seconds)
+    marked = one.join(crowds, ["r", "front"], "left")
+    calm = marked.where("crowded is null").select("rep", "r", F.lit(0).alias("q"), "width", "front", "key")
+    split = marked.where("crowded").select("rep", "r", F.explode(again).alias("s")).select("rep", "r", "s.q", "s.width", "s.key")
+    fronts = F.when(F.lit(False), F.lit(0).cast("long"))
+    for width in sorted({size + hi - lo for _, size in blocks for e in [[round(x) for x in np.linspace(0, 64 - size, budget + 2)]] for lo, hi in zip(e, e[1:])}):
+        fronts = fronts.when(F.col("width") == width, F.shiftrightunsigned("key", 64 - width))
+    return calm.unionByName(split.withColumn("front", fronts))
+
+
+def fingerprint_links(fps: DataFrame, rep: str = "rep", fp: str = "fp", budget: int = 4, crowd: int = CROWD) -> DataFrame:
+    """(a, b): links between the rows of distinct fingerprints, a spanning forest of those of each front block."""
+    node = ["r", "q", "front"]
+    dealt = dealt_keys(fps, rep, fp, budget, crowd).select(*node, "width", "rep", "key").repartition(*node).sortWithinPartitions(*node)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
 
         def links(t: pa.Table) -> pa.RecordBatch:
-            r, reps, keys = (t.column(c).to_numpy() for c in ("r", "rep", "key"))
+            kind = t.column("r").to_numpy().astype(np.int64) << 8 | t.column("q").to_numpy()
+            reps, keys, widths = (t.column(c).to_numpy() for c in ("rep", "key", "width"))
             a, b = [], []
-            for one in np.unique(r):
-                own = r == one
+            for one in np.unique(kind):
+                own = kind == one
                 k, who = keys[own].view(np.uint64), reps[own]
                 order = np.argsort(k)
                 k, who = k[order], who[order]
-                up = trie_links(k, blocks[one][1], budget)
+                up = trie_links(k, int(widths[own][0]), budget)
                 linked = np.flatnonzero(up != np.arange(len(up)))
                 a.append(who[up[linked]])
                 b.append(who[linked])
@@ -176,8 +211,11 @@ def fingerprint_links(fps: DataFrame, rep: str = "rep", fp: str = "fp", budget:
             if rows < 1 << 17:
                 continue
             t = pa.Table.from_batches(held)
-            r, front = t.column("r").to_numpy(), t.column("front").to_numpy()
-            cut = int(np.flatnonzero((r != r[-1]) | (front != front[-1]))[-1] + 1) if (r[0], front[0]) != (r[-1], front[-1]) else 0
+            last = np.ones(t.num_rows, bool)
+            for c in node:
+                v = t.column(c).to_numpy()
+                last &= v == v[-1]
+            cut = int(np.flatnonzero(~last)[-1] + 1) if not last.all() else 0
             if cut:
                 yield links(t.slice(0, cut))
                 held = t.slice(cut).to_batches()

@@ -136,6 +136,26 @@ def test_simhash(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_crowded_blocks(spark):
+    """A node that is dealt out twice gives the same components."""
+    rng = np.random.default_rng(11)
+    keys = []
+    for b in rng.integers(0, 1 << 63, 12, dtype=np.uint64):
+        x = int(b)
+        for _ in range(40):
+            y = x
+            for bit in rng.choice(64, rng.integers(0, 5), replace=False):
+                y ^= 1 << int(bit)
+            keys.append(y)
+            x = y if rng.random() < 0.3 else x
+    keys = sorted(set(keys))
+    df = spark.createDataFrame([(i, k - (1 << 64) if k >> 63 else k) for i, k in enumerate(keys)], "rep long, fp long")
+    want = find([(i, j) for i in range(len(keys)) for j in range(i) if (keys[i] ^ keys[j]).bit_count() <= 4], range(len(keys)))
+    for crowd in (1 << 20, 5):
+        got = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(df, crowd=crowd), "a", "b").collect()}
+        assert {i: got.get(i, i) for i in want} == want
+
+
 def test_simhash_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
