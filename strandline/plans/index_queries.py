@@ -111,10 +111,10 @@ def index_counts(spark, d):
     return ix.counts(tables.nuts(spark, d))
 
 
-@register("time_span", f"WITH {_E} SELECT true AS tight, min(tmin_ns) AS tmin_ns, max(tmax_ns) AS tmax_ns FROM epochs UNION ALL SELECT false, min(tmin_ns), NULL FROM epochs")
+@register("time_span", f"WITH {_E} SELECT true AS tight, min(tmin_ns) AS tmin_ns, max(tmax_ns) AS tmax_ns FROM epochs UNION ALL SELECT false, min(tmin_ns), -1 FROM epochs")
 def time_span(spark, d):
     e = tables.epochs(spark, d)
-    return ix.time_span(e).select(F.lit(True).alias("tight"), "*").unionAll(ix.time_span(e, tight=False).select(F.lit(False).alias("tight"), "*"))
+    return ix.time_span(e).select(F.lit(True).alias("tight"), "*").unionAll(ix.time_span(e, tight=False).select(F.lit(False).alias("tight"), "tmin_ns", F.coalesce("tmax_ns", F.lit(-1)).alias("tmax_ns")))
 
 
 @register("kind_mask", f"WITH {_N} SELECT kind, count(*) AS n, sum((tmax_ns - tmin_ns) // {DAY})::BIGINT AS days FROM nuts WHERE kind IN ('waveform', 'response') GROUP BY kind")
@@ -157,11 +157,11 @@ def index_diff(spark, d):
     return ix.diff(old, new, ["file_id", "element"])
 
 
-@register("index_sync", "WITH a AS (SELECT 'f' || o_orderkey AS path, o_orderkey::DOUBLE AS mtime, o_custkey AS size FROM orders WHERE o_orderkey % 4 <> 0), b AS (SELECT 'f' || o_orderkey AS path, o_orderkey::DOUBLE + (CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) AS mtime, o_custkey AS size FROM orders WHERE o_orderkey % 5 <> 0) SELECT path, b.mtime AS mtime, b.size AS size, CASE WHEN b.mtime IS NULL THEN -1 WHEN a.mtime = b.mtime AND a.size = b.size THEN 2 ELSE 0 END AS state FROM a FULL JOIN b USING (path)")
+@register("index_sync", "WITH a AS (SELECT 'f' || o_orderkey AS path, o_orderkey::DOUBLE AS mtime, o_custkey AS size FROM orders WHERE o_orderkey % 4 <> 0), b AS (SELECT 'f' || o_orderkey AS path, o_orderkey::DOUBLE + (CASE WHEN o_orderkey % 6 = 0 THEN 1 ELSE 0 END) AS mtime, o_custkey AS size FROM orders WHERE o_orderkey % 5 <> 0) SELECT path, coalesce(b.mtime, -1) AS mtime, coalesce(b.size, -1) AS size, CASE WHEN b.mtime IS NULL THEN -1 WHEN a.mtime = b.mtime AND a.size = b.size THEN 2 ELSE 0 END AS state FROM a FULL JOIN b USING (path)")
 def index_sync(spark, d):
     o = tables.read(spark, d, "orders").select(F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").cast("double").alias("mtime"), F.col("o_custkey").alias("size"), "o_orderkey")
     now = o.where("o_orderkey % 5 <> 0").withColumn("mtime", F.col("mtime") + F.when(F.col("o_orderkey") % 6 == 0, 1).otherwise(0))
-    return ix.sync(o.where("o_orderkey % 4 <> 0"), now.drop("o_orderkey"))
+    return ix.sync(o.where("o_orderkey % 4 <> 0"), now.drop("o_orderkey")).fillna(-1, ["mtime", "size"])
 
 
 @register("archives_merge", """WITH a AS (SELECT DISTINCT o_custkey AS k, 1 AS in_a FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k, 1 AS in_b FROM orders WHERE o_orderstatus = 'O')

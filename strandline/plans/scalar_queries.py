@@ -130,7 +130,7 @@ def event_filter(spark, d):
 @register("time_starts", f"WITH {_N}, t AS (SELECT file_id, element, tmin_ns + 4711123456789 AS t, make_timestamp((tmin_ns + 4711123456789) // 1000) AS ts FROM nuts) SELECT file_id, element, epoch_us(date_trunc('hour', ts)) * 1000 AS hour, epoch_us(date_trunc('day', ts)) * 1000 AS day, epoch_us(date_trunc('month', ts)) * 1000 AS month, epoch_us(date_trunc('year', ts)) * 1000 AS year, dayofyear(ts) AS julian FROM t")
 def time_starts(spark, d):
     n = tables.nuts(spark, d).withColumn("t", F.col("tmin_ns") + 4_711_123_456_789)
-    return n.select("file_id", "element", *(T.start_of(F.col("t"), u).alias(u) for u in ("hour", "day", "month", "year")), T.julian_day(F.col("t")).alias("julian"))
+    return n.select("file_id", "element", *(T.start_of(F.col("t"), u).alias(u) for u in ("hour", "day", "month", "year")), T.julian_day(F.col("t")).cast("long").alias("julian"))
 
 
 @register("time_strings", f"WITH {_N}, t AS (SELECT file_id, element, tmin_ns + 4711123456789 AS t FROM nuts) SELECT file_id, element, strftime(make_timestamp(t // 1000000000 * 1000000), '%Y-%m-%d %H:%M:%S') || '.123' AS ms, strftime(make_timestamp(t // 1000000000 * 1000000), '%Y-%m-%d %H:%M:%S') || '.123456789' AS ns, t AS parsed FROM t")
@@ -157,9 +157,9 @@ def byte_sizes(spark, d):
     return tables.read(spark, d, "orders").select("o_orderkey", n.alias("n")).where(S.human_bytesize(F.col("n")).isNotNull())
 
 
-@register("fixed_width", "SELECT c_custkey, c_custkey AS k, left(c_mktsegment, 4) AS seg, CASE WHEN c_nationkey < 10 THEN NULL ELSE c_nationkey END AS nation FROM customer")
+@register("fixed_width", "SELECT c_custkey, c_custkey AS k, left(c_mktsegment, 4) AS seg, CASE WHEN c_nationkey < 10 THEN -1 ELSE c_nationkey END AS nation FROM customer")
 def fixed_width(spark, d):
     c = tables.read(spark, d, "customer")
     nation = F.when(F.col("c_nationkey") < 10, F.lit("  ")).otherwise(F.col("c_nationkey").cast("string"))
     line = F.concat(F.lpad(F.col("c_custkey").cast("string"), 9, " "), F.lit("--"), F.rpad(F.substring("c_mktsegment", 1, 4), 6, " "), F.lpad(nation, 3, " "))
-    return c.select("c_custkey", *S.fixed_width(line, [("k", 9, "long"), ("", 2, ""), ("seg", 6, "string"), ("nation", 3, "int")]))
+    return c.select("c_custkey", *S.fixed_width(line, [("k", 9, "long"), ("", 2, ""), ("seg", 6, "string"), ("nation", 3, "int")])).fillna(-1, ["nation"])

@@ -42,7 +42,7 @@ SELECT trace_id, tmin_ns + a * 500000000 AS tmin_ns, b - a AS n, round(list_sum(
 def trace_chop(spark, d):
     Y, TMIN, DT = _cols()
     c = A.chop(TMIN, DT, Y, F.lit(T0 + 20_300_000_000), F.lit(T0 + 41_900_000_000))
-    return tables.traces(spark, d).withColumn("c", c).where("c is not null").select("trace_id", "c.tmin_ns", F.size("c.ydata").alias("n"), r6(A.total(F.col("c.ydata"))).alias("total"))
+    return tables.traces(spark, d).withColumn("c", c).where("c is not null").select("trace_id", "c.tmin_ns", F.size("c.ydata").cast("long").alias("n"), r6(A.total(F.col("c.ydata"))).alias("total"))
 
 
 @register("trace_sample_at", f"""WITH {_T}, x AS (SELECT trace_id, ydata, (({T0} + 30200000000 - tmin_ns) / 5e8) AS x FROM traces) SELECT trace_id, round(ydata[floor(x)::INT + 1] + (x - floor(x)) * (ydata[least(floor(x)::INT + 2, 64)] - ydata[floor(x)::INT + 1]), 6) + 0.0 AS linear, round(ydata[round_even(x, 0)::INT + 1], 6) + 0.0 AS nearest FROM x WHERE x >= 0 AND x <= 63""")
@@ -66,7 +66,7 @@ def trace_extend(spark, d):
     lo, hi = F.lit(T0 + 4_000_000_000), F.lit(T0 + 60_000_000_000)
     e = {f: A.extend(TMIN, DT, Y, lo, hi, f) for f in ("zeros", "repeat", "mean", "median")}
     t = tables.traces(spark, d).where("trace_id < 40").withColumns({f"e_{k}": v for k, v in e.items()})
-    return t.select("trace_id", "e_zeros.tmin_ns", F.size("e_zeros.ydata").alias("n"), *(r6(A.total(F.col(f"e_{k}.ydata"))).alias(n) for k, n in (("zeros", "zeros"), ("repeat", "repeats"), ("mean", "means"), ("median", "medians"))))
+    return t.select("trace_id", "e_zeros.tmin_ns", F.size("e_zeros.ydata").cast("long").alias("n"), *(r6(A.total(F.col(f"e_{k}.ydata"))).alias(n) for k, n in (("zeros", "zeros"), ("repeat", "repeats"), ("mean", "means"), ("median", "medians"))))
 
 
 @register("trace_shift_snap", f"WITH {_T} SELECT trace_id, tmin_ns + 130000000 AS shifted, (round_even((tmin_ns + 130000000) / 5e8, 0)::BIGINT) * 500000000 AS snapped FROM traces")
@@ -231,7 +231,7 @@ def peaks(spark, d):
 SELECT iwin, string_split(codes, '.')[1] || '.' || string_split(codes, '.')[2] AS "group", count(*) AS n, sum((least(tmax_ns, wmax_ns + {T.DAY}) - greatest(tmin_ns, wmin_ns - {T.DAY})) // 1000000000)::BIGINT AS seconds FROM nuts JOIN w ON tmin_ns < wmax_ns + {T.DAY} AND tmax_ns > wmin_ns - {T.DAY} GROUP BY ALL""")
 def chopper(spark, d):
     out = wn.chopper(tables.nuts(spark, d), Y1997, JUN98, 30 * T.DAY, T.DAY, grouping="station")
-    return out.groupBy("iwin", "group").agg(F.count("*").alias("n"), F.sum(F.floor((F.col("cut_max_ns") - F.col("cut_min_ns")) / T.SECOND)).alias("seconds"))
+    return out.groupBy(F.col("iwin").cast("long").alias("iwin"), "group").agg(F.count("*").alias("n"), F.sum(F.floor((F.col("cut_max_ns") - F.col("cut_min_ns")) / T.SECOND)).alias("seconds"))
 
 
 @register("window_list", f"SELECT k::INT AS iwin, {Y1997 // (7 * T.DAY) * 7 * T.DAY} + k * {7 * T.DAY} AS wmin_ns, {Y1997 // (7 * T.DAY) * 7 * T.DAY} + (k + 1) * {7 * T.DAY} AS wmax_ns FROM range(0, {-(-Y1999 // (7 * T.DAY)) - Y1997 // (7 * T.DAY)}) t(k)")
