@@ -11,15 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star operation over (u, v) with u > v: every node's chosen neighbours are moved to its smallest one."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """One star operation over (u, v) with u > v: every node's chosen neighbours are moved to its smallest one.
+
+    Also returns the written table of smallest neighbours that it reads.
+    """
+    both = edges.select("u", "v")
     if large:
-        both = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        both = edges
+        both = both.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     # read back, so that the join's side of a node with very many neighbours can be split
     least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     moved = both.join(least, "u")
@@ -27,7 +29,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         out = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(least.select("u", F.col("m").alias("v")))
-    return out.where("u > v").distinct()
+    return out.where("u > v").distinct(), least
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -43,5 +45,9 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if check == mark or check[0] == 0:
             break
         mark = check
-        now = written(_star(_star(now, True), False), "edges")
+        large, least = _star(now, True)
+        large = written(large, "edges")
+        small, smallest = _star(large, False)
+        before, now = now, written(small, "edges")
+        discard(before, least, large, smallest)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
