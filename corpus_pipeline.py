@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import line_dedup, packing, quality_rules, secrets, simhash
-from strandline.llm.common import table, written
+from strandline.llm.common import discard, table, written
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -58,6 +58,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    for i, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if i:
+            discard(before)  # all that came from it is written
     return STAGES[-1][1](spark, docs, sf_dir)
