@@ -234,3 +234,30 @@ def deconvolve(a: np.ndarray, b: np.ndarray, water: float) -> np.ndarray:
     fa, fb = np.fft.rfft(a, n), np.fft.rfft(b, n)
     power = np.abs(fb) ** 2
     return np.fft.irfft(fa * fb.conj() / np.maximum(power, water * power.max()), n)[: len(a)]
+
+
+def stretch(y: np.ndarray, at: np.ndarray, half: int = 32) -> np.ndarray:
+    """Samples of each row at fractional places, by a sinc under a Blackman-Nuttall window."""
+    whole = np.floor(at).astype(int)
+    k = np.arange(-half + 1, half + 1)
+    x = at[:, None] - (whole[:, None] + k)
+    w = np.clip((x + half) / (2 * half), 0, 1)
+    window = 0.3635819 - 0.4891775 * np.cos(2 * np.pi * w) + 0.1365995 * np.cos(4 * np.pi * w) - 0.0106411 * np.cos(6 * np.pi * w)
+    weights = np.sinc(x) * window
+    index = np.clip(whole[:, None] + k, 0, y.shape[1] - 1)
+    return np.einsum("nik,ik->ni", y[:, index], weights)
+
+
+def delay(a: np.ndarray, b: np.ndarray, dt: float, span: tuple[float, float] = (0.3, 0.45)) -> tuple[float, float, float]:
+    """By how many seconds b is later than a: by whole samples from the correlation, then by the median phase slope of a
+    band (in parts of the sampling rate). Also the correlation coefficient and the spread of the slopes."""
+    c, first = correlate(a - a.mean(), b - b.mean(), "full", normal=True)
+    k = first + int(c.argmax())
+    x, y = (a[: len(a) - k], b[k:]) if k >= 0 else (a[-k:], b[: len(b) + k])
+    n = min(len(x), len(y))
+    m = next_pow2(n)
+    f = np.fft.rfftfreq(m, dt)
+    band = (f > span[0] / dt) & (f < span[1] / dt)
+    p, q = np.fft.rfft(x[:n], m)[band], np.fft.rfft(y[:n], m)[band]
+    rest = -np.angle(q * p.conj()) / (2 * np.pi * f[band])
+    return k * dt + float(np.median(rest)), float(c.max()), float(rest.std())

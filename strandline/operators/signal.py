@@ -182,3 +182,33 @@ def correlate(pairs: DataFrame, mode: str = "full", normal: bool = False) -> Dat
 
 def deconvolve(pairs: DataFrame, water: float) -> DataFrame:
     return pairwise(pairs, lambda a, b, dt: K.deconvolve(a, b, water), "c")
+
+
+def antidrift(traces: DataFrame, true_start: str, true_end: str) -> DataFrame:
+    """traces resampled from the times their clocks showed to true ones: the columns give the true times of the first and
+    the last sample; out comes the same interval over the true span."""
+    step = F.rint(F.col("deltat") * 1e9)
+    drifted = (F.col(true_end) - F.col(true_start)) / ((F.size("ydata") - 1) * step)  # true length of a sample
+    schema = traces.schema
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for y, r in zip(batch.column("ydata").to_pylist(), batch.column("__drift").to_pylist(), strict=True):
+                if not y or len(y) < 2 or not r:
+                    out.append(y)
+                    continue
+                n = int(np.floor((len(y) - 1) * r + 1e-9)) + 1
+                out.append(K.stretch(np.array([y], float), np.arange(n) / r)[0])
+            at = names.index("ydata")
+            kept = [pa.array(out, pa.list_(pa.float64())) if i == at else batch.column(n) for i, n in enumerate(names)]
+            yield pa.RecordBatch.from_arrays(kept, names=names)
+
+    moved = traces.withColumn("tmin_ns", F.col(true_start)).withColumn("__drift", drifted)
+    return moved.mapInArrow(run, schema)
+
+
+def delays(pairs: DataFrame, span: tuple[float, float] = (0.3, 0.45)) -> DataFrame:
+    """pairs with ``delay`` as an array: seconds that yb is later than ya, the correlation and the spread."""
+    return pairwise(pairs, lambda a, b, dt: np.array(K.delay(a, b, dt, span)), "delay")

@@ -8,6 +8,7 @@ from ..functions import arrays as A
 from ..functions import scalars as S
 from ..operators import archive as ar
 from ..operators import mechanisms as me
+from ..operators import metadata as md
 from ..operators import signal as sg
 from . import tables
 from .trace_queries import T0, r6
@@ -138,3 +139,62 @@ def convert_archive(spark, d):
     w = ar.waveforms(_laid(spark, d), T0, T0 + 128 * 10**9, ["XX.*"])
     out = sg.downsample(sg.bandpass(w, 0.05, 0.3), 2)
     return out.select(F.regexp_replace("codes", r"^XX\.", "YY.").alias("codes"), "tmin_ns", "deltat", F.size("ydata").alias("n"), r6(A.total(F.col("ydata"))).alias("total"))
+
+
+@register("constraints", "WITH o AS (SELECT o_custkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE epoch_us(o_orderdate) * 1000 END AS a, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE epoch_us(o_orderdate) * 1000 + 86400000000000 END AS b FROM orders) SELECT k, coalesce(CASE WHEN bool_or(a IS NULL) THEN NULL ELSE min(a) END, -1) AS tmin_ns, coalesce(CASE WHEN bool_or(b IS NULL) THEN NULL ELSE max(b) END, -1) AS tmax_ns FROM o GROUP BY k")
+def constraints(spark, d):
+    from ..functions.times import DAY, ns_of
+
+    o = tables.read(spark, d, "orders")
+    t = ns_of(F.col("o_orderdate"))
+    spans = o.select(F.col("o_custkey").alias("k"), F.when(F.col("o_orderkey") % 11 != 0, t).alias("tmin_ns"), F.when(F.col("o_orderkey") % 13 != 0, t + DAY).alias("tmax_ns"))
+    return md.hull(spans, ["k"]).fillna(-1)
+
+
+@register("orientations", "SELECT p_partkey, round(sin(radians((p_partkey * 7) % 360)) * cos(radians((p_partkey * 11) % 181 - 90)), 6) + 0.0 AS e, round(cos(radians((p_partkey * 7) % 360)) * cos(radians((p_partkey * 11) % 181 - 90)), 6) + 0.0 AS n, round(-sin(radians((p_partkey * 11) % 181 - 90)), 6) + 0.0 AS u FROM part")
+def orientations(spark, d):
+    k = F.col("p_partkey")
+    return tables.read(spark, d, "part").select("p_partkey", *(r6(c).alias(n) for c, n in zip(md.orientation(k * 7 % 360, k * 11 % 181 - 90), "enu", strict=True)))
+
+
+@register("station_tree", f"WITH {_N}, c AS (SELECT DISTINCT string_split(codes, '.')[1] AS network, string_split(codes, '.')[2] AS station, codes, tmin_ns, tmax_ns FROM nuts WHERE kind = 'channel') SELECT network, count(DISTINCT station) AS n_stations, count(*) AS n_channels FROM c GROUP BY network")
+def station_tree(spark, d):
+    tree = md.station_tree(tables.nuts(spark, d).where("kind = 'channel'"))
+    n = F.aggregate("stations", F.lit(0), lambda a, s: a + F.size(s["channels"]))
+    return tree.select("network", F.size("stations").cast("long").alias("n_stations"), n.cast("long").alias("n_channels"))
+
+
+@register("timing_table", """WITH p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist FROM customer WHERE c_custkey < 60) SELECT pair, round(depth * 0.2 + dist * 0.13, 6) + 0.0 AS t FROM p""")
+def timing_table(spark, d):
+    """A travel-time table that is linear between its points, so that interpolation is exact."""
+    k = F.col("c_custkey")
+    p = tables.read(spark, d, "customer").where(k < 60).select(k.alias("pair"), (k * 7 % 41).cast("double").alias("depth"), (k * 13 % 201 + 100).cast("double").alias("dist"), F.lit("P").alias("phase"))
+    grid = spark.range(25).select(F.lit("P").alias("phase"), F.floor(F.col("id") / 5).alias("i0"), (F.col("id") % 5).alias("i1")).withColumn("t", F.col("i0") * 10 * 0.2 + (F.col("i1") * 50 + 100) * 0.13)
+    out = md.interpolate(p, grid, [("depth", 0.0, 10.0, 5), ("dist", 100.0, 50.0, 5)], "t", ["phase"])
+    return out.select("pair", r6(F.col("t")).alias("t"))
+
+
+@register("homogeneous_set", f"WITH {_T}, s AS (SELECT trace_id // 20 AS k, trace_id, tmin_ns, ydata FROM traces), r AS (SELECT k, max(tmin_ns) AS lo, min(tmin_ns + 31500000000) AS hi FROM s GROUP BY k) SELECT trace_id, lo AS tmin_ns, (hi - lo) // 500000000 + 1 AS n, round(list_sum(ydata[(lo - tmin_ns) // 500000000 + 1:(hi - tmin_ns) // 500000000 + 1]), 6) + 0.0 AS total FROM s JOIN r USING (k) WHERE lo <= hi")
+def homogeneous_set(spark, d):
+    t = tables.traces(spark, d).withColumn("k", F.floor(F.col("trace_id") / 20))
+    return md.homogeneous(t, ["k"]).select("trace_id", "tmin_ns", F.size("ydata").cast("long").alias("n"), r6(A.total(F.col("ydata"))).alias("total"))
+
+
+@register("stations_thinned", None)
+def stations_thinned(spark, d):
+    return md.thin_out(tables.places(spark, d), "lat", "lon", "w", 10.0).select("place", "lat", "lon")
+
+
+@register("dispersion", "WITH p AS (SELECT c_mktsegment AS region, c_acctbal AS a, c_nationkey::DOUBLE AS b FROM customer) SELECT region, 'a' AS a, 'b' AS b, round(covar_samp(a, b), 4) + 0.0 AS covariance, round(corr(a, b), 6) + 0.0 AS correlation FROM p GROUP BY region")
+def dispersion(spark, d):
+    c = tables.read(spark, d, "customer").select(F.col("c_mktsegment").alias("region"), F.col("c_acctbal").alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+    out = md.dispersion(c, ["a", "b"], ["region"]).where("a <> b")
+    return out.select("region", "a", "b", (F.round("covariance", 4) + 0.0).alias("covariance"), r6(F.col("correlation")).alias("correlation"))
+
+
+@register("clock_drift", None)
+def clock_drift(spark, d):
+    """Clocks that run fast by a thousandth."""
+    t = tables.traces(spark, d).withColumn("end_ns", (F.col("tmin_ns") + 63 * 500_500_000).cast("long"))
+    out = sg.antidrift(t, "tmin_ns", "end_ns")
+    return out.select("trace_id", F.size("ydata").alias("n"), r6(A.total(F.col("ydata"))).alias("total"))

@@ -245,3 +245,60 @@ def test_archive(spark, tmp_path):
     back = tables.read_archive(spark, str(tmp_path / "arc"))
     assert sorted(r["ydata"] for r in back.collect()) == [[1, 2], [3, 4, 5]]
     assert [r["ydata"] for r in joining.degap(back.select(*df.columns), ["codes"]).collect()] == [[1, 2, 3, 4, 5]]
+
+
+def test_stretch_and_delay(spark):
+    t = np.arange(300)
+    y = np.sin(2 * np.pi * t / 20)
+    at = np.linspace(60, 240, 500)
+    assert np.allclose(K.stretch(y[None], at)[0], np.sin(2 * np.pi * at / 20), atol=1e-4)
+    assert np.allclose(K.stretch(y[None], t.astype(float))[0], y)
+    x = np.random.default_rng(1).standard_normal(2000)
+    late = K.stretch(x[None], np.arange(2000) - 7.3)[0]
+    d, c, spread = K.delay(x, late, 0.1)
+    assert d == pytest.approx(0.73, abs=0.01) and c > 0.5
+    df = frame(spark, [("a", 0, y)]).withColumn("end_ns", F.col("tmin_ns") + 299 * 501_000_000)
+    r = signal.antidrift(df, "tmin_ns", "end_ns").first()
+    inner = np.arange(60, 240)
+    assert np.allclose(np.array(r["ydata"])[inner], np.sin(2 * np.pi * inner * 0.5 / 0.501 / 20), atol=1e-4)
+
+
+def test_pole_zero_files(spark, tmp_path):
+    from strandline.operators import metadata
+
+    (tmp_path / "a.pz").write_text("* comment\nZEROS 3\n-1.0 2.0\nPOLES 2\n-0.2 0.2\n-0.2 -0.2\nCONSTANT 1.5e3\n")
+    r = metadata.read_pole_zero_files(spark, str(tmp_path)).first()
+    assert [(z["re"], z["im"]) for z in r["zeros"]] == [(-1.0, 2.0), (0.0, 0.0), (0.0, 0.0)]
+    assert [(p["re"], p["im"]) for p in r["poles"]] == [(-0.2, 0.2), (-0.2, -0.2)] and r["gain"] == 1500.0
+
+
+def test_station_text_round_trip(spark, tmp_path):
+    from strandline.operators import metadata
+
+    df = spark.createDataFrame([("XX", "AA", "", 1.5, -2.0, 3.0, 0.0, "a b"), ("XX", "BB", "10", 0.0, 0.0, 1.0, 2.0, None)], "network string, station string, location string, lat double, lon double, elevation double, depth double, description string")
+    metadata.write_stations_text(df, str(tmp_path / "out"))
+    back = tables.read_stations_text(spark, str(tmp_path / "out")).orderBy("station").collect()
+    assert [(r["station"], r["location"], r["lat"], r["description"]) for r in back] == [("AA", "", 1.5, "a b"), ("BB", "10", 0.0, "")]
+
+
+def test_contains(spark):
+    from strandline.operators import metadata
+
+    df = spark.createDataFrame([(1, 9, 2, 8), (1, 9, 0, 8), (None, 9, None, 9), (None, None, 1, None), (1, None, None, 5), (1, 9, 2, None)], "a long, b long, c long, d long")
+    assert [r[0] for r in df.select(metadata.contains(*map(F.col, "abcd"))).collect()] == [True, False, True, True, False, False]
+
+
+def test_kagan_angle():
+    from strandline.operators import mechanisms as M
+
+    rng = np.random.default_rng(2)
+    m6 = rng.standard_normal((40, 6))
+    a = M.matrices(m6)
+    assert np.allclose(M.kagan_angle(a, a), 0, atol=1e-3)
+    axis = np.array([0, 0, 1.0])
+    for deg in (10, 35):
+        c, s = np.cos(np.radians(deg)), np.sin(np.radians(deg))
+        r = np.array([[c, -s, 0], [s, c, 0], [0, 0, 1]])
+        assert np.allclose(M.kagan_angle(a, r @ a @ r.T), deg, atol=1e-4) and axis @ r @ axis == 1
+    parts = M.decompose(a)
+    assert np.allclose(parts[:, 0], parts[:, 1] + parts[:, 2]) and np.allclose(parts[:, 2], parts[:, 3] + parts[:, 4]) and (parts >= -1e-12).all()
