@@ -22,8 +22,9 @@ def glob_to_regex(pattern: str, ignore_case: bool = False) -> str:
         elif c == "?":
             out.append(".")
         elif end > 0:
-            inner = pattern[i + 1 : end].replace("\\", "\\\\")
-            out.append("[" + ("^" + inner[1:] if inner[0] == "!" else inner) + "]")
+            negated = pattern[i + 1] == "!"
+            inner = re.sub(r"([\[\]\\^&~])", r"\\\1", pattern[i + 1 + negated : end])
+            out.append(f"[{'^' * negated}{inner}]")
             i = end
         else:
             out.append(re.sub(r"([\\.^$|()\[\]{}+*?])", r"\\\1", c))
