@@ -3,15 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import DAY
-from .intervals import sweep
-from .prefix import running_sum
-
-#: Width of the blocks that running sums are dealt out by.
-BLOCK = 365 * DAY
+from .intervals import BLOCK, sweep
+from .prefix import running_sum, with_next
 
 
 def coverage(spans: DataFrame, keys: list[str], tmin: int | None = None, tmax: int | None = None, block: int = BLOCK) -> DataFrame:
@@ -34,10 +29,10 @@ def coverage(spans: DataFrame, keys: list[str], tmin: int | None = None, tmax: i
     return out.dropDuplicates([*keys, "t_ns"])
 
 
-def spans_of(steps: DataFrame, keys: list[str]) -> DataFrame:
+def spans_of(steps: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, tmin_ns, tmax_ns, count): stretches of equal positive count."""
-    order = W.partitionBy(*keys).orderBy("t_ns")
-    return steps.select(*keys, F.col("t_ns").alias("tmin_ns"), F.lead("t_ns").over(order).alias("tmax_ns"), "count").where("count > 0 and tmax_ns is not null")
+    following = with_next(steps.select(*keys, "t_ns", "count"), keys, "t_ns", "tmax_ns", block)
+    return following.select(*keys, F.col("t_ns").alias("tmin_ns"), "tmax_ns", "count").where("count > 0 and tmax_ns is not null")
 
 
 def total(steps: DataFrame, keys: list[str]) -> DataFrame:
@@ -50,16 +45,16 @@ def uncovered_by(a: DataFrame, b: DataFrame, keys: list[str], block: int = BLOCK
     steps = sweep(a, keys).select(*keys, "t_ns", F.col("step").alias("in_a"), F.lit(0).cast("long").alias("in_b")).unionByName(sweep(b, keys).select(*keys, "t_ns", F.lit(0).cast("long").alias("in_a"), F.col("step").alias("in_b")))
     merged = steps.groupBy(*keys, "t_ns").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
     both = running_sum(merged, keys, "t_ns", {"in_a": "n_a", "in_b": "n_b"}, block)
-    order = W.partitionBy(*keys).orderBy("t_ns")
-    bare = ((F.col("n_a") > 0) & (F.col("n_b") == 0)).cast("int")
-    marked = both.select(*keys, "t_ns", bare.alias("bare")).withColumn("before", F.lag("bare", 1, 0).over(order)).where("bare <> before")
-    return marked.select(*keys, F.col("t_ns").alias("tmin_ns"), F.lead("t_ns").over(order).alias("tmax_ns"), "bare").where("bare = 1").drop("bare")
+    bare = (F.col("n_a") > 0) & (F.col("n_b") == 0)
+    before = (F.col("n_a") - F.col("in_a") > 0) & (F.col("n_b") - F.col("in_b") == 0)
+    turns = both.withColumn("bare", bare).where(bare != before).select(*keys, "t_ns", "bare")
+    following = with_next(turns, keys, "t_ns", "tmax_ns", block)
+    return following.where("bare").select(*keys, F.col("t_ns").alias("tmin_ns"), "tmax_ns")
 
 
-def contiguous(steps: DataFrame, keys: list[str], tmin: int, tmax: int) -> DataFrame:
+def contiguous(steps: DataFrame, keys: list[str], tmin: int, tmax: int, block: int = BLOCK) -> DataFrame:
     """(keys, count): the count if it is the same all over [tmin, tmax), else -1."""
-    order = W.partitionBy(*keys).orderBy("t_ns")
-    held = steps.withColumn("until", F.lead("t_ns").over(order)).where((F.col("t_ns") < tmax) & (F.coalesce("until", F.lit(tmax)) > tmin))
+    held = with_next(steps.select(*keys, "t_ns", "count"), keys, "t_ns", "until", block).where((F.col("t_ns") < tmax) & (F.coalesce("until", F.lit(tmax)) > tmin))
     whole = held.groupBy(*keys).agg(F.min("count").alias("lo"), F.max("count").alias("hi"), F.min("t_ns").alias("first"))
     return whole.select(*keys, F.when(F.col("first") > tmin, F.when(F.col("hi") == 0, F.col("hi")).otherwise(-1)).when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("count"))
 

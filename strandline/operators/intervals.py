@@ -6,7 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.times import SECOND, floor_div
+from ..functions.times import DAY, SECOND, floor_div
+from .prefix import running_sum, with_next
+
+#: Width of the blocks of time that running sums are dealt out by.
+BLOCK = 365 * DAY
 
 
 #: Widths of the join's buckets, in seconds; the last is longer than any span that fits into 64 bits of nanoseconds.
@@ -57,23 +61,35 @@ def sweep(spans: DataFrame, keys: list[str]) -> DataFrame:
     return up.unionAll(down).groupBy(*keys, "t_ns").agg(F.sum("step").cast("long").alias("step")).where("step <> 0")
 
 
-def merge_spans(spans: DataFrame, keys: list[str], tolerance: int = 0) -> DataFrame:
-    """Maximal spans of overlapping or adjacent ones, up to a gap of tolerance ns: gaps and islands."""
-    order = W.partitionBy(*keys).orderBy("tmin_ns", "tmax_ns")
-    reach = F.max("tmax_ns").over(order.rowsBetween(W.unboundedPreceding, -1))
-    fresh = (reach.isNull() | (F.col("tmin_ns") > reach + tolerance)).cast("int")
-    marked = spans.select(*keys, "tmin_ns", "tmax_ns", fresh.alias("__new"))
-    islands = marked.withColumn("__island", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return islands.groupBy(*keys, "__island").agg(F.min("tmin_ns").alias("tmin_ns"), F.max("tmax_ns").alias("tmax_ns")).drop("__island")
+def islands(spans: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
+    """(keys, t_ns, tmax_ns, island): the starts and ends of spans, with the number of the run of overlapping or touching
+    ones they belong to, and the largest end of those that start there.
+
+    The count of open spans and the number of a run are running sums by blocks of time, so that a key with
+    very many spans is dealt out.
+    """
+    up = spans.select(*keys, F.col("tmin_ns").alias("t_ns"), F.lit(1).alias("step"), "tmax_ns")
+    down = spans.select(*keys, F.greatest("tmax_ns", F.col("tmin_ns") + 1).alias("t_ns"), F.lit(-1).alias("step"), F.lit(None).cast("long").alias("tmax_ns"))
+    steps = up.unionAll(down).groupBy(*keys, "t_ns").agg(F.sum("step").cast("long").alias("step"), F.max("tmax_ns").alias("tmax_ns"))
+    counted = running_sum(steps, keys, "t_ns", {"step": "open"}, block)
+    starts = counted.withColumn("starts", ((F.col("open") > 0) & (F.col("open") == F.col("step"))).cast("long"))
+    return running_sum(starts, keys, "t_ns", {"starts": "island"}, block).select(*keys, "t_ns", "tmax_ns", "island", "starts")
+
+
+def merge_spans(spans: DataFrame, keys: list[str], tolerance: int = 0, block: int = BLOCK) -> DataFrame:
+    """Maximal spans of overlapping or adjacent ones, up to a gap of tolerance ns; an instant reaches to the next nanosecond."""
+    longer = spans.withColumn("tmax_ns", F.col("tmax_ns") + tolerance)
+    runs = islands(longer, keys, block).groupBy(*keys, "island").agg(F.min("t_ns").alias("tmin_ns"), (F.max("tmax_ns") - tolerance).alias("tmax_ns"))
+    return runs.drop("island")
 
 
-def gaps(spans: DataFrame, keys: list[str], tmin: int, tmax: int) -> DataFrame:
+def gaps(spans: DataFrame, keys: list[str], tmin: int, tmax: int, block: int = BLOCK) -> DataFrame:
     """Parts of [tmin, tmax) that no span of a key covers."""
     own = spans.where((F.col("tmin_ns") < tmax) & (F.col("tmax_ns") > tmin)).select(*keys, F.greatest("tmin_ns", F.lit(tmin)).alias("tmin_ns"), F.least("tmax_ns", F.lit(tmax)).alias("tmax_ns"))
-    edges = spans.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(tmin), F.lit(tmax))).alias("tmin_ns")).withColumn("tmax_ns", F.col("tmin_ns"))
-    merged = merge_spans(own.unionByName(edges), keys)
-    order = W.partitionBy(*keys).orderBy("tmin_ns")
-    return merged.select(*keys, F.col("tmax_ns").alias("gap_min_ns"), F.lead("tmin_ns").over(order).alias("gap_max_ns")).where("gap_max_ns > gap_min_ns")
+    edges = spans.select(*keys).distinct().select(*keys, F.explode(F.array(F.lit(tmin - 1), F.lit(tmax))).alias("tmin_ns")).withColumn("tmax_ns", F.col("tmin_ns") + 1)
+    merged = merge_spans(own.unionByName(edges), keys, block=block)
+    following = with_next(merged, keys, "tmin_ns", "gap_max_ns", block)
+    return following.select(*keys, F.col("tmax_ns").alias("gap_min_ns"), "gap_max_ns").where("gap_max_ns > gap_min_ns")
 
 
 def split(spans: DataFrame, tmin: int, tmax: int) -> DataFrame:

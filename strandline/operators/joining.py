@@ -14,15 +14,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.arrays import step_ns, tmax_ns
+from .intervals import islands, merge_spans
 
 
-def islands(traces: DataFrame, keys: list[str], reach: int) -> DataFrame:
-    """traces with a number ``island`` per key: a new one where the next trace starts over ``reach`` samples behind all before it."""
-    order = W.partitionBy(*keys).orderBy("tmin_ns")
-    end = F.max(F.col("__end")).over(order.rowsBetween(W.unboundedPreceding, -1))
-    ends = traces.withColumn("__end", tmax_ns(F.col("tmin_ns"), F.col("deltat"), F.col("ydata")))
-    fresh = ends.withColumn("__new", (end.isNull() | (F.col("tmin_ns") > end + (reach + 1) * step_ns(F.col("deltat")))).cast("int"))
-    return fresh.withColumn("island", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0))).drop("__end", "__new")
+def with_islands(traces: DataFrame, keys: list[str], reach: int) -> DataFrame:
+    """traces with a number ``island`` per key: a new one where the next trace starts over ``reach`` samples behind all before it.
+
+    Runs are found from times alone, dealt out by blocks of time; samples meet the numbers in a join.
+    """
+    times = traces.select(*keys, "tmin_ns", (tmax_ns(F.col("tmin_ns"), F.col("deltat"), F.col("ydata")) + (reach + 1) * step_ns(F.col("deltat"))).alias("tmax_ns"))
+    numbers = islands(times, keys).where("tmax_ns is not null").select(*keys, F.col("t_ns").alias("tmin_ns"), "island")
+    return traces.join(numbers, [*keys, "tmin_ns"])
 
 
 def _fold(traces: DataFrame, keys: list[str], reach: int, kernel) -> DataFrame:
@@ -38,7 +40,7 @@ def _fold(traces: DataFrame, keys: list[str], reach: int, kernel) -> DataFrame:
         cols = [pa.array([t.column(k)[0].as_py()] * len(out), t.schema.field(k).type) for k in group]
         return pa.Table.from_arrays([*cols, pa.array([a for a, _ in out], pa.int64()), pa.array([y for _, y in out], pa.list_(pa.float64()))], names=schema.names)
 
-    return islands(kept, group, reach).groupBy(*group, "island").applyInArrow(lambda t: run(t.drop_columns("island")), schema)
+    return with_islands(kept, group, reach).select(*group, "tmin_ns", "ydata", "island").groupBy(*group, "island").applyInArrow(lambda t: run(t.drop_columns("island")), schema)
 
 
 def degap(traces: DataFrame, keys: list[str], maxgap: int = 5, fill: str = "interpolate", overlap: str = "use_second", maxlap: int | None = None) -> DataFrame:
@@ -128,11 +130,9 @@ def deoverlap(traces: DataFrame, keys: list[str], precedence: str = "longest") -
 def merge_archives(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Traces of both archives, those of a winning where they overlap, then joined where they meet."""
     cols = [*keys, "deltat", "tmin_ns", "ydata"]
-    spans = a.select(*keys, "deltat", F.col("tmin_ns").alias("lo"), tmax_ns(F.col("tmin_ns"), F.col("deltat"), F.col("ydata")).alias("hi"))
-    merged = W.partitionBy(*keys, "deltat").orderBy("lo")
-    reach = F.max("hi").over(merged.rowsBetween(W.unboundedPreceding, -1))
-    marked = spans.withColumn("n", (reach.isNull() | (F.col("lo") > reach + step_ns(F.col("deltat")))).cast("int")).withColumn("n", F.sum("n").over(merged.rowsBetween(W.unboundedPreceding, 0)))
-    covered = marked.groupBy(*keys, "deltat", "n").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy(*keys, "deltat").agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("__taken"))
+    group = [*keys, "deltat"]
+    spans = a.select(*group, "tmin_ns", (tmax_ns(F.col("tmin_ns"), F.col("deltat"), F.col("ydata")) + step_ns(F.col("deltat"))).alias("tmax_ns"))
+    covered = merge_spans(spans, group).groupBy(*group).agg(F.sort_array(F.collect_list(F.struct(F.col("tmin_ns").alias("lo"), (F.col("tmax_ns") - step_ns(F.col("deltat"))).alias("hi")))).alias("__taken"))
     step = step_ns(F.col("deltat"))
     timed = b.select(*cols).join(covered, [*keys, "deltat"], "left")
     free = F.transform("ydata", lambda v, i: ~F.exists(F.coalesce("__taken", F.array().cast("array<struct<lo:bigint,hi:bigint>>")), lambda s: (F.col("tmin_ns") + i * step >= s["lo"]) & (F.col("tmin_ns") + i * step <= s["hi"])))

@@ -1,4 +1,4 @@
-"""Running sums over long ordered groups that no single task has to hold."""
+"""Running sums and successors over long ordered groups that no single task has to hold."""
 
 from __future__ import annotations
 
@@ -24,3 +24,18 @@ def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, st
     summed = parts.select("*", *(F.sum(v).over(inside).alias(f"__in_{n}") for v, n in values.items()))
     on = [summed[k].eqNullSafe(offsets[k]) for k in keys] + [summed["__block"] == offsets["__block"]]
     return summed.join(offsets, on).select(*(summed[c] for c in df.columns), *((F.col(f"__in_{n}") + F.col(f"__off_{n}")).alias(n) for n in values.values()))
+
+
+def with_next(df: DataFrame, keys: list[str], order: str, name: str, width: int) -> DataFrame:
+    """df with the next larger value of its order column per key, null after the last; orders are distinct per key.
+
+    Within a block it is a window over (key, block); for a block's last row it is the first order of the
+    next block that has rows, a window over one row per (key, block).
+    """
+    parts = df.withColumn("__block", floor_div(F.col(order), width))
+    inside = W.partitionBy(*keys, "__block").orderBy(order)
+    firsts = parts.groupBy(*keys, "__block").agg(F.min(order).alias("__first"))
+    following = firsts.select(*keys, "__block", F.lead("__first").over(W.partitionBy(*keys).orderBy("__block")).alias("__then"))
+    led = parts.withColumn("__in", F.lead(order).over(inside))
+    on = [led[k].eqNullSafe(following[k]) for k in keys] + [led["__block"] == following["__block"]]
+    return led.join(following, on).select(*(led[c] for c in df.columns), F.coalesce("__in", "__then").alias(name))
