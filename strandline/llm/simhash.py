@@ -165,18 +165,18 @@ def dealt_keys(fps: DataFrame, rep: str, fp: str, budget: int, crowd: int) -> Da
     crowds = written(one.groupBy("r", "front").count().where(F.col("count") > crowd).select("r", "front", F.lit(True).alias("crowded")), "crowds")
     if crowds.isEmpty():
         return one.withColumn("q", F.lit(0))
-    again = None
+    again = F.lit(None)
     for r, (_, size) in enumerate(blocks):
-        edges = [round(x) for x in np.linspace(0, 64 - size, budget + 2)]
-        seconds = F.array(*(F.struct(F.lit(q + 1).alias("q"), F.lit(size + hi - lo).alias("width"), _behind(F.col("key"), size, lo).alias("key")) for q, (lo, hi) in enumerate(zip(edges, edges[1:]))))
-        again = F.when(F.col("r") == r, seconds) if again is None else again.when(F.col("r") == r, seconds)
+        cuts = [round(x) for x in np.linspace(0, 64 - size, budget + 2)]
+        seconds = []
+        for q, (lo, hi) in enumerate(zip(cuts, cuts[1:]), 1):
+            key, width = _behind(F.col("key"), size, lo), size + hi - lo
+            seconds.append(F.struct(F.lit(q).alias("q"), F.lit(width).alias("width"), F.shiftrightunsigned(key, 64 - width).alias("front"), key.alias("key")))
+        again = F.when(F.col("r") == r, F.array(*seconds)).otherwise(again)
     marked = one.join(crowds, ["r", "front"], "left")
     calm = marked.where("crowded is null").select("rep", "r", F.lit(0).alias("q"), "width", "front", "key")
-    split = marked.where("crowded").select("rep", "r", F.explode(again).alias("s")).select("rep", "r", "s.q", "s.width", "s.key")
-    fronts = F.when(F.lit(False), F.lit(0).cast("long"))
-    for width in sorted({size + hi - lo for _, size in blocks for e in [[round(x) for x in np.linspace(0, 64 - size, budget + 2)]] for lo, hi in zip(e, e[1:])}):
-        fronts = fronts.when(F.col("width") == width, F.shiftrightunsigned("key", 64 - width))
-    return calm.unionByName(split.withColumn("front", fronts))
+    split = marked.where("crowded").select("rep", "r", F.explode(again).alias("s")).select("rep", "r", "s.*")
+    return calm.unionByName(split)
 
 
 def fingerprint_links(fps: DataFrame, rep: str = "rep", fp: str = "fp", budget: int = 4, crowd: int = CROWD) -> DataFrame:
