@@ -145,9 +145,11 @@ def epoch_lookup(points: DataFrame, epochs: DataFrame, keys: list[str], time: st
 
     One row per point: the epoch with the latest start if several match, nulls if none does.
     """
-    tagged = points.withColumn("__pid", F.struct(*points.columns))
-    asked = tagged.select(*keys, "__pid", F.col(time).alias("qmin_ns"), F.col(time).alias("qmax_ns"))
+    asked = points.select(*keys, F.col(time).alias("qmin_ns")).where("qmin_ns is not null").distinct().withColumn("qmax_ns", F.col("qmin_ns"))
     rest = [c for c in epochs.columns if c not in keys]
-    met = interval_join(epochs, asked.distinct(), keys)
-    best = met.groupBy("__pid").agg(F.max(F.struct("tmin_ns", *(c for c in rest if c != "tmin_ns"))).alias("__e"), F.count("*").alias("n_matches"))
-    return tagged.join(best, "__pid", "left").select(*points.columns, F.coalesce("n_matches", F.lit(0)).alias("n_matches"), *(F.col(f"__e.{c}").alias(f"epoch_{c}") for c in rest))
+    met = interval_join(epochs, asked, keys)
+    found = met.groupBy(*keys, "qmin_ns").agg(F.max(F.struct("tmin_ns", *(c for c in rest if c != "tmin_ns"))).alias("__e"), F.count("*").alias("n_matches"))
+    best = found.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("qmin_ns").alias("__t"), "__e", "n_matches")
+    on = [points[k] == best[f"__k{i}"] for i, k in enumerate(keys)] + [points[time] == best["__t"]]
+    joined = points.join(best, on, "left")
+    return joined.select(*(points[c] for c in points.columns), F.coalesce(best["n_matches"], F.lit(0)).alias("n_matches"), *(F.col(f"__e.{c}").alias(f"epoch_{c}") for c in rest))

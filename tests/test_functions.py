@@ -156,3 +156,10 @@ def test_scalars(spark):
     q = spark.createDataFrame([(["a", "", "b c", "it's", "x\\y"],)], "a array<string>")
     assert q.select(S.quoted_join(F.col("a"))).first()[0] == "a '' 'b c' 'it\\'s' 'x\\\\y'"
     assert [r[0] for r in spark.createDataFrame([(35,), (36,), (123456789,)], "n long").select(S.base36decode(S.base36encode(F.col("n")))).collect()] == [35, 36, 123456789]
+
+
+def test_epoch_lookup(spark):
+    epochs = spark.createDataFrame([("a", 0, 10, "x"), ("a", 5, 10, "y"), ("b", 0, 5, "z")], "k string, tmin_ns long, tmax_ns long, v string")
+    points = spark.createDataFrame([("a", 3, 1), ("a", 7, 2), ("a", 10, 3), ("b", 4, 4), ("b", 4, 4), (None, 4, 5), ("a", None, 6), ("c", 1, 7)], "k string, t_ns long, n_matches long").withColumnRenamed("n_matches", "i")
+    got = sorted((r["i"], r["n_matches"], r["epoch_v"]) for r in iv.epoch_lookup(points, epochs, ["k"]).collect())
+    assert got == [(1, 1, "x"), (2, 2, "y"), (3, 0, None), (4, 1, "z"), (4, 1, "z"), (5, 0, None), (6, 0, None), (7, 0, None)]
