@@ -5,8 +5,9 @@ embeddings of the left and of the right neighbours are summed into a hidden laye
 and the token is predicted in two steps, its class and its place in the class. A
 document's score is the sum of the log-probabilities of all its tokens.
 
-The vocabulary comes from counts over the whole corpus; rarer words share hashed
-ids. Training is data-parallel: every partition runs over all of its tokens and
+The vocabulary comes from counts over the whole corpus; the network knows rarer words
+by shared hashed ids. A rare word's log-probability is its id's, plus the log of the
+word's part in the count of the id, from the counts of all words. Training is data-parallel: every partition runs over all of its tokens and
 returns its parameters, which are averaged by block with the tokens as weights,
 once per round. Parameters have a fixed size (about 1 MB); nothing else is sent to
 the driver but the vocabulary.
@@ -30,8 +31,8 @@ CLASSES, HASHED, WIDTH, WINDOW, ROUNDS = 64, 512, 16, 2, 1
 STEP, CHUNK = 0.05, 4096
 
 
-def vocabulary(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, hashed: int = HASHED) -> tuple[dict[bytes, int], np.ndarray]:
-    """Ids of the commonest words of the corpus, and the counts of all ids. Ties go to the smaller word."""
+def vocabulary(docs: DataFrame, text_col: str = "text", classes: int = CLASSES, hashed: int = HASHED) -> tuple[dict[bytes, int], np.ndarray, DataFrame]:
+    """Ids of the commonest words of the corpus, the counts of all ids, and (word, n) of all words. Ties go to the smaller word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
@@ -53,26 +54,38 @@ def vocabulary(docs: DataFrame, text_col: str = "text", classes: int = CLASSES,
     words = {bytes(r["word"]): i + 1 for i, r in enumerate(top)}
     counts = np.zeros(classes * classes)
     counts[1 : len(top) + 1] = [r["n"] for r in top]
-    rest = counted.agg(F.sum("n")).first()[0] or 0
-    counts[-hashed:] += max(rest - counts.sum(), 0) / hashed
-    return words, counts
+    first = classes * classes - hashed
+    for r in counted.groupBy((F.crc32("word") % hashed).alias("at")).agg(F.sum("n").alias("n")).collect():
+        counts[first + r["at"]] = r["n"]
+    for w, i in words.items():
+        counts[first + zlib.crc32(w) % hashed] -= counts[i]
+    return words, counts, counted
 
 
 def token_ids(docs: DataFrame, words: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, hashed: int = HASHED) -> DataFrame:
-    """(id, tokens) of every row, in the shared folder: tokens as little-endian 16-bit ids."""
+    """(id, tokens, row, rare) of every row, in the shared folder: tokens as little-endian 16-bit ids, a number of its own, and the words with shared ids."""
     first = classes * classes - hashed
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words.get
         for batch in batches:
-            out = []
+            out, rare = [], []
             for t in batch.column(1).cast(pa.binary()):
-                ids = [known(w) or first + zlib.crc32(w) % hashed for w in (t.as_py() or b"").split()]
+                all_words = (t.as_py() or b"").split()
+                ids = [known(w) or first + zlib.crc32(w) % hashed for w in all_words]
                 out.append(np.array(ids, "<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
+                rare.append([w for w, i in zip(all_words, ids, strict=True) if i >= first])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary()), pa.array(rare, pa.list_(pa.binary()))], names=["id", "tokens", "rare"])
 
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    return written(docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, tokens binary"), "tokens")
+    found = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, tokens binary, rare array<binary>")
+    return written(found.select("id", "tokens", F.monotonically_increasing_id().alias("row"), "rare"), "tokens")
+
+
+def rare_counts(tokens: DataFrame, counted: DataFrame) -> DataFrame:
+    """(row, log_count): the summed log counts of a row's words with shared ids; rows where that is 0 may be missing."""
+    more = counted.where("n > 1").select("word", F.log(F.col("n").cast("double")).alias("log_n"))
+    return tokens.select("row", F.explode("rare").alias("word")).join(more, "word").groupBy("row").agg(F.sum("log_n").alias("log_count"))
 
 
 class WindowNetwork:
@@ -221,12 +234,16 @@ def fit(tokens: DataFrame, counts: np.ndarray, rounds: int = ROUNDS, **shape) ->
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(id_col, n_tokens, score, mean_score) of every row: the summed log-probability of its tokens, and per token.
 
+    Words are told apart whatever the size of the vocabulary: all of them are counted, as docs is what is scored.
+
     Null and empty texts have no tokens, score 0 and a null mean. Repeated rows are trained on each and
     score alike; null ids are kept. An empty table gives no rows.
     """
-    words, counts = vocabulary(docs, text_col)
+    words, counts, counted = vocabulary(docs, text_col)
     tokens = token_ids(docs, words, id_col, text_col)
     net = fit(tokens, counts, rounds)
+    shared = np.log(np.maximum(counts, 1))
+    shared[:-HASHED] = 0  # a known word is all of its id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, last, x in _streams(net, batches):
@@ -236,11 +253,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", round
             lp = np.concatenate([*parts, np.zeros(1)]).astype(np.float64)
             lengths = np.array([len(t.as_py() or b"") // 2 for t in own.column("tokens")], np.int64)
             starts = np.cumsum(lengths + w) - lengths - w
+            lp -= shared[x[w:]][: len(lp)]
             sums = np.array([lp[s : s + n].sum() for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)])
-            yield pa.RecordBatch.from_arrays([own.column("id"), pa.array(lengths), pa.array(sums, pa.float64())], names=["id", "n_tokens", "score"])
+            yield pa.RecordBatch.from_arrays([own.column("id"), own.column("row"), pa.array(lengths), pa.array(sums, pa.float64())], names=["id", "row", "n_tokens", "score"])
 
     kind = tokens.schema["id"].dataType.simpleString()
-    scored = tokens.mapInArrow(run, f"id {kind}, n_tokens long, score double")
+    scored = tokens.select("id", "tokens", "row").mapInArrow(run, f"id {kind}, row long, n_tokens long, score double")
+    scored = scored.join(rare_counts(tokens, counted), "row", "left").withColumn("score", F.col("score") + F.coalesce("log_count", F.lit(0.0)))
     return scored.select(F.col("id").alias(id_col), "n_tokens", "score", F.when(F.col("n_tokens") > 0, F.col("score") / F.col("n_tokens")).alias("mean_score"))
 
 

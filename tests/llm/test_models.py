@@ -1,7 +1,9 @@
 """Embeddings, LM scores, pieces, quality model, packing and SimHash: against brute force."""
 
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -379,3 +381,27 @@ def test_lm_prefers_order(spark):
     assert got[1001] == got[1002] == [(0, 0.0, None)] and got[None][0][0] == 2 and len(got[5]) == 2
     assert got[5][0][1] == pytest.approx(got[5][1][1], rel=1e-4) and got[1003][0][0] == 20_000
     assert masked_lm.score(df.limit(0)).count() == 0
+
+
+def test_lm_gibberish_is_less_likely(spark):
+    """Rare words that share an id are told apart by their counts, and their probabilities are a distribution."""
+    rng = random.Random(4)
+    weights = [1 / (k + 10) for k in range(12_000)]
+    texts = [" ".join(f"w{k}" for k in rng.choices(range(12_000), weights, k=120)) for _ in range(500)]
+    texts += [" ".join(f"w{rng.randrange(3_900, 4_300)}" for _ in range(120)) for _ in range(20)]
+    texts += [" ".join("".join(rng.choice("qxzjkv") for _ in range(9)) for _ in range(120)) for _ in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["mean_score"] for r in masked_lm.score(df).collect()}
+    assert max(got[i] for i in range(520, 540)) < min(got[i] for i in range(520))
+    words, counts, counted = masked_lm.vocabulary(df)
+    n = {bytes(r["word"]): r["n"] for r in counted.collect()}
+    first = masked_lm.CLASSES**2 - masked_lm.HASHED
+    shared = Counter()
+    for w, k in n.items():
+        if w not in words:
+            shared[first + zlib.crc32(w) % masked_lm.HASHED] += k
+    assert len(n) > len(words) and {i: counts[i] for i in range(first, len(counts)) if counts[i]} == shared
+    tokens = masked_lm.token_ids(df, words)
+    rare = {r["row"]: r["log_count"] for r in masked_lm.rare_counts(tokens, counted).collect()}
+    for r in tokens.collect():
+        assert rare.get(r["row"], 0) == pytest.approx(sum(math.log(n[w]) for w in texts[r["id"]].encode().split() if w not in words))
