@@ -7,10 +7,10 @@ document's score is the sum of the log-probabilities of all its tokens.
 
 The vocabulary comes from counts over the whole corpus; the network knows rarer words
 by shared hashed ids. A rare word's log-probability is its id's, plus the log of the
-word's part in the count of the id, from the counts of all words. Training is data-parallel: every partition runs over all of its tokens and
-returns its parameters, which are averaged by block with the tokens as weights,
-once per round. Parameters have a fixed size (about 1 MB); nothing else is sent to
-the driver but the vocabulary.
+word's part in the count of the id, from the counts of all words. Training is
+data-parallel: every partition runs over all of its tokens and returns its parameters,
+which are averaged by block with the tokens as weights, once per round. Parameters
+have a fixed size (about 1 MB); nothing else is sent to the driver but the vocabulary.
 """
 
 from __future__ import annotations
