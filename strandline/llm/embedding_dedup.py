@@ -6,13 +6,16 @@ substrings. A pair of one label is retrieved where some substring differs in at
 most one bit: one side is filed under each of its substrings, the other asks for
 each of its own and their one-bit neighbours. A pair is kept by the first table
 that retrieves it, so none comes twice, and only if the whole codes are near. The
-original vectors rerank in double precision.
+original vectors rerank in double precision. Vectors of different lengths are never
+compared; lengths that are too rare in the sample to learn from get codes by random
+hyperplanes.
 
 Equal vectors of a label are one class with a count, so copies make no pairs.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +54,26 @@ def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray
     return full.view(">u8").ravel().astype(np.uint64).view(np.int64)
 
 
+def projections(drawn: list[list[float]], max_bits: int = MAX_BITS) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Bits of all codes, and (mean, projection) by length: of the commonest length, and of others with four vectors a bit."""
+    n = Counter(map(len, drawn))
+    commonest = max(n, key=lambda k: (n[k], k))
+    bits = min(max_bits, commonest)
+    learnt = [k for k in n if k == commonest or (k >= bits and n[k] >= 4 * bits)]
+    return bits, {k: learn_rotation(np.array([v for v in drawn if len(v) == k]), bits) for k in learnt}
+
+
+def codes_by_length(column: pa.Array, bits: int, known: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Codes of vectors of any lengths; lengths that are not known get hyperplanes that follow from the length alone."""
+    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+    out = np.zeros(len(lengths), np.int64)
+    for k in np.unique(lengths).tolist():
+        mean, projection = known.get(k) or (np.zeros(k), np.random.default_rng(k).standard_normal((k, bits)))
+        own = np.flatnonzero(lengths == k)
+        out[own] = codes(_stack(column.take(pa.array(own))), mean, projection)
+    return out
+
+
 def _stack(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
@@ -63,23 +86,23 @@ def _cuts(bits: int, tables: int) -> list[tuple[int, int]]:
 
 
 def candidates(classes: DataFrame, bits: int, tables: int = TABLES, max_hamming: int = MAX_HAMMING) -> DataFrame:
-    """(a, b), a < b: pairs of classes (rep, label, code) that the Hamming tables retrieve, each once."""
+    """(a, b), a < b: pairs of classes (rep, label, length, code) that the Hamming tables retrieve, each once."""
     cuts = _cuts(bits, tables)
 
     def part(code: Column, t: int) -> Column:
         shift, width = cuts[t]
         return F.shiftrightunsigned(code, shift).bitwiseAND((1 << width) - 1)
 
-    filed = classes.select("label", F.col("rep").alias("b"), F.col("code").alias("code_b"), F.explode(F.array(*(F.struct(F.lit(t).alias("t"), part(F.col("code"), t).alias("key")) for t in range(tables)))).alias("at"))
+    filed = classes.select("label", "length", F.col("rep").alias("b"), F.col("code").alias("code_b"), F.explode(F.array(*(F.struct(F.lit(t).alias("t"), part(F.col("code"), t).alias("key")) for t in range(tables)))).alias("at"))
     asks = F.concat(*(F.array(*(F.struct(F.lit(t).alias("t"), part(F.col("code"), t).bitwiseXOR(F.lit(flip)).alias("key")) for flip in [0, *(1 << i for i in range(cuts[t][1]))])) for t in range(tables)))
-    asked = classes.select("label", F.col("rep").alias("a"), F.col("code").alias("code_a"), F.explode(asks).alias("at"))
-    filed, asked = (x.select("label", "at.t", "at.key", *x.columns[1:3]) for x in (filed, asked))
+    asked = classes.select("label", "length", F.col("rep").alias("a"), F.col("code").alias("code_a"), F.explode(asks).alias("at"))
+    filed, asked = (x.select("label", "length", "at.t", "at.key", *x.columns[2:4]) for x in (filed, asked))
     differ = F.col("code_a").bitwiseXOR(F.col("code_b"))
     first = F.lit(tables)
     for t in reversed(range(tables)):
         first = F.when(F.bit_count(part(differ, t)) <= 1, F.lit(t)).otherwise(first)
     near = (F.bit_count(differ) <= max_hamming) & (first == F.col("t"))
-    return asked.join(filed, ["label", "t", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
+    return asked.join(filed, ["label", "length", "t", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
 
 def rerank(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -91,8 +114,12 @@ def rerank(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (_stack(batch.column(c)).astype(np.float64) for c in ("va", "vb"))
-            cosine = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+            lengths = batch.column("va").value_lengths().to_numpy(zero_copy_only=False)
+            cosine = np.zeros(len(lengths))
+            for k in np.unique(lengths):
+                own = np.flatnonzero(lengths == k)
+                x, y = (_stack(batch.column(c).take(pa.array(own))).astype(np.float64) for c in ("va", "vb"))
+                cosine[own] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
             yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(cosine >= threshold))
 
     kind = classes.schema["rep"].dataType.simpleString()
@@ -102,31 +129,28 @@ def rerank(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, max_bits: int = MAX_BITS, sample: int = SAMPLE) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
-    n_links counts the other rows of the same label whose cosine is at least threshold, as far as the
+    n_links counts the other rows of the same label and length whose cosine is at least threshold, as far as the
     tables retrieve them; component_id is the smallest id reachable by links; kept: id = component_id.
-    Vectors that are null, empty, zero or hold nulls or non-finite numbers, vectors of another length
-    than the longest of the sample, null labels and null ids link with nothing. Repeated rows are other
-    rows. An empty table gives no rows; other columns are not read.
+    Vectors that are null, empty, zero or hold nulls or non-finite numbers, null labels and null ids
+    link with nothing. Repeated rows are other rows. An empty table gives no rows; other columns are not read.
     """
     rows = vectors.select(vectors[id_col].alias("id"), vectors[label_col].alias("label"), vectors[vector_col].cast("array<double>").alias("vec"))
     sound = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     ok = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
     drawn = [r["vec"] for r in ok.orderBy(F.xxhash64("id")).select("vec").limit(sample).collect()]
-    length = max(map(len, drawn), default=0)
-    if not length:
+    if not drawn:
         return vectors.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    mean, projection = learn_rotation(np.array([v for v in drawn if len(v) == length]), max_bits)
+    bits, known = projections(drawn, max_bits)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield batch.append_column("code", pa.array(codes(_stack(batch.column("vec")), mean, projection)))
+                yield batch.append_column("code", pa.array(codes_by_length(batch.column("vec"), bits, known)))
 
-    ok = ok.where(F.size("vec") == length)
     same = ok.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
     kinds = {c: same.schema[c].dataType.simpleString() for c in ("rep", "label")}
     classes = written(same.select("rep", "label", "vec", "n").mapInArrow(coded, f"rep {kinds['rep']}, label {kinds['label']}, vec array<double>, n long, code long"), "classes")
-    links = written(rerank(candidates(classes.select("rep", "label", "code"), projection.shape[1], tables), classes, threshold), "links")
+    links = written(rerank(candidates(classes.select("rep", "label", F.size("vec").alias("length"), "code"), bits, tables), classes, threshold), "links")
     both = links.select(F.col("a").alias("rep"), F.col("nb").alias("n")).unionAll(links.select(F.col("b").alias("rep"), F.col("na").alias("n")))
     others = both.groupBy("rep").agg(F.sum("n").alias("others"))
     found = connected_components(links, "a", "b")
@@ -134,7 +158,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         "label", "vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
     linked = ok.join(of, ["label", "vec"]).select("id", "n_links", "component_id")
-    alone = rows.where(~F.coalesce(sound & (F.size("vec") == length) & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = rows.where(~F.coalesce(sound & F.col("id").isNotNull() & F.col("label").isNotNull(), F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     return linked.unionAll(alone).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

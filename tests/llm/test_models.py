@@ -75,6 +75,24 @@ def test_embeddings(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark):
+    """A longer vector takes no links from the others, and every length has its own links."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for size, groups in ((32, 60), (48, 40), (16, 20), (100, 1)):
+        for c in range(groups):
+            base = rng.standard_normal(size)
+            rows += [(len(rows) + k, [float(v) for v in base + 0.1 * rng.standard_normal(size)], c % 3) for k in range(3 if groups > 1 else 1)]
+    rows.append((len(rows), [*rows[0][1], 0.0], 0))  # like row 0, but longer
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links, _ = brute_embeddings(rows)
+    for size in (32, 48, 16):
+        own = [r[0] for r in rows if len(r[1]) == size]
+        want = 2 * sum(a in own for a, _ in links)
+        assert 0.9 * want <= sum(got[i] for i in own) <= want and want >= len(own)
+    assert got[len(rows) - 1] == got[len(rows) - 2] == 0
+
+
 def test_embedding_query_recall(spark):
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.query(spark, SF).collect()}
     links, _ = brute_embeddings([(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()])
