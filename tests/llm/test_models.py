@@ -151,31 +151,62 @@ def test_simhash(spark):
     want = find([(a, b) for a in real for b in real if a < b and (fps[a] ^ fps[b]).bit_count() <= 4], real)
     assert {i: got[i][1] for i in real} == want and len(set(want.values())) < len(real)
     assert got[None][1] is None
+    same_id = spark.createDataFrame([(0, "Another text under an id that is there already, and a copy of nothing.")], "doc_id long, text string")
+    twice = simhash.keep_one(df.select("doc_id", "text").unionByName(same_id))
+    assert twice.where("doc_id = 0").count() == 2 and twice.count() == len(set(want.values())) + 2
     kept = simhash.keep_one(df.unionByName(df.where("doc_id < 3"))).select("doc_id").collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(set(want.values()))
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_crowded_blocks(spark):
-    """A node that is dealt out twice gives the same components."""
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+@pytest.mark.parametrize(("bits", "budget", "errors"), [(64, 4, 0), (64, 4, 1), (128, 23, 3)])
+def test_crowded_nodes(spark, bits, budget, errors):
+    """All rotations together find every link, and nodes that are split into node pairs give the same components."""
     rng = np.random.default_rng(11)
     keys = []
-    for b in rng.integers(0, 1 << 63, 12, dtype=np.uint64):
-        x = int(b)
+    for _ in range(12):
+        x = int.from_bytes(rng.bytes(bits // 8), "big")
         for _ in range(40):
             y = x
-            for bit in rng.choice(64, rng.integers(0, 5), replace=False):
+            for bit in rng.choice(bits, rng.integers(0, budget + 1), replace=False):
                 y ^= 1 << int(bit)
             keys.append(y)
             x = y if rng.random() < 0.3 else x
     keys = sorted(set(keys))
-    df = spark.createDataFrame([(i, k - (1 << 64) if k >> 63 else k) for i, k in enumerate(keys)], "rep long, fp long")
-    want = find([(i, j) for i in range(len(keys)) for j in range(i) if (keys[i] ^ keys[j]).bit_count() <= 4], range(len(keys)))
-    for crowd in (1 << 20, 5):
-        got = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(df, crowd=crowd), "a", "b").collect()}
+    rows = [(i, *(signed(k >> at & (1 << 64) - 1) for at in range(bits - 64, -1, -64))) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "rep long, fp long" + ", fp2 long" * (bits // 64 - 1))
+    want = find([(i, j) for i in range(len(keys)) for j in range(i) if (keys[i] ^ keys[j]).bit_count() <= budget], range(len(keys)))
+    assert len(set(want.values())) > 10
+    for crowd in (1 << 20, 20):
+        got = {r["node"]: r["component"] for r in connected_components(simhash.fingerprint_links(df, budget=budget, errors=errors, crowd=crowd), "a", "b").collect()}
         assert {i: got.get(i, i) for i in want} == want
 
 
+def test_rotations():
+    """Whatever bits differ, some rotation has its front equal and few enough of them in its block."""
+    rng = np.random.default_rng(4)
+    for bits, budget, errors in ((64, 4, 0), (64, 9, 2), (128, 23, 3)):
+        plan = simhash.rotations(bits, budget, errors)
+        assert all(part > 3 for _, _, _, part, _ in plan)
+        for _ in range(300):
+            off = rng.choice(bits, budget, replace=False)
+            word, at = off // 64, off % 64
+            assert any(((word == w) & (at >= lo) & (at < lo + size)).sum() <= errors and not ((word == w) & (at >= first) & (at < first + part)).any() for w, lo, first, part, size in plan)
+
+
+def test_trie_of_one_value():
+    """Keys that are all equal and told apart by the second word only."""
+    rng = np.random.default_rng(1)
+    keys, rest = np.zeros(3000, np.uint64), rng.integers(0, 1 << 20, 3000, dtype=np.uint64)
+    up = simhash.trie_links(keys, 5, 3, 1, 20, rest)
+    near = np.bitwise_count(rest[:, None] ^ rest[None, :]) <= 3
+    assert list(up) == list(find(list(zip(*np.nonzero(near), strict=True)), range(3000)).values())
+
+
 def test_simhash_query(spark):
     rows = spark.read.parquet(f"{SF}/documents.parquet").collect()
     fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in rows}
