@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import line_dedup, packing, quality_rules, secrets, simhash
-from strandline.llm.common import discard, table, written
+from strandline.llm.common import discard, new_path, scratch, table
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -31,8 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays: shingles of five words, similarity 0.8 or more."""
+    return simhash.keep_one(docs, **simhash.SIMILAR)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,12 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES[:-1]):
-        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, path = docs, new_path(spark, name.replace(" ", "-"))
+        with scratch(spark):  # a stage's own tables go when it is written
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        docs.written_to = path
         if i:
-            discard(before)  # all that came from it is written
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)

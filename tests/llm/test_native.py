@@ -83,13 +83,40 @@ def test_lines(spark):
 
 def test_line_runs_are_levelled(spark):
     runs = line_dedup.LineRuns(spark, fanout=2)
+    assert runs.known() is None
     for b in range(5):
         batch = spark.createDataFrame([(b, 0, 7, 7, True), (b, 1, b, 100 + b, True)], "doc_id long, pos int, h1 long, h2 long, first boolean")
         assert {r["h1"] for r in runs.unseen(batch).collect()} == ({7, 0} if b == 0 else {b})
         runs.add(batch)
     assert [len(x) for x in runs.levels] == [1, 0, 1]
+    held = [(r["h1"], r["h2"]) for level in runs.levels for n in level for r in spark.read.table(n).collect()]
+    assert len(held) == len(set(held)) == 6  # a key that a run knows never gets into another run
     known = {(r["h1"], r["h2"]): (r["n_docs"], r["last_doc"]) for r in runs.known().collect()}
     assert known[(7, 7)] == (5, 4) and len(known) == 6
+    assert [r["h1"] for r in runs.known(5).collect()] == [7]
+    paths = list(runs.paths.values())
+    runs.close()
+    jvm = spark._jvm.org.apache.hadoop.fs
+    assert paths and not any(jvm.Path(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm.Path(p)) for p in paths)
+
+
+def test_line_runs_shuffle_nothing(spark):
+    """Lookups in runs are merge joins of bucketed tables."""
+    runs = line_dedup.LineRuns(spark, fanout=5)
+    for b in range(3):
+        runs.add(spark.range(40).selectExpr("id AS doc_id", "0 AS pos", f"id * {b + 1} AS h1", "id AS h2", "true AS first"))
+    own = runs._write(spark.range(50).selectExpr("id AS h1", "id AS h2", "1L AS n_docs", "id AS last_doc"), "batch")
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (runs.unseen(runs._read(own)), runs.known(2))]
+    assert plans[0].count("LeftAnti") == 3 and "Exchange" not in plans[0]
+    assert plans[1].count("LeftOuter") == 3 and "Exchange" not in plans[1]
+    runs.close()
+
+
+def test_lines_with_text_ids_and_long_texts(spark):
+    texts = {f"d{i}": f"{LINE}\nown {i}" for i in range(6)} | {"e": "x" * 300_000 + "\n" + "\n".join(f"{LINE} {k}" for k in range(20_000)), "f": "\n" * 50_000}
+    got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
+    assert [got[f"d{i}"]["text"] for i in range(6)] == [f"own {i}" for i in range(5)] + [texts["d5"]]
+    assert got["e"]["text"] == texts["e"] and got["f"]["text"] == texts["f"] and got["f"]["lines"]["n_lines"] == 50_001
 
 
 def test_secrets(spark):

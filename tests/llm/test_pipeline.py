@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import quality_rules as Q
 from strandline.llm import secrets as S
+from strandline.llm import simhash
 
 SF = "/root/testdata/sf0.001"
 SPACE = " \t\n\x0b\f\r"
@@ -52,13 +53,23 @@ def lines(docs):
     return {i: ("\n".join(x for x in t.split("\n") if not (len(key(x)) >= 40 and len(holders[key(x)]) >= 5 and i != max(holders[key(x)]))), *rest) for i, (t, *rest) in docs.items()}
 
 
+def second_word(h):
+    """The splitmix generator's step from a hash."""
+    m = (1 << 64) - 1
+    h = (h + 0x9E3779B97F4A7C15) & m
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m
+    h = (h ^ h >> 27) * 0x94D049BB133111EB & m
+    return h ^ h >> 31
+
+
 def near(docs):
     def fp(t):
         w = t.encode().lower().split()
         if not w:
             return 0
-        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 4]), 42) for k in range(max(1, len(w) - 3))]
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+        h = [xxhash.xxh64_intdigest(b" ".join(w[k : k + 5]), 42) for k in range(max(1, len(w) - 4))]
+        h = [x << 64 | second_word(x) for x in h]
+        return sum(1 << b for b in range(128) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     fps = {i: fp(t) for i, (t, *_) in docs.items()}
     up = {i: i for i in docs}
@@ -70,7 +81,7 @@ def near(docs):
 
     for a in docs:
         for b in docs:
-            if a < b and (fps[a] ^ fps[b]).bit_count() <= 4:
+            if a < b and (fps[a] ^ fps[b]).bit_count() <= 23:
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: v for i, v in docs.items() if root(i) == i}
@@ -142,6 +153,27 @@ def test_stage_edges(spark, stage):
     assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def test_near_copies_by_shingles(spark):
+    """Of pairs with a Jaccard similarity of 0.8 or more few stay in different groups; unlike documents stay all."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    group = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, **simhash.SIMILAR).collect()}
+    words = {r["doc_id"]: (r["text"] or "").encode().lower().split() for r in docs.collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items()}
+    holders = defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].append(i)
+    common = Counter((a, b) for h in holders.values() for k, a in enumerate(h) for b in h[k + 1 :])
+    alike = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in common.items()}
+    near = [p for p, j in alike.items() if j >= 0.8]
+    assert len(near) > 30 and sum(group[a] == group[b] for a, b in near) >= 0.95 * len(near)
+    best = defaultdict(float)
+    for (a, b), j in alike.items():
+        best[a], best[b] = max(best[a], j), max(best[b], j)
+    alone = [i for i in group if best[i] < 0.5]
+    assert len(alone) > 500 and all(group[i] == i for i in alone)
+
+
 def test_clean_documents_stay(spark):
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
