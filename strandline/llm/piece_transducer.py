@@ -2,21 +2,23 @@
 
 A model file is compiled into three parts that are composed with each input:
 
-* the normaliser: dummy prefix, optional removal of repeated spaces, spaces to the
-  mark that pieces use;
-* the pieces: an acceptor over their characters, with one output arc per piece;
+* the normaliser: states and arcs for the dummy prefix, repeated spaces that go, and
+  spaces that become the mark that pieces use;
+* the pieces: a tree over their characters, with one output arc per piece;
 * byte fallback: an arc per character that no piece covers, writing its bytes.
 
 Encoding is the shortest path in the tropical semiring over the positions of the
-normalised text. A unigram model weights an arc by its negative log probability.
-For a byte-pair model the composition also holds a two-piece constraint: an arc may
-follow another only if merging would leave the two side by side. Every prefix then
-has one path, the one that merging by rank gives, so one predecessor per position
-is enough and the ids are those of the reference encoder.
+normalised text, one search for all models. A unigram model weights an arc by its
+negative log probability. In a byte-pair model a state is a position and the piece that
+ends there, and the weight of an arc is zero if merging by rank would leave the two pieces
+side by side, and infinite otherwise. Exactly one path to every position is finite then,
+the one that merging gives, so one predecessor per position is enough and the ids are
+those of the reference encoder. Pieces are walked by index, so that the time is linear in
+the text, whatever its words are like.
 
 No piece reaches over the start of a run of spaces, nor, in many models, from a word
 into punctuation, so texts are cut there and the chunks, mostly words, are looked
-up among the latest of the task.
+up among those a Python worker has met before, up to a bounded number of bytes.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import struct
 import unicodedata
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +41,11 @@ from .common import table
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words, other chunks and pairs of pieces that a task remembers, so many of each; it only saves work.
-REMEMBERED = 250_000
+#: What a worker remembers, which only saves work: bytes of words and other chunks, none of them longer than so many characters, and pairs of pieces.
+REMEMBERED, LONGEST, PAIRS = 32 << 20, 64, 150_000
+#: Classes of characters that the normaliser tells apart, and its states: before the text, after other characters, after a space.
+SPACE, OTHER = 0, 1
+BEFORE, INSIDE, AFTER = 0, 1, 2
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -68,14 +74,50 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             i += n
 
 
+class Normaliser:
+    """A transducer over two classes of characters: ``arcs`` has, per state and class, what is written and the next state.
+
+    Written is, per arc, a text before the character and what the character becomes (None: itself). Spaces are written
+    late where repeated ones go, with the next other character, so that none is left at the end.
+    """
+
+    def __init__(self, prefix: bool, squeeze: bool, escape: bool):
+        space = MARK if escape else " "
+        head = space if prefix else ""
+        if squeeze:
+            self.arcs = {
+                (BEFORE, SPACE): ("", "", BEFORE), (BEFORE, OTHER): (head, None, INSIDE), (INSIDE, OTHER): ("", None, INSIDE),
+                (INSIDE, SPACE): ("", "", AFTER), (AFTER, SPACE): ("", "", AFTER), (AFTER, OTHER): (space, None, INSIDE),
+            }
+        else:
+            self.arcs = {(BEFORE, SPACE): (head, space, INSIDE), (BEFORE, OTHER): (head, None, INSIDE), (INSIDE, SPACE): ("", space, INSIDE), (INSIDE, OTHER): ("", None, INSIDE)}
+
+    def __call__(self, text: str) -> str:
+        if not text:
+            return ""
+        if AFTER not in {to for *_, to in self.arcs.values()}:  # behind the first arc there is one state, which writes a text for every character
+            first, inside = self.arcs[BEFORE, SPACE if text[0] == " " else OTHER], self.arcs[INSIDE, SPACE]
+            return first[0] + text.replace(" ", inside[1])
+        state, out = BEFORE, []
+        for run in re.findall(" +|[^ ]+", text):
+            kind = SPACE if run[0] == " " else OTHER
+            before, becomes, state = self.arcs[state, kind]
+            out.append(before)
+            if becomes is None:
+                out.append(run)  # the state that it leads to has a loop that writes other characters as they are
+        return "".join(out)
+
+
 class PieceTransducer:
     """A compiled model: ``encode`` and ``decode`` single texts."""
 
     def __init__(self, model: bytes):
+        self.model = model
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.kind, self.prefix, self.squeeze, self.escape, self.unk = UNIGRAM, True, True, True, 0
+        self.kind, self.unk = UNIGRAM, 0
+        self.prefix, squeeze, escape = True, True, True
         for number, value in _fields(model):
             if number == 1:
                 piece = dict(_fields(value))
@@ -88,13 +130,14 @@ class PieceTransducer:
                 rules = dict(_fields(value))
                 if rules.get(2):
                     raise ValueError("only models with the identity normaliser are compiled")
-                self.prefix, self.squeeze, self.escape = (bool(rules.get(k, 1)) for k in (3, 4, 5))
+                self.prefix, squeeze, escape = (bool(rules.get(k, 1)) for k in (3, 4, 5))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("only unigram and byte-pair models are compiled")
+        self.normalise = Normaliser(self.prefix, squeeze, escape)
         text_ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (NORMAL, USER)}
         self.unk = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == BYTE}
-        shown = ("" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(MARK, " ") if self.escape else p for p, k in zip(self.pieces, self.kinds, strict=True))
+        shown = ("" if k == CONTROL else " ⁇ " if k == UNKNOWN else p.replace(MARK, " ") if escape else p for p, k in zip(self.pieces, self.kinds, strict=True))
         #: what each piece stands for when it is decoded
         self.written = [bytes([int(p[3:5], 16)]) if k == BYTE else t.encode("utf-8", "replace") for p, k, t in zip(self.pieces, self.kinds, shown, strict=True)]
         #: prefix of a piece -> the piece's id, or -1 where only longer pieces begin so
@@ -105,7 +148,7 @@ class PieceTransducer:
             for n in range(1, len(p)):
                 self.arcs.setdefault(p[:n], -1)
             self.arcs[p] = i
-        self.weights = [-s for s in self.scores]
+        self.weights = [-s for s in self.scores] if self.kind == UNIGRAM else [0.0] * len(self.pieces)
         self.fallback = 10 - min(self.scores, default=0.0)
         if self.kind == BPE:
             inner = [p for p in text_ids if MARK in p[1:] and p.strip(MARK)]
@@ -126,6 +169,7 @@ class PieceTransducer:
         self.follows: dict[int, bool] = {}
         self.latest: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
+        self.room = REMEMBERED
         used = {chr(c) for c in range(128)}.union(*text_ids) - {MARK}
         signs = "".join(sorted(c for c in used if unicodedata.category(c)[0] in "PSZC" or unicodedata.category(c) == "No"))
         apart = not any((a in signs) != (b in signs) for p in text_ids for a, b in zip(p, p[1:]) if a != MARK)
@@ -133,17 +177,8 @@ class PieceTransducer:
         #: chunks that no piece reaches across: runs of spaces with a word or, if pieces never mix them, with signs
         self.cut = re.compile(f"{MARK}*[^{MARK}{signs}]+|{MARK}*[{signs}]+|{MARK}+" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"latest": {}, "chunks": {}, "follows": {}}
-
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text).strip(" ")
-        if not text:
-            return ""
-        if self.prefix:
-            text = " " + text
-        return text.replace(" ", MARK) if self.escape else text
+    def __reduce__(self) -> tuple:
+        return compiled, (self.model,)
 
     def _parts_of(self, piece: int) -> tuple[int, int] | None:
         """The two pieces whose merge makes piece; None for a character and for what merging never makes."""
@@ -189,67 +224,37 @@ class PieceTransducer:
                 until, b = np.nextafter(self.rank[b], np.inf), pb[0]
             else:
                 break
-        if len(self.follows) < REMEMBERED:
+        if len(self.follows) < PAIRS:
             self.follows[key] = ok
         return ok
 
-    def _shortest(self, text: str) -> tuple[int, ...]:
-        """Ids along the shortest path of a unigram model."""
-        n, arcs, weights = len(text), self.arcs, self.weights
-        cost, came, by = [0.0] + [float("inf")] * n, [0] * (n + 1), [-1] * (n + 1)
+    def shortest(self, text: str) -> tuple[int, ...]:
+        """Ids along the shortest path through a normalised text."""
+        n, tree, weights, pairs = len(text), self.tree, self.weights, self.kind == BPE
+        follows, never = self.follows, float("inf")
+        cost, came, by = [0.0] + [never] * n, [0] * (n + 1), [-1] * (n + 1)
         for at in range(n):
-            here = cost[at]
-            for to in range(at + 1, n + 1):
-                piece = arcs.get(text[at:to])
-                if piece is None:
+            here, last, kids, to = cost[at], by[at], tree, at
+            covered = False
+            while to < n:
+                node = kids.get(text[to])
+                if node is None:
                     break
-                if piece >= 0 and here + weights[piece] < cost[to]:
+                piece, kids = node
+                to += 1
+                if piece < 0:
+                    continue
+                covered = covered or to == at + 1
+                if here + weights[piece] < cost[to]:
+                    if pairs and last >= 0:
+                        ok = follows.get(last << 32 | piece)
+                        if not (self.may_follow(last, piece) if ok is None else ok):
+                            continue  # an infinite weight
                     cost[to], came[to], by[to] = here + weights[piece], at, piece
-            if arcs.get(text[at], -1) < 0 and here + self.fallback < cost[at + 1]:
+            if not covered and here + self.fallback < cost[at + 1]:
                 cost[at + 1], came[at + 1], by[at + 1] = here + self.fallback, at, -1
         return self._back(text, came, by)
 
-    def _constrained(self, chunk: str) -> tuple[int, ...]:
-        """Ids along the one path of a byte-pair model; by is -2 where no path has come, -1 after a fallback.
-
-        Longest arcs first. All paths to a position but one break the constraint, so a position that
-        was left without reaching the end need never be entered again.
-        """
-        n, tree, follows = len(chunk), self.tree, self.follows
-        came, by, waiting = [0] * (n + 1), [-2] * (n + 1), [None] * n
-        by[0] = at = 0
-        last = -1
-        while at < n:
-            found = waiting[at]
-            if found is None:
-                found = waiting[at] = []  # end and piece in turn
-                kids, to = tree, at
-                for c in chunk[at:]:
-                    node = kids.get(c)
-                    if node is None:
-                        break
-                    piece, kids = node
-                    to += 1
-                    if piece >= 0:
-                        found += (to, piece)
-                if not found or found[0] != at + 1:
-                    found[:0] = (at + 1, -1)
-            while found:
-                piece, to = found.pop(), found.pop()
-                if by[to] != -2:
-                    continue
-                if last >= 0 and piece >= 0:
-                    ok = follows.get(last << 32 | piece)
-                    if not (self.may_follow(last, piece) if ok is None else ok):
-                        continue
-                came[to], by[to] = at, piece
-                at, last = to, piece
-                break
-            else:
-                at = came[at]
-                last = by[at] if at else -1
-        return self._back(chunk, came, by)
-
     def _back(self, text: str, came: list[int], by: list[int]) -> tuple[int, ...]:
         out: list[int] = []
         at = len(text)
@@ -276,10 +281,10 @@ class PieceTransducer:
         bare = chunk.lstrip(MARK)
         n = len(chunk) - len(bare)
         if n < 2 and bare:
-            return self._constrained(chunk)
+            return self.shortest(chunk)
         if not bare:
             return self._run(n)
-        rest = self._constrained(MARK + bare)  # runs merge last: the mark before the word goes with it if it can
+        rest = self.shortest(MARK + bare)  # runs merge last: the mark before the word goes with it if it can
         return self._run(n) + rest[1:] if rest[0] == self.runs[1] else self._run(n - 1) + rest
 
     def encode(self, text: str) -> list[int]:
@@ -289,7 +294,7 @@ class PieceTransducer:
         """Ids of a text, 32 bits each."""
         text = self.normalise(text)
         if self.kind != BPE:
-            return np.array(self._shortest(text), "<i4")
+            return np.array(self.shortest(text), "<i4")
         first, *words = text.split(MARK)
         if "" in words:
             return np.frombuffer(b"".join([self._cut_up(first), *self._with_runs(words)]), "<i4")
@@ -316,10 +321,14 @@ class PieceTransducer:
         ids = self.latest.get(word)
         if ids is None:
             ids = self._cut_up(MARK + word)
-            if len(self.latest) < REMEMBERED:
-                self.latest[word] = ids
+            self._remember(self.latest, word, ids)
         return ids
 
+    def _remember(self, held: dict[str, bytes], key: str, ids: bytes) -> None:
+        if self.room > 0 and len(key) <= LONGEST:
+            held[key] = ids
+            self.room -= 200 + len(key) + len(ids)  # with what two objects and their places in the table take
+
     def _cut_up(self, text: str) -> bytes:
         """Packed ids of a run of marks and a word, chunk by chunk; a chunk that is a word is remembered as one."""
         found = self.cut.findall(text)
@@ -331,25 +340,31 @@ class PieceTransducer:
             ids = held.get(key)
             if ids is None:
                 ids = _packed(self._chunk(chunk))
-                if len(held) < REMEMBERED:
-                    held[key] = ids
+                self._remember(held, key, ids)
             out.append(ids)
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no UTF-8 become the replacement character."""
-        return self.shown(b"".join(map(self.written.__getitem__, ids)))
+        return shown(b"".join(map(self.written.__getitem__, ids)), self.prefix)
+
 
-    def shown(self, written: bytes) -> str:
-        """The text of what pieces have written: without the dummy prefix."""
-        text = written.decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+def shown(written: bytes, prefix: bool) -> str:
+    """The text of what pieces have written: without the dummy prefix."""
+    text = written.decode("utf-8", "replace")
+    return text[1:] if prefix and text.startswith(" ") else text
 
 
 def _packed(ids: tuple[int, ...]) -> bytes:
     return array("i", ids).tobytes()
 
 
+@lru_cache(maxsize=2)
+def compiled(model: bytes) -> PieceTransducer:
+    """The transducer of a model; a Python worker compiles it once, and its tasks share what it remembers."""
+    return PieceTransducer(model)
+
+
 def load(path: str | None = None) -> PieceTransducer:
     """Compiles a model file, by default the public one."""
     if path is None:
@@ -357,11 +372,16 @@ def load(path: str | None = None) -> PieceTransducer:
 
         path = public_tokenizers.path("piece_bpe_32k.model")
     with open(path, "rb") as f:
-        return PieceTransducer(f.read())
+        return compiled(f.read())
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: PieceTransducer | None = None) -> DataFrame:
-    """(id_col, ids) of every row. Null and empty texts have no ids; nulls in id_col are kept."""
+    """(id_col, ids) of every row.
+
+    Null and empty texts have no ids; nulls in id_col are kept. Repeated rows come repeated; equal weights (ties) go to the
+    longer last piece in a unigram model, and byte-pair models have none. Texts and words may have any length. An empty
+    table gives no rows; other columns are not read.
+    """
     transducer = model or load()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,12 +398,13 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", model: PieceTransducer | None = None) -> DataFrame:
-    """rows with a column ``decoded``; null ids decode to null. A column of that name is replaced."""
+    """rows with a column ``decoded``; null ids decode to null. A column of that name is replaced, an empty table gives no rows."""
     transducer = model or load()
+    pieces, prefix = transducer.written, transducer.prefix  # all that tasks need
     rows = rows.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        written = pa.array(transducer.written, pa.large_binary())
+        written = pa.array(pieces, pa.large_binary())
         for batch in batches:
             column = batch.column(ids_col)
             ends = column.offsets.to_numpy()
@@ -393,7 +414,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", model: PieceTransducer | None
             data = taken.buffers()[2]
             data = memoryview(data) if data is not None else memoryview(b"")
             cuts = places[ends - first].tolist() if len(taken) else [0] * len(ends)
-            texts = [None if gone else transducer.shown(bytes(data[s:e])) for s, e, gone in zip(cuts, cuts[1:], column.is_null().to_pylist(), strict=False)]
+            texts = [None if gone else shown(bytes(data[s:e]), prefix) for s, e, gone in zip(cuts, cuts[1:], column.is_null().to_pylist(), strict=False)]
             yield batch.append_column("decoded", pa.array(texts, pa.string()))
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("decoded", T.StringType())]))

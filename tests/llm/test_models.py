@@ -305,6 +305,48 @@ def test_pieces_are_those_of_the_library(model):
         assert model.decode(ids) == t.replace("▁", " ")
 
 
+def test_long_words_take_linear_time(model):
+    """Words of up to a million characters without a break, against the library; four times the length takes about four times as long."""
+    import time
+
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    rng = random.Random(8)
+    for make in (lambda n: "ab" * (n // 2), lambda n: "".join(rng.choices("abcdefghij", k=n))):
+        seconds = []
+        for n in (250_000, 1_000_000):
+            t = make(n)
+            start = time.perf_counter()
+            ids = model.encode(t)
+            seconds.append(time.perf_counter() - start)
+            assert ids == sp.encode(t)
+        assert seconds[1] < 8 * seconds[0] + 1
+
+
+def test_normaliser():
+    import itertools
+    import re
+
+    for prefix, squeeze, escape in itertools.product([False, True], repeat=3):
+        normalise = piece_transducer.Normaliser(prefix, squeeze, escape)
+        for t in ("", " ", "   ", "a", " a", "a  b ", "  a b   c  ", "é\t \n  x"):
+            want = re.sub(" +", " ", t).strip(" ") if squeeze else t
+            want = " " + want if prefix and want else want
+            assert normalise(t) == (want.replace(" ", "▁") if escape else want)
+
+
+def test_remembered_bytes_are_bounded(model):
+    import pickle
+
+    fresh = piece_transducer.PieceTransducer(model.model)
+    fresh.room = 5000
+    words = [f"word{i}" for i in range(500)]
+    assert fresh.encode(" ".join(words)) == model.encode(" ".join(words)) and len(fresh.latest) + len(fresh.chunks) < 30
+    assert pickle.loads(pickle.dumps(model)) is model
+
+
 def test_unigram_shortest_path(model):
     """A small unigram model: the shortest path against all segmentations."""
     import itertools
