@@ -1,40 +1,50 @@
 """Embedding near-duplicates by iterative quantisation and multi-index Hamming tables.
 
 A rotation of the principal axes is learnt so that signs lose little (iterative
-quantisation); every vector gets a binary code. The code is cut into ``tables``
-substrings. A pair of one label is retrieved where some substring differs in at
-most one bit: one side is filed under each of its substrings, the other asks for
-each of its own and their one-bit neighbours. A pair is kept by the first table
-that retrieves it, so none comes twice, and only if the whole codes are near. The
-original vectors rerank in double precision. Vectors of different lengths are never
-compared; lengths that are too rare in the sample to learn from get codes by random
-hyperplanes.
-
-Equal vectors of a label are one class with a count, so copies make no pairs.
+quantisation); every vector gets a binary code. The code is cut into substrings, one per
+table, and two vectors of one label are retrieved where some substring is equal. How long
+substrings may be follows from the data: pairs exactly at the threshold are made from the
+sample, and the longest substrings that retrieve ``recall`` of them are taken; if none do,
+or on request, one table holds a label as a whole and nothing is lost. The original
+vectors rerank in double precision. Vectors of different lengths are never compared;
+lengths that are too rare in the sample to learn from get codes by random hyperplanes.
+
+A bucket is compared within one task, and a large one as pairs of its blocks. The first
+pass over the buckets moves codes only and tells which vectors have a candidate there; only
+these meet their vectors, once per bucket. A task returns link counts by vector and a
+spanning forest of its links, never the pairs. A pair counts in the first table that
+retrieves it. Equal vectors of a label are one class with a count, so copies make no pairs.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 from .components import connected_components
+from .simhash import _union
 
-THRESHOLD, TABLES, MAX_BITS, MAX_HAMMING = 0.93, 5, 64, 20
+THRESHOLD, RECALL, MAX_BITS = 0.93, 0.98, 64
 #: Vectors the rotation is learnt from, the ones with the smallest hashes of their ids.
 SAMPLE, ROUNDS = 4096, 30
+#: Vectors of a bucket that are one block, and rows of a block that are compared at once.
+BLOCK, SLICE = 2048, 256
+#: Rows of a task that are gone through at once.
+ROWS = 1 << 14
 
 
-def learn_rotation(x: np.ndarray, bits: int = MAX_BITS, rounds: int = ROUNDS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, projection) such that signs of (x - mean) @ projection are balanced binary codes of x."""
-    x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    mean = x.mean(axis=0)
+def learn_rotation(x: np.ndarray, bits: int = MAX_BITS, rounds: int = ROUNDS, seed: int = 7, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, projection) such that signs of (x - mean) @ projection are balanced binary codes of x; the mean is zero if not centred."""
+    x = units(x)
+    mean = x.mean(axis=0) if centred else np.zeros(x.shape[1])
     bits = min(bits, x.shape[1])
     axes = np.linalg.svd((x - mean).T @ (x - mean))[0][:, :bits]
     v = (x - mean) @ axes
@@ -45,115 +55,274 @@ def learn_rotation(x: np.ndarray, bits: int = MAX_BITS, rounds: int = ROUNDS, se
     return mean, axes @ turn
 
 
-def codes(x: np.ndarray, mean: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Signed 64-bit code of each row; unused low bits are zero."""
-    bits = (x / np.linalg.norm(x, axis=1, keepdims=True) - mean) @ projection >= 0
-    packed = np.packbits(bits, axis=1)
-    full = np.zeros((len(x), 8), np.uint8)
-    full[:, : packed.shape[1]] = packed
-    return full.view(">u8").ravel().astype(np.uint64).view(np.int64)
+def units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, whatever their size."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def projections(drawn: list[list[float]], max_bits: int = MAX_BITS) -> tuple[int, dict[int, tuple[np.ndarray, np.ndarray]]]:
-    """Bits of all codes, and (mean, projection) by length: of the commonest length, and of others with four vectors a bit."""
-    n = Counter(map(len, drawn))
-    commonest = max(n, key=lambda k: (n[k], k))
-    bits = min(max_bits, commonest)
-    learnt = [k for k in n if k == commonest or (k >= bits and n[k] >= 4 * bits)]
-    return bits, {k: learn_rotation(np.array([v for v in drawn if len(v) == k]), bits) for k in learnt}
+@dataclass
+class Coder:
+    """Codes of vectors of one length: their upper bits are cut into substrings (shift, width); no cuts: one table of all."""
 
+    mean: np.ndarray
+    projection: np.ndarray
+    cuts: list[tuple[int, int]]
+    max_hamming: int
 
-def codes_by_length(column: pa.Array, bits: int, known: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Codes of vectors of any lengths; lengths that are not known get hyperplanes that follow from the length alone."""
-    lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    out = np.zeros(len(lengths), np.int64)
-    for k in np.unique(lengths).tolist():
-        mean, projection = known.get(k) or (np.zeros(k), np.random.default_rng(k).standard_normal((k, bits)))
-        own = np.flatnonzero(lengths == k)
-        out[own] = codes(_stack(column.take(pa.array(own))), mean, projection)
-    return out
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """64-bit code of each row; unused low bits are zero."""
+        packed = np.packbits((units(x) - self.mean) @ self.projection >= 0, axis=1)
+        full = np.zeros((len(x), 8), np.uint8)
+        full[:, : packed.shape[1]] = packed
+        return full.view(">u8").ravel().astype(np.uint64)
 
+    def keys(self, codes: np.ndarray) -> np.ndarray:
+        """A column per table: its number and the substring."""
+        if not self.cuts:
+            return np.zeros((len(codes), 1), np.int64)
+        return np.stack([(t << 32) | ((codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64) for t, (shift, width) in enumerate(self.cuts)], axis=1)
 
-def _stack(column: pa.Array) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    def retrieved(self, differ: np.ndarray, t: int) -> np.ndarray:
+        """Of pairs in a bucket of table t, by the bits they differ in: those that are near and in no bucket of an earlier table."""
+        ok = np.bitwise_count(differ) <= self.max_hamming
+        for shift, width in self.cuts[:t]:
+            ok &= (differ >> np.uint64(shift)) & np.uint64((1 << width) - 1) != 0
+        return ok
 
 
 def _cuts(bits: int, tables: int) -> list[tuple[int, int]]:
-    """(shift, width) of the substrings of a code, whose bits are the upper ones of a long."""
+    """(shift, width) of the substrings of a code, whose bits are the upper ones of 64."""
     edges = np.linspace(0, bits, tables + 1).round().astype(int).tolist()
     return [(64 - hi, hi - lo) for lo, hi in zip(edges, edges[1:])]
 
 
-def candidates(classes: DataFrame, bits: int, tables: int = TABLES, max_hamming: int = MAX_HAMMING) -> DataFrame:
-    """(a, b), a < b: pairs of classes (rep, label, length, code) that the Hamming tables retrieve, each once."""
-    cuts = _cuts(bits, tables)
-
-    def part(code: Column, t: int) -> Column:
-        shift, width = cuts[t]
-        return F.shiftrightunsigned(code, shift).bitwiseAND((1 << width) - 1)
+def pairs_at(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
+    """For each row another vector at exactly that cosine: half of them off in any direction, half as two other rows differ."""
+    x = units(x)
+    off = rng.standard_normal(x.shape)
+    real = x[rng.permutation(len(x))] - x[rng.permutation(len(x))]
+    half = np.arange(len(x)) % 2 == 0
+    off[half & (np.abs(real).sum(axis=1) > 1e-9)] = real[half & (np.abs(real).sum(axis=1) > 1e-9)]
+    off -= (off * x).sum(axis=1, keepdims=True) * x
+    size = np.linalg.norm(off, axis=1, keepdims=True)
+    off = np.where(size > 1e-9, off / np.maximum(size, 1e-9), 0)
+    return threshold * x + np.sqrt(1 - threshold**2) * off
+
+
+def coder(x: np.ndarray, bits: int, threshold: float, recall: float | None, learnt: bool = True) -> Coder:
+    """The codes and tables for vectors like x that let the fewest other pairs in while they retrieve ``recall`` of the pairs
+    at the threshold, in each half of pairs_at. recall None: one table of all."""
+    bits, rng = min(bits, x.shape[1]), np.random.default_rng(3)
+    best: tuple[float, Coder] | None = None
+    near, other = pairs_at(x, threshold, rng), x[rng.permutation(len(x))]
+    for centred in (True, False) if learnt else (False,):
+        if learnt:
+            mean, projection = learn_rotation(x, bits, centred=centred)
+        else:
+            mean, projection = np.zeros(x.shape[1]), rng.standard_normal((x.shape[1], bits))
+        one = Coder(mean, projection, [], 64)
+        if recall is None:
+            return one
+        a, b, c = one.codes(x), one.codes(near), one.codes(other)
+        apart = np.bitwise_count(a ^ b)
+        for tables in range(max(1, bits // 16), bits + 1):
+            cuts = _cuts(bits, tables)
+            alike = [np.any([((u ^ v) >> np.uint64(s)) & np.uint64((1 << w) - 1) == 0 for s, w in cuts], axis=0) for u, v in ((a, b), (a, c))]
+            if min(alike[0][0::2].mean(), alike[0][1::2].mean() if len(a) > 1 else 1) >= recall:
+                cost = alike[1].mean() * tables
+                if best is None or cost < best[0]:
+                    best = cost, Coder(mean, projection, cuts, int(apart.max()))
+                break  # more tables have shorter substrings
+    return best[1] if best else Coder(np.zeros(x.shape[1]), np.zeros((x.shape[1], bits)), [], 64)
+
+
+class Coders:
+    """A coder per length; lengths without enough vectors in the sample get one that follows from the length alone."""
+
+    def __init__(self, drawn: list[list[float]], max_bits: int = MAX_BITS, threshold: float = THRESHOLD, recall: float | None = RECALL):
+        self.shape, self.known = (max_bits, threshold, recall), {}
+        for k, n in Counter(map(len, drawn)).items():
+            if n >= 4 * min(max_bits, k):
+                self.known[k] = coder(np.array([v for v in drawn if len(v) == k], float), *self.shape)
+
+    def of(self, length: int) -> Coder:
+        if length not in self.known:
+            self.known[length] = coder(np.random.default_rng(length).standard_normal((1024, length)), *self.shape, learnt=False)
+        return self.known[length]
 
-    filed = classes.select("label", "length", F.col("rep").alias("b"), F.col("code").alias("code_b"), F.explode(F.array(*(F.struct(F.lit(t).alias("t"), part(F.col("code"), t).alias("key")) for t in range(tables)))).alias("at"))
-    asks = F.concat(*(F.array(*(F.struct(F.lit(t).alias("t"), part(F.col("code"), t).bitwiseXOR(F.lit(flip)).alias("key")) for flip in [0, *(1 << i for i in range(cuts[t][1]))])) for t in range(tables)))
-    asked = classes.select("label", "length", F.col("rep").alias("a"), F.col("code").alias("code_a"), F.explode(asks).alias("at"))
-    filed, asked = (x.select("label", "length", "at.t", "at.key", *x.columns[2:4]) for x in (filed, asked))
-    differ = F.col("code_a").bitwiseXOR(F.col("code_b"))
-    first = F.lit(tables)
-    for t in reversed(range(tables)):
-        first = F.when(F.bit_count(part(differ, t)) <= 1, F.lit(t)).otherwise(first)
-    near = (F.bit_count(differ) <= max_hamming) & (first == F.col("t"))
-    return asked.join(filed, ["label", "length", "t", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b")
 
+def _stack(column: pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+GROUP = ["label", "length", "key", "ci", "cj"]
+
+
+def _by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, int, int]]:
+    """(table, from, to) of every group with more than one row, from batches sorted by group and side."""
+
+    def groups(t: pa.Table) -> Iterator[tuple[pa.Table, int, int]]:
+        for s, e in zip(*_edges(t), strict=True):
+            if e - s > 1:
+                yield t, s, e
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+        if rows >= ROWS:
+            t = pa.Table.from_batches(held)
+            cut = _edges(t)[0][-1]
+            if cut:
+                yield from groups(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                rows = t.num_rows - cut
+    if rows:
+        yield from groups(pa.Table.from_batches(held))
+
+
+def _edges(t: pa.Table) -> tuple[list[int], list[int]]:
+    """Where groups begin and end."""
+    new = np.zeros(t.num_rows, bool)
+    new[0] = True
+    for c in GROUP:
+        v = t.column(c).combine_chunks()
+        new[1:] |= pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False).astype(bool)
+    starts = np.flatnonzero(new).tolist()
+    return starts, [*starts[1:], t.num_rows]
+
+
+def _compared(t: pa.Table, s: int, e: int, coders: Coders, codes: np.ndarray, sides: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(from, to, other from, retrieved) for slices of a group's rows from..to against its rows from ``other from`` on."""
+    one, key = coders.of(t.column("length")[s].as_py()), t.column("key")[s].as_py()
+    same = t.column("ci")[s].as_py() == t.column("cj")[s].as_py()
+    last, first = (e, s) if same else (s + int(np.searchsorted(sides[s:e], 2)),) * 2
+    for lo in range(s, last, SLICE):
+        hi = min(lo + SLICE, last)
+        begin = lo if same else first
+        ok = one.retrieved(codes[lo:hi, None] ^ codes[None, begin:e], key >> 32)
+        if same:
+            ok &= np.arange(begin, e)[None, :] > np.arange(lo, hi)[:, None]
+        if ok.any():
+            yield lo, hi, begin, ok
+
+
+def dealt(classes: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(rep, code, label, length, key, ci, cj, side): every class in every bucket of its, a large one by pairs of blocks."""
+    rows = classes.select("rep", "code", "label", "length", F.explode("keys").alias("key"))
+    bucket = ["label", "length", "key"]
+    large = written(rows.groupBy(*bucket).count().where(F.col("count") > block).select(*bucket, F.ceil(F.col("count") / block).cast("int").alias("blocks")), "buckets")
+    own = F.pmod(F.xxhash64("rep"), F.coalesce("blocks", F.lit(1))).cast("int")
+    spread = rows.join(large, bucket, "left").withColumns({"own": own, "other": F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))})
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    return spread.select("rep", "code", *bucket, F.least("own", "other").alias("ci"), F.greatest("own", "other").alias("cj"), side.alias("side"))
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP, "side")
+
+
+def retrieve(rows: DataFrame, coders: Coders) -> DataFrame:
+    """The rows of dealt() that have a candidate in their block pair, by their codes."""
 
-def rerank(pairs: DataFrame, classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose original vectors have a cosine of at least threshold, with the sizes of their classes."""
-    left = classes.select(F.col("rep").alias("a"), F.col("vec").alias("va"), F.col("n").alias("na"))
-    right = classes.select(F.col("rep").alias("b"), F.col("vec").alias("vb"), F.col("n").alias("nb"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[pa.Table, np.ndarray]] = []
+        codes = sides = None
+        for t, s, e in _by_group(batches):
+            if not kept or kept[-1][0] is not t:
+                if kept:
+                    yield from kept[-1][0].filter(pa.array(kept[-1][1])).combine_chunks().to_batches()
+                kept = [(t, np.zeros(t.num_rows, bool))]
+                codes, sides = t.column("code").to_numpy().view(np.uint64), t.column("side").to_numpy()
+            active = kept[-1][1]
+            for lo, hi, begin, ok in _compared(t, s, e, coders, codes, sides):
+                active[lo:hi] |= ok.any(axis=1)
+                active[begin:e] |= ok.any(axis=0)
+        if kept:
+            yield from kept[-1][0].filter(pa.array(kept[-1][1])).combine_chunks().to_batches()
+
+    return _together(rows).mapInArrow(run, rows.schema)
+
+
+def rerank(active: DataFrame, classes: DataFrame, coders: Coders, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b, n): per block pair, n rows linked to class a (b null), and links a to b that connect what it links (n null)."""
+    on = ["rep", "label", "length", "code"]
+    rows = active.join(classes.select(*on, "vec", "n"), on)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            lengths = batch.column("va").value_lengths().to_numpy(zero_copy_only=False)
-            cosine = np.zeros(len(lengths))
-            for k in np.unique(lengths):
-                own = np.flatnonzero(lengths == k)
-                x, y = (_stack(batch.column(c).take(pa.array(own))).astype(np.float64) for c in ("va", "vb"))
-                cosine[own] = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array(cosine >= threshold))
+        held = codes = sides = None
+        for t, s, e in _by_group(batches):
+            if held is not t:
+                held, codes, sides = t, t.column("code").to_numpy().view(np.uint64), t.column("side").to_numpy()
+            x, n = units(_stack(t.column("vec").slice(s, e - s))), t.column("n").to_numpy()[s:e]
+            links, up = np.zeros(e - s, np.int64), np.arange(e - s)
+            for lo, hi, begin, ok in _compared(t, s, e, coders, codes, sides):
+                lo, hi, begin = lo - s, hi - s, begin - s
+                if ok.mean() > 0.05:
+                    i, j = np.nonzero(ok & (x[lo:hi] @ x[begin:].T >= threshold))
+                else:
+                    i, j = np.nonzero(ok)
+                    near = np.einsum("ij,ij->i", x[lo + i], x[begin + j]) >= threshold
+                    i, j = i[near], j[near]
+                i, j = i + lo, j + begin
+                np.add.at(links, i, n[j])
+                np.add.at(links, j, n[i])
+                _union(up, i, j)
+            counted, joined = np.flatnonzero(links), np.flatnonzero(up != np.arange(e - s))
+            if len(counted):
+                rep = t.column("rep").slice(s, e - s).combine_chunks()
+                none = pa.nulls(len(counted), rep.type)
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(counted)), none, pa.array(links[counted])], names=["a", "b", "n"])
+                yield pa.RecordBatch.from_arrays([rep.take(pa.array(up[joined])), rep.take(pa.array(joined)), pa.nulls(len(joined), pa.int64())], names=["a", "b", "n"])
 
     kind = classes.schema["rep"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "va", "vb").mapInArrow(run, f"a {kind}, b {kind}, na long, nb long")
+    return _together(rows).mapInArrow(run, f"a {kind}, b {kind}, n long")
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, tables: int = TABLES, max_bits: int = MAX_BITS, sample: int = SAMPLE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = THRESHOLD, recall: float | None = RECALL, max_bits: int = MAX_BITS, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """(id_col, n_links, component_id, kept) of every row.
 
-    n_links counts the other rows of the same label and length whose cosine is at least threshold, as far as the
-    tables retrieve them; component_id is the smallest id reachable by links; kept: id = component_id.
-    Vectors that are null, empty, zero or hold nulls or non-finite numbers, null labels and null ids
-    link with nothing. Repeated rows are other rows. An empty table gives no rows; other columns are not read.
+    n_links counts the other rows of the same label and length whose cosine is at least threshold, of which the tables
+    retrieve about ``recall`` at the threshold and more beyond it (None: all); component_id is the smallest id reachable
+    by links, where rows of one id are one node; kept: id = component_id. Vectors that are null, empty, zero or hold nulls or non-finite numbers, null labels
+    and null ids link with nothing; vectors may be long and large. Repeated rows are other rows; those of a tie for the
+    smallest id are all kept. An empty table gives no rows; other columns are not read.
     """
-    rows = vectors.select(vectors[id_col].alias("id"), vectors[label_col].alias("label"), vectors[vector_col].cast("array<double>").alias("vec"))
+    source = vectors.schema[vector_col].dataType.simpleString()
+    vec = vectors[vector_col] if source == "array<float>" else vectors[vector_col].cast("array<double>")
+    rows = vectors.select(vectors[id_col].alias("id"), vectors[label_col].alias("label"), vec.alias("vec"))
     sound = F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("vec", lambda v: v != 0)
     ok = rows.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.coalesce(sound, F.lit(False)))
     drawn = [r["vec"] for r in ok.orderBy(F.xxhash64("id")).select("vec").limit(sample).collect()]
     if not drawn:
         return vectors.select(id_col, F.lit(0).cast("long").alias("n_links"), F.col(id_col).alias("component_id"), F.lit(True).alias("kept"))
-    bits, known = projections(drawn, max_bits)
+    coders = Coders(drawn, max_bits, threshold, recall)
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield batch.append_column("code", pa.array(codes_by_length(batch.column("vec"), bits, known)))
-
-    same = ok.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
-    kinds = {c: same.schema[c].dataType.simpleString() for c in ("rep", "label")}
-    classes = written(same.select("rep", "label", "vec", "n").mapInArrow(coded, f"rep {kinds['rep']}, label {kinds['label']}, vec array<double>, n long, code long"), "classes")
-    links = written(rerank(candidates(classes.select("rep", "label", F.size("vec").alias("length"), "code"), bits, tables), classes, threshold), "links")
-    both = links.select(F.col("a").alias("rep"), F.col("nb").alias("n")).unionAll(links.select(F.col("b").alias("rep"), F.col("na").alias("n")))
-    others = both.groupBy("rep").agg(F.sum("n").alias("others"))
-    found = connected_components(links, "a", "b")
+            if not batch.num_rows:
+                continue
+            column, lengths = batch.column("vec"), batch.column("vec").value_lengths().to_numpy(zero_copy_only=False)
+            code, keys = np.zeros(len(lengths), np.uint64), [None] * len(lengths)
+            for k in np.unique(lengths).tolist():
+                own, one = np.flatnonzero(lengths == k), coders.of(k)
+                code[own] = one.codes(_stack(column.take(pa.array(own))))
+                for i, found in zip(own.tolist(), one.keys(code[own]), strict=True):
+                    keys[i] = found
+            batch = batch.append_column("length", pa.array(lengths.astype(np.int32)))
+            yield batch.append_column("code", pa.array(code.view(np.int64))).append_column("keys", pa.array(keys, pa.list_(pa.int64())))
+
+    same = ok.groupBy("label", "vec").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "label", "vec", "n")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in same.schema)
+    classes = written(same.mapInArrow(coded, f"{schema}, length int, code long, keys array<bigint>"), "classes")
+    active = written(retrieve(dealt(classes, block), coders), "active")
+    links = written(rerank(active, classes, coders, threshold), "links")
+    others = links.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
+    found = connected_components(links.where("b is not null"), "a", "b")
     of = classes.join(others, "rep", "left").join(found, classes["rep"] == found["node"], "left").select(
         "label", "vec", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )

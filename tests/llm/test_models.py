@@ -93,10 +93,54 @@ def test_embeddings_of_several_lengths(spark):
     assert got[len(rows) - 1] == got[len(rows) - 2] == 0
 
 
+def clustered(rng, groups, size, dims, spread, mean=0.0):
+    """Groups around directions of their own, with a part that all share."""
+    shared = rng.standard_normal(dims)
+    shared *= mean / np.linalg.norm(shared)
+    rows = []
+    for c in range(groups):
+        base = rng.standard_normal(dims)
+        base *= np.sqrt(1 - mean**2) / np.linalg.norm(base)
+        for _ in range(size):
+            off = rng.standard_normal(dims)
+            rows.append((len(rows), [float(v) for v in shared + base + spread * off / np.linalg.norm(off)], c % 3))
+    return rows
+
+
+@pytest.mark.parametrize("mean", [0.0, 0.7, 0.9])
+def test_embeddings_near_the_threshold(spark, mean):
+    """Pairs at cosines of 0.93 to 0.96, also where vectors have a strong common direction: recall by tables, all of them without, in blocks."""
+    rows = clustered(np.random.default_rng(7), 200, 3, 48, 0.24, mean)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    links, component = brute_embeddings([(i, np.array(v, np.float32).astype(float), label) for i, v, label in rows])
+    count = Counter(x for p in links for x in p)
+    assert len(links) > 300
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(df).collect()}
+    assert all(got[i] <= count[i] for i in got) and sum(got.values()) >= 0.95 * 2 * len(links)
+    whole = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, recall=None, block=50).collect()}
+    assert whole == {i: (count[i], component[i]) for i in component}
+
+
+def test_embedding_blocks_and_sizes(spark):
+    """A bucket that is cut into blocks gives the same rows; very large and very small components keep their direction."""
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal(24)
+    rows = [(i, [float(v) for v in base + 0.1 * rng.standard_normal(24)], 0) for i in range(120)]
+    rows += [(200 + i, [v * scale for v in rows[i][1]], 0) for i, scale in enumerate((1e200, 1e-200, 1e300))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    want = {i: (len(rows) - 1, 0) for i, *_ in rows}
+    for block in (16, 2048):
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, block=block).collect()} == want
+    twice = df.unionByName(df.where("vec_id < 5")).unionByName(df.where("vec_id = 3").withColumn("label", F.lit(1)))
+    got = embedding_dedup.near_duplicates(twice.withColumns({"rep": F.lit(1), "n": F.lit(2), "key": F.lit("k")})).collect()
+    assert len(got) == len(rows) + 6 and {r["component_id"] for r in got} == {0} and max(r["n_links"] for r in got) == len(rows) + 4
+
+
 def test_embedding_query_recall(spark):
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.query(spark, SF).collect()}
-    links, _ = brute_embeddings([(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()])
-    assert len(got) == 500 and sum(got.values()) >= 0.9 * 2 * len(links)
+    sf = "/root/testdata/sf0.1"
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.query(spark, sf).collect()}
+    links, _ = brute_embeddings([(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()])
+    assert len(links) > 10 and sum(got.values()) >= 0.95 * 2 * len(links)
 
 
 def plain_fingerprint(text):
@@ -493,6 +537,77 @@ def test_lm_gibberish_is_less_likely(spark):
             shared[first + zlib.crc32(w) % masked_lm.HASHED] += k
     assert len(n) > len(words) and {i: counts[i] for i in range(first, len(counts)) if counts[i]} == shared
     tokens = masked_lm.token_ids(df, words)
-    rare = {r["row"]: r["log_count"] for r in masked_lm.rare_counts(tokens, counted).collect()}
+    rare = {r["row"]: (r["log_count"], r["n_seen"]) for r in masked_lm.rare_counts(tokens, counted).collect()}
     for r in tokens.collect():
-        assert rare.get(r["row"], 0) == pytest.approx(sum(math.log(n[w]) for w in texts[r["id"]].encode().split() if w not in words))
+        own = Counter(w for w in texts[r["id"]].encode().split() if w not in words)
+        assert r["n_rare"] == own.total()
+        want = sum(k * (math.log(n[w] - k + masked_lm.UNSEEN) - math.log(masked_lm.UNSEEN)) for w, k in own.items() if n[w] > k)
+        assert rare.get(r["row"], (0, 0)) == (pytest.approx(want), sum(k for w, k in own.items() if n[w] > k))
+
+
+def plain_scores(texts, net, words, counts):
+    """Every document's score, token by token, from the parameters of a fitted network."""
+    p, w, size = net.p, net.window, net.classes
+    n = Counter(x for t in texts.values() for x in (t or "").encode().split())
+    first = size * size - masked_lm.HASHED
+    share = (counts + 0.1).reshape(size, size)
+    out = {}
+    for i, t in texts.items():
+        said = (t or "").encode().split()
+        own = Counter(said)
+        ids = [0] * w + [words.get(x) or first + zlib.crc32(x) % masked_lm.HASHED for x in said] + [0] * w
+        total = 0.0
+        for at in range(w, len(ids) - w):
+            left, right = (p["left"][ids[at - k]] for k in range(1, w + 1)), (p["right"][ids[at + k]] for k in range(1, w + 1))
+            h = np.tanh(sum(left) + sum(right) + p["bias"].astype(float))
+            high, low = divmod(ids[at], size)
+            a = h @ p["high"] + p["high_bias"]
+            b = (h + p["of_class"][high]) @ p["low"] + np.log(share[high] / share[high].sum())
+            total += a[high] - np.log(np.exp(a).sum()) + b[low] - np.log(np.exp(b).sum())
+            x = said[at - w]
+            if ids[at] >= first:
+                total += math.log(n[x] - own[x] + masked_lm.UNSEEN) - math.log(max(counts[ids[at]], 1))
+        out[i] = (len(said), total)
+    return out
+
+
+def test_lm_scores_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    words, counts, _ = masked_lm.vocabulary(docs)
+    net = masked_lm.fit(masked_lm.token_ids(docs, words), counts)
+    fresh = masked_lm.WindowNetwork(counts)
+    assert np.abs(net.p["left"] - fresh.p["left"]).max() > 0.05
+    want = plain_scores({i: t for i, t in texts.items()}, net, words, counts)
+    got = {r["doc_id"]: (r["n_tokens"], r["score"]) for r in masked_lm.query(spark, SF).collect()}
+    assert set(got) == set(want)
+    for i, (n, score) in want.items():
+        assert got[i][0] == n and got[i][1] == pytest.approx(score, rel=2e-3, abs=0.05)
+
+
+def test_lm_tells_documents_that_occur_twice(spark):
+    """A model of the whole corpus: documents that are there twice score above others, by their own words."""
+    rng = random.Random(12)
+    weights = [1 / (k + 10) for k in range(60_000)]
+    make = lambda: " ".join(f"w{k}" for k in rng.choices(range(60_000), weights, k=rng.randrange(80, 400)))
+    texts = [make() for _ in range(900)]
+    texts += texts[:60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in masked_lm.score(df).collect()}
+    twice, once = {*range(60), *range(900, 960)}, range(60, 900)
+    assert all(rows[i]["n_unseen"] == 0 for i in twice) and sum(rows[i]["n_unseen"] > 0 for i in once) >= 0.95 * len(once)
+    bound = sorted(rows[i]["mean_score"] for i in once)[int(len(once) * 0.9)]
+    assert sum(rows[i]["mean_score"] > bound for i in twice) >= 0.9 * len(twice)
+
+
+def test_lm_average_is_by_touches(spark):
+    """An embedding that one partition alone has met keeps all that it learnt there."""
+    docs = [(i, "alpha beta gamma delta " * 60) for i in range(20)] + [(20 + i, "one two three four " * 60) for i in range(20)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    words, counts, _ = masked_lm.vocabulary(df)
+    tokens = masked_lm.token_ids(df, words)
+    halves = tokens.repartitionByRange(2, "id")
+    net, fresh = masked_lm.fit(halves, counts), masked_lm.WindowNetwork(counts)
+    alone = masked_lm.fit(tokens.where("id < 20").coalesce(1), counts)
+    at = words[b"alpha"]
+    assert np.abs(net.p["left"][at] - fresh.p["left"][at]).max() > 0.9 * np.abs(alone.p["left"][at] - fresh.p["left"][at]).max() > 0
