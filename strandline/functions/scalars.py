@@ -71,8 +71,8 @@ def human_bytesize(n: Column) -> Column:
     out = F.concat(n.cast("string"), F.lit(" Bytes"))
     for i, unit in reversed(list(enumerate(("Bytes", "kB", "MB", "GB", "TB", "PB", "EB")))):
         v = n / F.pow(F.lit(1000.0), F.lit(i))
-        whole = F.concat(F.format_string("%.0f", F.rint(v)), F.lit(f" {unit}"))
-        out = F.when((F.rint(v) < 10) & (n >= 1000), F.concat(F.format_string("%.1f", v), F.lit(f" {unit}"))).when(F.rint(v) < 1000, whole).otherwise(out)
+        whole = F.concat(F.format_number(v, 0), F.lit(f" {unit}"))
+        out = F.when((F.rint(v) < 10) & (n >= 1000), F.concat(F.format_number(v, 1), F.lit(f" {unit}"))).when(F.rint(v) < 1000, whole).otherwise(out)
     return F.when(n == 1, F.lit("1 Byte")).otherwise(out)
 
 

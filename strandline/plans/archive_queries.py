@@ -61,11 +61,11 @@ def restitution_epochs(spark, d):
     return out.where((F.col("n_matches") == 1) == F.col("ydata").isNotNull()).groupBy(F.col("codes").cast("long").alias("k")).agg(F.count("*").alias("n"), F.sum("n_matches").alias("matches"))
 
 
-@register("sensors", f"""WITH {_N}, c AS (SELECT DISTINCT string_split(codes, '.')[1] || '.' || string_split(codes, '.')[2] || '...' AS sensor, codes, tmin_ns, tmax_ns FROM nuts WHERE kind = 'channel' AND file_id % 4 = 0), b AS (SELECT sensor, tmin_ns AS t FROM c UNION SELECT sensor, tmax_ns FROM c),
+@register("sensors", f"""WITH {_N}, c AS (SELECT DISTINCT string_split(codes, '.')[1] || '.' || string_split(codes, '.')[2] || '...' AS sensor, codes, tmin_ns, tmax_ns FROM nuts WHERE kind = 'channel'), b AS (SELECT sensor, tmin_ns AS t FROM c UNION SELECT sensor, tmax_ns FROM c),
 k AS (SELECT c.sensor, codes, tmin_ns, tmax_ns, t FROM c JOIN b ON c.sensor = b.sensor AND t >= tmin_ns AND t < tmax_ns), p AS (SELECT sensor, codes, t, coalesce(lead(t) OVER (PARTITION BY sensor, codes, tmin_ns, tmax_ns ORDER BY t), tmax_ns) AS u FROM k)
 SELECT sensor, t AS tmin_ns, u AS tmax_ns, string_agg(DISTINCT codes, ',' ORDER BY codes) AS components FROM p GROUP BY sensor, t, u""")
 def sensors(spark, d):
-    c = tables.nuts(spark, d).where("kind = 'channel' and file_id % 4 = 0").select("codes", "tmin_ns", "tmax_ns").distinct()
+    c = tables.nuts(spark, d).where("kind = 'channel'").select("codes", "tmin_ns", "tmax_ns").distinct()
     return ar.sensors(c, [])
 
 
@@ -164,11 +164,11 @@ def station_tree(spark, d):
     return tree.select("network", F.size("stations").cast("long").alias("n_stations"), n.cast("long").alias("n_channels"))
 
 
-@register("timing_table", """WITH p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist FROM customer WHERE c_custkey < 60) SELECT pair, round(depth * 0.2 + dist * 0.13, 6) + 0.0 AS t FROM p""")
+@register("timing_table", """WITH p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist FROM customer) SELECT pair, round(depth * 0.2 + dist * 0.13, 6) + 0.0 AS t FROM p""")
 def timing_table(spark, d):
     """A travel-time table that is linear between its points, so that interpolation is exact."""
     k = F.col("c_custkey")
-    p = tables.read(spark, d, "customer").where(k < 60).select(k.alias("pair"), (k * 7 % 41).cast("double").alias("depth"), (k * 13 % 201 + 100).cast("double").alias("dist"), F.lit("P").alias("phase"))
+    p = tables.read(spark, d, "customer").select(k.alias("pair"), (k * 7 % 41).cast("double").alias("depth"), (k * 13 % 201 + 100).cast("double").alias("dist"), F.lit("P").alias("phase"))
     grid = spark.range(25).select(F.lit("P").alias("phase"), F.floor(F.col("id") / 5).alias("i0"), (F.col("id") % 5).alias("i1")).withColumn("t", F.col("i0") * 10 * 0.2 + (F.col("i1") * 50 + 100) * 0.13)
     out = md.interpolate(p, grid, [("depth", 0.0, 10.0, 5), ("dist", 100.0, 50.0, 5)], "t", ["phase"])
     return out.select("pair", r6(F.col("t")).alias("t"))

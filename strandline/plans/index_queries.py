@@ -188,15 +188,15 @@ def gaps(spark, d):
     return iv.gaps(tables.nuts(spark, d), ["codes"], Y1997, Y1999)
 
 
-@register("blocks", f"WITH {_N}, w AS (SELECT *, (CASE WHEN deltat * 100000 <= 86400 THEN 1 WHEN deltat * 100000 / 86400 >= 3.5 THEN 5 WHEN deltat * 100000 / 86400 >= 1.5 THEN 2 ELSE 1 END) * 86400000000000::BIGINT AS w FROM nuts WHERE file_id % 50 = 0), b AS (SELECT codes, element, w, unnest(range(floor(tmin_ns / w)::BIGINT, greatest(ceil(tmax_ns / w)::BIGINT, floor(tmin_ns / w)::BIGINT + 1))) AS b FROM w) SELECT codes, element, b * w AS block_min_ns, (b + 1) * w AS block_max_ns FROM b")
+@register("blocks", f"WITH {_N}, w AS (SELECT *, (CASE WHEN deltat * 100000 <= 86400 THEN 1 WHEN deltat * 100000 / 86400 >= 3.5 THEN 5 WHEN deltat * 100000 / 86400 >= 1.5 THEN 2 ELSE 1 END) * 86400000000000::BIGINT AS w FROM nuts), b AS (SELECT codes, element, w, unnest(range(floor(tmin_ns / w)::BIGINT, greatest(ceil(tmax_ns / w)::BIGINT, floor(tmin_ns / w)::BIGINT + 1))) AS b FROM w) SELECT codes, element, b * w AS block_min_ns, (b + 1) * w AS block_max_ns FROM b")
 def blocks(spark, d):
-    return iv.blocks(tables.nuts(spark, d).where("file_id % 50 = 0")).select("codes", "element", "block_min_ns", "block_max_ns")
+    return iv.blocks(tables.nuts(spark, d)).select("codes", "element", "block_min_ns", "block_max_ns")
 
 
-@register("interval_join", f"WITH {_N}, q AS (SELECT c_custkey AS q, {Y1997} + (c_custkey % 1000) * {DAY} AS a, {Y1997} + (c_custkey % 1000) * {DAY} + (c_custkey % 40) * 3600000000000 AS b FROM customer WHERE c_custkey % 10 = 0) SELECT q, count(*) AS n, min(tmin_ns) AS first, max(tmax_ns) AS last FROM nuts JOIN q ON tmin_ns < greatest(b, a + 1) AND tmax_ns > a GROUP BY q")
+@register("interval_join", f"WITH {_N}, q AS (SELECT s_suppkey AS q, {Y1997} + (s_suppkey * 10 % 1000) * {DAY} AS a, {Y1997} + (s_suppkey * 10 % 1000) * {DAY} + (s_suppkey % 40) * 3600000000000 AS b FROM supplier) SELECT q, count(*) AS n, min(tmin_ns) AS first, max(tmax_ns) AS last FROM nuts JOIN q ON tmin_ns < greatest(b, a + 1) AND tmax_ns > a GROUP BY q")
 def interval_join(spark, d):
-    k = F.col("c_custkey")
-    q = tables.read(spark, d, "customer").where(k % 10 == 0).select(k.alias("q"), (F.lit(Y1997) + k % 1000 * DAY).alias("qmin_ns")).withColumn("qmax_ns", F.col("qmin_ns") + F.col("q") % 40 * (3600 * T.SECOND))
+    k = F.col("s_suppkey")
+    q = tables.read(spark, d, "supplier").select(k.alias("q"), (F.lit(Y1997) + k * 10 % 1000 * DAY).alias("qmin_ns")).withColumn("qmax_ns", F.col("qmin_ns") + F.col("q") % 40 * (3600 * T.SECOND))
     return iv.interval_join(tables.nuts(spark, d), q).groupBy("q").agg(F.count("*").alias("n"), F.min("tmin_ns").alias("first"), F.max("tmax_ns").alias("last"))
 
 
@@ -209,9 +209,9 @@ def epoch_lookup(spark, d):
     return iv.epoch_lookup(p, e, ["customer"]).select("event_id", "customer", "t_ns", "n_matches", "epoch_o_orderkey", "epoch_tmin_ns")
 
 
-@register("epochs_cut", f"""WITH {_N}, e AS (SELECT DISTINCT codes, element, tmin_ns, tmax_ns FROM nuts WHERE file_id % 20 = 0), b AS (SELECT codes, tmin_ns AS t FROM e UNION SELECT codes, tmax_ns FROM e), c AS (SELECT e.codes, element, tmin_ns, tmax_ns, t FROM e JOIN b ON e.codes = b.codes AND t >= tmin_ns AND t < tmax_ns) SELECT codes, element, t AS tmin_ns, coalesce(lead(t) OVER (PARTITION BY codes, element, tmin_ns, tmax_ns ORDER BY t), tmax_ns) AS tmax_ns FROM c""")
+@register("epochs_cut", f"""WITH {_N}, e AS (SELECT DISTINCT codes, element, tmin_ns, tmax_ns FROM nuts), b AS (SELECT codes, tmin_ns AS t FROM e UNION SELECT codes, tmax_ns FROM e), c AS (SELECT e.codes, element, tmin_ns, tmax_ns, t FROM e JOIN b ON e.codes = b.codes AND t >= tmin_ns AND t < tmax_ns) SELECT codes, element, t AS tmin_ns, coalesce(lead(t) OVER (PARTITION BY codes, element, tmin_ns, tmax_ns ORDER BY t), tmax_ns) AS tmax_ns FROM c""")
 def epochs_cut(spark, d):
-    e = tables.nuts(spark, d).where("file_id % 20 = 0").select("codes", "element", "tmin_ns", "tmax_ns").distinct()
+    e = tables.nuts(spark, d).select("codes", "element", "tmin_ns", "tmax_ns").distinct()
     return iv.cut_at_boundaries(e, ["codes"])
 
 
@@ -250,7 +250,7 @@ def coverage_joined(spark, d):
     return cov.joined(n, ["network"], DAY)
 
 
-@register("index_check", f"""WITH {_N}, w AS (SELECT codes, tmin_ns, tmax_ns, deltat FROM nuts WHERE kind = 'waveform' AND part % 3 = 0), c AS (SELECT codes, tmin_ns, tmax_ns, deltat FROM nuts WHERE kind = 'channel' AND part % 2 = 0),
+@register("index_check", f"""WITH {_N}, x AS (SELECT kind, codes || part % 29 AS codes, tmin_ns, tmax_ns, deltat FROM nuts), w AS (SELECT * FROM x WHERE kind = 'waveform'), c AS (SELECT * FROM x WHERE kind = 'channel'),
 over_w AS (SELECT DISTINCT codes FROM (SELECT codes, tmin_ns, max(tmax_ns) OVER (PARTITION BY codes ORDER BY tmin_ns, tmax_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM w) WHERE tmin_ns < r),
 over_c AS (SELECT DISTINCT codes FROM (SELECT codes, tmin_ns, max(tmax_ns) OVER (PARTITION BY codes ORDER BY tmin_ns, tmax_ns ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM c) WHERE tmin_ns < r),
 ev AS (SELECT codes, t, sum(a) AS a, sum(b) AS b FROM (SELECT codes, tmin_ns AS t, 1 AS a, 0 AS b FROM w UNION ALL SELECT codes, tmax_ns, -1, 0 FROM w UNION ALL SELECT codes, tmin_ns, 0, 1 FROM c UNION ALL SELECT codes, tmax_ns, 0, -1 FROM c) GROUP BY codes, t)
@@ -259,5 +259,5 @@ UNION ALL SELECT DISTINCT codes, 'no_metadata' FROM w WHERE codes NOT IN (SELECT
 UNION ALL SELECT DISTINCT codes, 'incomplete' FROM (SELECT codes, sum(a) OVER o > 0 AND sum(b) OVER o = 0 AS bare FROM ev WINDOW o AS (PARTITION BY codes ORDER BY t)) WHERE bare AND codes IN (SELECT codes FROM c)
 UNION ALL SELECT DISTINCT codes, 'rate' FROM w WHERE codes IN (SELECT codes FROM c) AND deltat NOT IN (SELECT deltat FROM c c2 WHERE c2.codes = w.codes)""")
 def index_check(spark, d):
-    n = tables.nuts(spark, d)
-    return cov.check(n.where("kind = 'waveform' and part % 3 = 0"), n.where("kind = 'channel' and part % 2 = 0"), ["codes"])
+    n = tables.nuts(spark, d).withColumn("codes", F.concat("codes", (F.col("part") % 29).cast("string")))
+    return cov.check(n.where("kind = 'waveform'"), n.where("kind = 'channel'"), ["codes"])

@@ -150,11 +150,12 @@ def text_helpers(spark, d):
     return tables.read(spark, d, "customer").select("c_custkey", S.base36encode(k).alias("b36"), S.base36decode(S.base36encode(k)).alias("back"), S.quoted_join(F.array("c_name", F.lit("a 'b"))).alias("joined"), S.escape(F.lit("it's \\ ")).alias("escaped"))
 
 
-@register("byte_sizes", """WITH n AS (SELECT o_orderkey, (o_totalprice * (CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.1 WHEN 2 THEN 1000 ELSE 1000000 END))::BIGINT AS n FROM orders) SELECT o_orderkey, n FROM n""")
+@register("byte_sizes", """WITH n AS (SELECT o_orderkey, (o_totalprice * (CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 0.1 WHEN 2 THEN 1000 ELSE 1000000 END))::BIGINT AS n FROM orders) SELECT o_orderkey, n, CASE WHEN n = 1 THEN '1 Byte' WHEN n < 1000 THEN n || ' Bytes' WHEN round_even(n / 1e3, 0) < 10 THEN printf('%.1f kB', n / 1e3) WHEN round_even(n / 1e3, 0) < 1000 THEN printf('%.0f kB', n / 1e3)
+  WHEN round_even(n / 1e6, 0) < 10 THEN printf('%.1f MB', n / 1e6) WHEN round_even(n / 1e6, 0) < 1000 THEN printf('%.0f MB', n / 1e6) WHEN round_even(n / 1e9, 0) < 10 THEN printf('%.1f GB', n / 1e9) WHEN round_even(n / 1e9, 0) < 1000 THEN printf('%.0f GB', n / 1e9) ELSE printf('%.1f TB', n / 1e12) END AS shown FROM n""")
 def byte_sizes(spark, d):
     k = F.col("o_orderkey") % 4
     n = F.bround(F.col("o_totalprice") * F.when(k == 0, 0.001).when(k == 1, 0.1).when(k == 2, 1000.0).otherwise(1e6)).cast("long")
-    return tables.read(spark, d, "orders").select("o_orderkey", n.alias("n")).where(S.human_bytesize(F.col("n")).isNotNull())
+    return tables.read(spark, d, "orders").select("o_orderkey", n.alias("n")).withColumn("shown", S.human_bytesize(F.col("n")))
 
 
 @register("fixed_width", "SELECT c_custkey, c_custkey AS k, left(c_mktsegment, 4) AS seg, CASE WHEN c_nationkey < 10 THEN -1 ELSE c_nationkey END AS nation FROM customer")

@@ -55,10 +55,10 @@ def downsample(spark, d):
     return _size(sg.downsample(tables.traces(spark, d), 2), "tmin_ns", "deltat")
 
 
-@register("spectrum", f"""WITH {_T}, s AS (SELECT trace_id, ydata, k FROM traces, range(33) r(k) WHERE trace_id % 10 = 0)
+@register("spectrum", f"""WITH {_T}, s AS (SELECT trace_id, ydata, k FROM traces, range(33) r(k))
 SELECT trace_id, round(k / 32.0, 6) + 0.0 AS freq, round(list_sum([ydata[j + 1] * cos(2 * pi() * k * j / 64) for j in range(64)]), 5) + 0.0 AS re, round(-list_sum([ydata[j + 1] * sin(2 * pi() * k * j / 64) for j in range(64)]), 5) + 0.0 AS im FROM s""")
 def spectrum(spark, d):
-    s = sg.spectrum(tables.traces(spark, d).where("trace_id % 10 = 0"))
+    s = sg.spectrum(tables.traces(spark, d))
     z = F.explode(F.arrays_zip("freq", "re", "im"))
     return s.select("trace_id", z.alias("z")).select("trace_id", r6(F.col("z.freq")).alias("freq"), (F.round("z.re", 5) + 0.0).alias("re"), (F.round("z.im", 5) + 0.0).alias("im"))
 
@@ -76,9 +76,9 @@ def _pairs(spark, d):
 _PAIRS = f"WITH {_T}, p AS (SELECT a.trace_id AS trace_id, a.ydata AS ya, b.ydata[1:50] AS yb, b.tmin_ns - a.tmin_ns AS dt FROM traces a JOIN traces b ON b.trace_id = a.trace_id + 1)"
 
 
-@register("correlate", _PAIRS + """ SELECT trace_id, dt + k * 500000000 AS t_ns, round(list_sum([ya[j] * yb[j + k] for j in range(greatest(1, 1 - k), least(64, 50 - k) + 1)]), 6) + 0.0 AS c FROM p, range(-63, 50) r(k) WHERE trace_id % 5 = 0""")
+@register("correlate", _PAIRS + """ SELECT trace_id, dt + k * 500000000 AS t_ns, round(list_sum([ya[j] * yb[j + k] for j in range(greatest(1, 1 - k), least(64, 50 - k) + 1)]), 6) + 0.0 AS c FROM p, range(-63, 50) r(k)""")
 def correlate(spark, d):
-    c = sg.correlate(_pairs(spark, d).where("trace_id % 5 = 0"))
+    c = sg.correlate(_pairs(spark, d))
     return c.select("trace_id", "tmin_ns", F.posexplode("c").alias("k", "c")).select("trace_id", (F.col("tmin_ns") + F.col("k").cast("long") * 500_000_000).alias("t_ns"), r6(F.col("c")).alias("c"))
 
 
@@ -147,24 +147,29 @@ def event_groups(spark, d):
     return jn.group_events(s, ["codes"], 7200 * 10**9).select("codes", F.col("i").alias("event_id"), "group")
 
 
-# Green's functions: the traces are records of a grid of 5 depths and 5 distances with 10 components.
+# Green's functions: the traces are records of grids of 5 depths and 5 distances with 10 components, one grid behind the other.
+# Every customer is a target, of one of the grids.
 def _store(spark, d):
-    return tables.traces(spark, d).where("trace_id < 250").select(F.col("trace_id").alias("irecord"), (F.col("trace_id") % 7).cast("int").alias("itmin"), F.col("ydata").alias("data"))
+    return tables.traces(spark, d).select(F.col("trace_id").alias("irecord"), (F.col("trace_id") % 7).cast("int").alias("itmin"), F.col("ydata").alias("data"))
 
 
 def _axes():
-    return [(F.col("depth"), 0.0, 10.0, 5), (F.col("dist"), 100.0, 50.0, 5)]
+    return [(F.col("grid"), 0.0, 1.0, 1 << 40), (F.col("depth"), 0.0, 10.0, 5), (F.col("dist"), 100.0, 50.0, 5)]
+
+
+def _n_grids(spark, d):
+    return tables.traces(spark, d).agg(F.floor(F.count("*") / 250).alias("n_grids"))
 
 
 def _pairs_gf(spark, d):
     k = F.col("c_custkey")
-    return tables.read(spark, d, "customer").where(k < 60).select(k.alias("pair"), (k * 7 % 41).cast("double").alias("depth"), (k * 13 % 201 + 100).cast("double").alias("dist"), (k * 17 % 360).cast("double").alias("azi"), (k * 29 % 360).cast("double").alias("bazi"), (k % 9 * 0.35).alias("delay"))
+    return tables.read(spark, d, "customer").join(F.broadcast(_n_grids(spark, d)), F.lit(True)).select(k.alias("pair"), (k % F.col("n_grids")).cast("double").alias("grid"), (k * 7 % 41).cast("double").alias("depth"), (k * 13 % 201 + 100).cast("double").alias("dist"), (k * 17 % 360).cast("double").alias("azi"), (k * 29 % 360).cast("double").alias("bazi"), (k % 9 * 0.35).alias("delay"))
 
 
-_GF = """WITH """ + _T + """, p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist, (c_custkey % 9) * 0.35::DOUBLE AS delay FROM customer WHERE c_custkey < 60),
-x AS (SELECT *, depth / 10 AS x, (dist - 100) / 50 AS y FROM p), v AS (SELECT pair, delay, floor(x) AS a, ceil(x) AS b, floor(y) AS c, ceil(y) AS e, x, y FROM x),
-k AS (SELECT pair, delay, ((a * 5 + c) * 10)::BIGINT AS irecord, (1 - (x - a)) * (1 - (y - c)) AS w FROM v UNION ALL SELECT pair, delay, ((b * 5 + c) * 10)::BIGINT, (1 - (b - x)) * (b - a) * (1 - (y - c)) FROM v
- UNION ALL SELECT pair, delay, ((a * 5 + e) * 10)::BIGINT, (1 - (x - a)) * (1 - (e - y)) * (e - c) FROM v UNION ALL SELECT pair, delay, ((b * 5 + e) * 10)::BIGINT, (1 - (b - x)) * (b - a) * (1 - (e - y)) * (e - c) FROM v),
+_GF = """WITH """ + _T + """, p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist, (c_custkey % 9) * 0.35::DOUBLE AS delay, (c_custkey % (SELECT count(*) // 250 FROM embeddings)) * 25 AS g FROM customer),
+x AS (SELECT *, depth / 10 AS x, (dist - 100) / 50 AS y FROM p), v AS (SELECT pair, delay, g, floor(x) AS a, ceil(x) AS b, floor(y) AS c, ceil(y) AS e, x, y FROM x),
+k AS (SELECT pair, delay, ((g + a * 5 + c) * 10)::BIGINT AS irecord, (1 - (x - a)) * (1 - (y - c)) AS w FROM v UNION ALL SELECT pair, delay, ((g + b * 5 + c) * 10)::BIGINT, (1 - (b - x)) * (b - a) * (1 - (y - c)) FROM v
+ UNION ALL SELECT pair, delay, ((g + a * 5 + e) * 10)::BIGINT, (1 - (x - a)) * (1 - (e - y)) * (e - c) FROM v UNION ALL SELECT pair, delay, ((g + b * 5 + e) * 10)::BIGINT, (1 - (b - x)) * (b - a) * (1 - (e - y)) * (e - c) FROM v),
 t AS (SELECT pair, irecord, delay, sum(w) AS w FROM k WHERE w <> 0 GROUP BY ALL)"""
 
 
@@ -174,7 +179,7 @@ def gf_vicinity(spark, d):
     return p.select("pair", F.explode(gf.vicinity(_axes(), 10)).alias("c")).select("pair", "c.irecord", r6(F.col("c.weight")).alias("weight"))
 
 
-@register("gf_nearest", "WITH p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist FROM customer WHERE c_custkey < 60) SELECT pair, ((round_even(depth / 10, 0) * 5 + round_even((dist - 100) / 50, 0)) * 10)::BIGINT AS irecord FROM p")
+@register("gf_nearest", "WITH p AS (SELECT c_custkey AS pair, ((c_custkey * 7) % 41)::DOUBLE AS depth, ((c_custkey * 13) % 201 + 100)::DOUBLE AS dist, (c_custkey % (SELECT count(*) // 250 FROM embeddings)) * 25 AS g FROM customer) SELECT pair, ((g + round_even(depth / 10, 0) * 5 + round_even((dist - 100) / 50, 0)) * 10)::BIGINT AS irecord FROM p")
 def gf_nearest(spark, d):
     return _pairs_gf(spark, d).select("pair", gf.nearest_record(_axes(), 10).alias("irecord"))
 
@@ -213,15 +218,18 @@ def gf_force(spark, d):
     return gf.static_sum(_store(spark, d), terms, ["pair", "component"], 40).select("pair", "component", r6(F.col("y")).alias("y"))
 
 
-@register("gf_check", f"WITH {_T} SELECT count(*) AS n_records, 0::BIGINT AS n_empty, 0::BIGINT AS n_repeated, 0::BIGINT AS n_bad FROM traces WHERE trace_id < 250")
+@register("gf_check", f"WITH {_T}, s AS (SELECT CASE WHEN trace_id % 17 = 0 THEN trace_id // 2 ELSE trace_id END AS k, trace_id % 13 = 0 AS empty, trace_id % 13 <> 0 AND trace_id % 11 = 0 AS bad FROM traces), r AS (SELECT k, count(*) AS n, bool_and(empty) AS empty, bool_or(bad) AS bad FROM s GROUP BY k) SELECT count(*) AS n_records, count(*) FILTER (empty) AS n_empty, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (bad) AS n_bad FROM r")
 def gf_check(spark, d):
-    return gf.check_store(_store(spark, d))
+    """A store with faults: records without samples, some with a sample that is no number, some under a number that is taken."""
+    k, s = F.col("irecord"), _store(spark, d)
+    data = F.when(k % 13 == 0, F.array().cast("array<double>")).when(k % 11 == 0, F.transform("data", lambda v, i: F.when(i == 3, float("nan")).otherwise(v))).otherwise(F.col("data"))
+    return gf.check_store(s.withColumns({"data": data, "irecord": F.when(k % 17 == 0, F.floor(k / 2)).otherwise(k)}))
 
 
-@register("rectangular_source", """WITH s AS (SELECT p_partkey AS source, radians((p_partkey * 7) % 360) AS st, radians((p_partkey * 11) % 91) AS dp, 1000.0 + p_size * 100 AS l, 500.0 + p_size * 40 AS w FROM part WHERE p_partkey < 50), g AS (SELECT *, ((il + 0.5) / 4 - 0.5) * l AS x, ((iw + 0.5) / 3 - 0.5) * w AS y FROM s, range(4) a(il), range(3) b(iw))
+@register("rectangular_source", """WITH s AS (SELECT p_partkey AS source, radians((p_partkey * 7) % 360) AS st, radians((p_partkey * 11) % 91) AS dp, 1000.0 + p_size * 100 AS l, 500.0 + p_size * 40 AS w FROM part), g AS (SELECT *, ((il + 0.5) / 4 - 0.5) * l AS x, ((iw + 0.5) / 3 - 0.5) * w AS y FROM s, range(4) a(il), range(3) b(iw))
 SELECT source, il::INT AS il, iw::INT AS iw, round(x * cos(st) - y * cos(dp) * sin(st), 4) + 0.0 AS north, round(x * sin(st) + y * cos(dp) * cos(st), 4) + 0.0 AS east, round(y * sin(dp), 4) + 0.0 AS depth, round(sqrt(pow(x - 0.5 * l / 2, 2) + y * y) / 2500, 6) + 0.0 AS time FROM g""")
 def rectangular_source(spark, d):
     k = F.col("p_partkey")
-    s = tables.read(spark, d, "part").where(k < 50).select(k.alias("source"), (k * 7 % 360).alias("strike"), (k * 11 % 91).alias("dip"), (1000.0 + F.col("p_size") * 100).alias("length"), (500.0 + F.col("p_size") * 40).alias("width"), F.lit(0.5).alias("nucleation_x"))
+    s = tables.read(spark, d, "part").select(k.alias("source"), (k * 7 % 360).alias("strike"), (k * 11 % 91).alias("dip"), (1000.0 + F.col("p_size") * 100).alias("length"), (500.0 + F.col("p_size") * 40).alias("width"), F.lit(0.5).alias("nucleation_x"))
     out = gf.rectangular_source(s, 4, 3, 2500.0)
     return out.select("source", "il", "iw", *((F.round(c, 4) + 0.0).alias(c) for c in ("north", "east", "depth")), r6(F.col("time")).alias("time"))

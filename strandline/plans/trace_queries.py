@@ -59,13 +59,14 @@ def trace_extremes(spark, d):
     return tables.traces(spark, d).select("trace_id", A.extremes(Y).alias("e")).select("trace_id", "e.imax", r6(F.col("e.max")).alias("max"), "e.imin", r6(F.col("e.min")).alias("min"), "e.iabs", r6(F.col("e.absmax")).alias("absmax"))
 
 
-@register("trace_extend", f"""WITH {_T}, i AS (SELECT *, greatest(0, -round_even(({T0} + 4000000000 - tmin_ns) / 5e8, 0)::BIGINT) AS a, greatest(0, round_even(({T0} + 60000000000 - tmin_ns) / 5e8, 0)::BIGINT - 63) AS b FROM traces WHERE trace_id < 40)
+@register("trace_extend", f"""WITH {_T}, i AS (SELECT *, trace_id % 7 AS a, (trace_id % 5) * 3 AS b FROM traces)
 SELECT trace_id, tmin_ns - a * 500000000 AS tmin_ns, 64 + a + b AS n, round(list_sum(ydata), 6) + 0.0 AS zeros, round(list_sum(ydata) + a * ydata[1] + b * ydata[64], 6) + 0.0 AS repeats, round(list_sum(ydata) * (1 + (a + b) / 64), 6) + 0.0 AS means, round(list_sum(ydata) + (a + b) * list_median(ydata), 6) + 0.0 AS medians FROM i""")
 def trace_extend(spark, d):
     Y, TMIN, DT = _cols()
-    lo, hi = F.lit(T0 + 4_000_000_000), F.lit(T0 + 60_000_000_000)
+    step = 500_000_000
+    lo, hi = TMIN - F.col("trace_id") % 7 * step, TMIN + (63 + F.col("trace_id") % 5 * 3) * step
     e = {f: A.extend(TMIN, DT, Y, lo, hi, f) for f in ("zeros", "repeat", "mean", "median")}
-    t = tables.traces(spark, d).where("trace_id < 40").withColumns({f"e_{k}": v for k, v in e.items()})
+    t = tables.traces(spark, d).withColumns({f"e_{k}": v for k, v in e.items()})
     return t.select("trace_id", "e_zeros.tmin_ns", F.size("e_zeros.ydata").cast("long").alias("n"), *(r6(A.total(F.col(f"e_{k}.ydata"))).alias(n) for k, n in (("zeros", "zeros"), ("repeat", "repeats"), ("mean", "means"), ("median", "medians"))))
 
 
@@ -130,10 +131,10 @@ def trace_validate(spark, d):
     return tables.traces(spark, d).select("trace_id", A.valid_samples(Y).alias("ok"), A.tmax_ns(TMIN, DT, Y).alias("tmax_ns"), A.almost_equal(Y, F.transform(Y, lambda v: v * (1 + 1e-7))).alias("equal"))
 
 
-@register("trace_time_axis", f"WITH {_T} SELECT trace_id, unnest([tmin_ns + k * 500000000 for k in range(64)]) AS t_ns, round(unnest(ydata), 6) + 0.0 AS y FROM traces WHERE trace_id % 10 = 0")
+@register("trace_time_axis", f"WITH {_T} SELECT trace_id, unnest([tmin_ns + k * 500000000 for k in range(64)]) AS t_ns, round(unnest(ydata), 6) + 0.0 AS y FROM traces")
 def trace_time_axis(spark, d):
     Y, TMIN, DT = _cols()
-    t = tables.traces(spark, d).where("trace_id % 10 = 0")
+    t = tables.traces(spark, d)
     return t.select("trace_id", F.explode(F.arrays_zip(A.time_axis(TMIN, DT, Y).alias("t_ns"), Y.alias("y"))).alias("z")).select("trace_id", "z.t_ns", r6(F.col("z.y")).alias("y"))
 
 
