@@ -64,22 +64,23 @@ def joined(spans: DataFrame, keys: list[str], bleed: int = 0, block: int = BLOCK
     return coverage(spans.withColumns({"tmin_ns": F.col("tmin_ns") - bleed, "tmax_ns": F.col("tmax_ns") + bleed}), keys, block=block)
 
 
-def check(waveforms: DataFrame, channels: DataFrame, keys: list[str]) -> DataFrame:
+def check(waveforms: DataFrame, channels: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, problem) found in an index of waveforms and channel epochs.
 
     duplicate: overlapping waveforms; overlapping_epochs: overlapping channel epochs; no_metadata and
     no_waveforms: one without the other; incomplete: waveforms outside of all epochs; rate: a waveform's
-    rate is not the channel's.
+    rate is not the channel's. One sweep over the ends of both sides finds all but the last.
     """
-    def over(spans: DataFrame, name: str) -> DataFrame:
-        return coverage(spans, keys).where("count > 1").select(*keys).distinct().withColumn("problem", F.lit(name))
 
-    wave, chan = waveforms.select(*keys).distinct(), channels.select(*keys).distinct()
-    found = [over(waveforms, "duplicate"), over(channels, "overlapping_epochs"), wave.join(chan, keys, "left_anti").withColumn("problem", F.lit("no_metadata")), chan.join(wave, keys, "left_anti").withColumn("problem", F.lit("no_waveforms"))]
-    bare = uncovered_by(waveforms.join(chan, keys, "left_semi"), channels, keys).select(*keys).distinct()
+    def ends(spans: DataFrame, a: int) -> DataFrame:
+        each = F.explode(F.array(F.struct(F.col("tmin_ns").alias("t_ns"), F.lit(1).alias("s")), F.struct(F.col("tmax_ns").alias("t_ns"), F.lit(-1).alias("s"))))
+        return spans.select(*keys, each.alias("e")).select(*keys, "e.t_ns", (F.col("e.s") * a).alias("in_a"), (F.col("e.s") * (1 - a)).alias("in_b"), F.lit(a).alias("is_a"))
+
+    merged = ends(waveforms, 1).unionByName(ends(channels, 0)).groupBy(*keys, "t_ns").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"), F.max("is_a").alias("some_a"), F.min("is_a").alias("all_a"))
+    both = running_sum(merged, keys, "t_ns", {"in_a": "n_a", "in_b": "n_b"}, block)
+    bare = (F.col("n_a") > 0) & (F.col("n_b") == 0)
+    per = both.groupBy(*keys).agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.bool_or(bare).alias("bare"), (F.max("some_a") == 1).alias("a"), (F.min("all_a") == 0).alias("b"))
+    problems = {"duplicate": F.col("n_a") > 1, "overlapping_epochs": F.col("n_b") > 1, "no_metadata": ~F.col("b"), "no_waveforms": ~F.col("a"), "incomplete": F.col("bare") & F.col("b")}
+    found = per.select(*keys, F.explode(F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in problems.items())))).alias("problem"))
     rates = waveforms.select(*keys, "deltat").distinct().join(channels.select(*keys, F.col("deltat").alias("want")).distinct(), keys).groupBy(*keys, "deltat").agg(F.bool_or(F.abs(F.col("deltat") - F.col("want")) <= 1e-6 * F.col("want")).alias("ok")).where("not ok").select(*keys).distinct()
-    found += [bare.withColumn("problem", F.lit("incomplete")), rates.withColumn("problem", F.lit("rate"))]
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return found.unionByName(rates.withColumn("problem", F.lit("rate")))

@@ -69,7 +69,10 @@ def sensors(spark, d):
     return ar.sensors(c, [])
 
 
-@register("promises_redeemed", None)
+@register("promises_redeemed", f"""WITH {_N}, x AS (SELECT codes, tmin_ns, tmax_ns, kind = 'response' AS a, element::INT AS rank, 's' || part % 3 AS source FROM nuts WHERE kind IN ('response', 'waveform')),
+ev AS (SELECT codes, t, sum(a) AS a, sum(b) AS b FROM (SELECT codes, tmin_ns AS t, a::INT AS a, (NOT a)::INT AS b FROM x UNION ALL SELECT codes, tmax_ns, -a::INT, -(NOT a)::INT FROM x) GROUP BY codes, t), r AS (SELECT codes, t, sum(a) OVER w > 0 AND sum(b) OVER w = 0 AS bare FROM ev WINDOW w AS (PARTITION BY codes ORDER BY t)),
+m AS (SELECT * FROM (SELECT *, lag(bare, 1, false) OVER (PARTITION BY codes ORDER BY t) AS before FROM r) WHERE bare <> before), gone AS (SELECT codes, t AS lo, u AS hi FROM (SELECT *, lead(t) OVER (PARTITION BY codes ORDER BY t) AS u FROM m) WHERE bare)
+SELECT gone.codes AS codes, lo AS tmin_ns, hi AS tmax_ns, arg_min(source, (rank, source)) AS source FROM gone JOIN x ON a AND x.codes = gone.codes AND tmin_ns < hi AND tmax_ns > lo GROUP BY ALL""")
 def promises_redeemed(spark, d):
     n = tables.nuts(spark, d)
     p = n.where("kind = 'response'").select("codes", "tmin_ns", "tmax_ns", F.col("element").cast("int").alias("rank"), F.concat(F.lit("s"), (F.col("part") % 3).cast("string")).alias("source"))

@@ -102,7 +102,9 @@ def geo_offset_round_trip(spark, d):
     return p.select("place", (F.round("lat", 5) + 0.0).alias("lat"), ((F.abs(n - 12_000) < 100) & (F.abs(e - 7_000) < 100)).alias("near"))
 
 
-@register("geo_polygon", None)
+@register("geo_polygon", f"""WITH {_P}, e(a, b, c, d) AS (VALUES (-20.0, -30.0, 30.0, -40.0), (30.0, -40.0, 40.0, 30.0), (40.0, 30.0, -10.0, 50.0), (-10.0, 50.0, -20.0, -30.0)),
+n AS (SELECT cos(radians(a)) * sin(radians(b)) * sin(radians(c)) - sin(radians(a)) * cos(radians(c)) * sin(radians(d)) AS x, sin(radians(a)) * cos(radians(c)) * cos(radians(d)) - cos(radians(a)) * cos(radians(b)) * sin(radians(c)) AS y, cos(radians(a)) * cos(radians(b)) * cos(radians(c)) * sin(radians(d)) - cos(radians(a)) * sin(radians(b)) * cos(radians(c)) * cos(radians(d)) AS z FROM e),
+s AS (SELECT place, x * cos(radians(lat)) * cos(radians(lon)) + y * cos(radians(lat)) * sin(radians(lon)) + z * sin(radians(lat)) AS side FROM places, n) SELECT place, bool_and(side < 0) AS hit FROM s GROUP BY place""")
 def geo_polygon(spark, d):
     return _places(spark, d).select("place", G.contains_point([(-20.0, -30.0), (30.0, -40.0), (40.0, 30.0), (-10.0, 50.0)], F.col("lat"), F.col("lon")).alias("hit"))
 

@@ -211,7 +211,12 @@ def gf_seismograms(spark, d):
     return out.select("pair", "component", "it", r6(F.col("y")).alias("y"))
 
 
-@register("gf_force", None)
+_FORCE = """, f AS (SELECT c_custkey AS pair, radians(c_custkey * 17 % 360) AS a, radians(c_custkey * 29 % 360) - pi() AS b, -0.2 AS d FROM customer), g AS (SELECT pair, b, d, cos(a) + 0.5 * sin(a) AS along, 0.5 * cos(a) - sin(a) AS across FROM f),
+o AS (SELECT pair, 'n' AS component, unnest([0, 1, 2]) AS ig, unnest([cos(b) * d, cos(b) * along, -sin(b) * across]) AS c FROM g UNION ALL SELECT pair, 'e', unnest([0, 1, 2]), unnest([sin(b) * d, sin(b) * along, cos(b) * across]) FROM g UNION ALL SELECT pair, 'd', unnest([3, 4]), unnest([d, along]) FROM g)
+SELECT pair, component, round(sum(w * c * ydata[least(greatest(40 - trace_id % 7, 0), 63) + 1]), 6) + 0.0 AS y FROM t JOIN o USING (pair) JOIN traces ON trace_id = irecord + ig WHERE c <> 0 GROUP BY pair, component"""
+
+
+@register("gf_force", _GF + _FORCE)
 def gf_force(spark, d):
     p = _pairs_gf(spark, d)
     terms = gf.component_terms(p, ["pair"], gf.vicinity(_axes(), 10), gf.elastic5_weights([F.lit(1.0), F.lit(0.5), F.lit(-0.2)], F.col("azi"), F.col("bazi")), F.col("delay"))

@@ -218,7 +218,14 @@ def sta_lta(spark, d):
     return wn.sta_lta_right(tables.samples(spark, d), "y", 4, 16, ["codes"], "i").select("codes", "i", r6(F.col("ratio")).alias("ratio"))
 
 
-@register("sta_lta_centered", None)
+@register("sta_lta_centered", f"""WITH {_P}, sq AS (SELECT codes, i, y * y AS y2 FROM samples),
+sw AS (SELECT *, row_number() OVER (PARTITION BY codes ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY codes) AS nn, avg(y2) OVER (PARTITION BY codes ORDER BY i ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS m FROM sq),
+se AS (SELECT *, max(m) FILTER (j = 2) OVER (PARTITION BY codes) AS lo, max(m) FILTER (j = nn + -3) OVER (PARTITION BY codes) AS hi FROM sw),
+s AS (SELECT * EXCLUDE (j, nn, m, lo, hi), CASE WHEN nn <= 4 THEN 0 WHEN j < 2 THEN lo WHEN j > nn + -3 THEN hi ELSE m END AS sv FROM se),
+lw AS (SELECT *, row_number() OVER (PARTITION BY codes ORDER BY i) - 1 AS j, count(*) OVER (PARTITION BY codes) AS nn, avg(y2) OVER (PARTITION BY codes ORDER BY i ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING) AS m FROM s),
+le AS (SELECT *, max(m) FILTER (j = 8) OVER (PARTITION BY codes) AS lo, max(m) FILTER (j = nn + -9) OVER (PARTITION BY codes) AS hi FROM lw),
+l AS (SELECT * EXCLUDE (j, nn, m, lo, hi), CASE WHEN nn <= 16 THEN 0 WHEN j < 8 THEN lo WHEN j > nn + -9 THEN hi ELSE m END AS lv FROM le)
+SELECT codes, i, round(CASE WHEN lw IS NULL THEN 0.0 ELSE greatest((sv / lw - 1) / 3, 0.0) END, 6) + 0.0 AS ratio FROM (SELECT *, CASE WHEN lv = 0 THEN NULL ELSE lv END AS lw FROM l)""")
 def sta_lta_centered(spark, d):
     return wn.sta_lta_centered(tables.samples(spark, d), "y", 4, 16, ["codes"], "i", scaling=3).select("codes", "i", r6(F.col("ratio")).alias("ratio"))
 
