@@ -1,7 +1,7 @@
 """Quality rules: line-first cleaning with built-in functions only.
 
-Every line is judged by itself (navigation, symbol litter, shouting, boilerplate,
-lines without a letter or digit); failing lines go, and a document that loses more
+Every line is judged by itself (navigation, symbol litter, shouting, punctuation,
+boilerplate, cut-off teasers, lines without a letter or digit); failing lines go, and a document that loses more
 than half of its text with them goes too. Base rules on the whole text are a
 minimum word count and a maximum share of words in repeated five-word windows.
 
@@ -21,6 +21,8 @@ SYMBOLS = r"[#*$%&|<>]"
 # What the line rules count or look for.
 SEPARATORS = r"[|»›•·]"
 LITTER = r"[#*$%&<>~^{}\\]"
+PUNCTUATION = r"[.,;:!?()_=+/-]"
+CUT_OFF = r"(\.\.\.|…)$"
 BOILERPLATE = r"^(accept (all )?cookies|we use cookies|all rights reserved|skip to (main )?content|click here|read more|subscribe (now|to our newsletter)|share (this|on)|privacy policy|terms of (use|service)|sign in|log in|please enable javascript)\b.{0,60}$"
 ASCII_UPPER_TO_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -51,13 +53,16 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 
 def line_fails(line: Column) -> Column:
-    """A line, stripped and not empty, that is navigation, symbol litter, shouting or boilerplate or has no letter or digit."""
+    """A line, stripped and not empty, that is navigation, symbol litter, shouting, boilerplate, mostly punctuation or a teaser
+    cut off after a few words, or has no letter or digit."""
     n = F.size(F.split(line, r"[\x20\x09-\x0D]+"))
-    separators, litter, shouts = (F.regexp_count(line, F.lit(p)) for p in (SEPARATORS, LITTER, "!"))
+    separators, litter, shouts, marks = (F.regexp_count(line, F.lit(p)) for p in (SEPARATORS, LITTER, "!", PUNCTUATION))
     return (
         ((separators >= 2) & (separators * 4 >= n))
         | ((litter >= 3) & (litter * 2 >= n))
         | ((shouts >= 4) & (shouts * 4 >= n))
+        | ((marks >= 6) & (marks * 2 >= F.length(line)))
+        | (line.rlike(CUT_OFF) & (n < 8))
         | F.translate(line, *ASCII_UPPER_TO_LOWER).rlike(BOILERPLATE)
         | ~line.rlike(r"[\p{L}\p{N}]")
     )
@@ -68,7 +73,8 @@ def judged(docs: DataFrame, text_col: str = "text", min_words: int = MIN_WORDS,
     base_failed, n_failed_lines, lost (share of the text's line characters), cleaned (text without failing
     lines), kept.
 
-    Null texts count as empty; texts without words fail. Repeated rows are judged each for itself.
+    Null texts count as empty; texts without words fail; texts may have any length. Repeated rows are judged each for
+    itself, and an empty table gives no rows.
     A column of docs of that name is replaced.
     """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
@@ -134,12 +140,12 @@ WITH d AS (
     len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS words,
     len(regexp_extract_all(t, '{SEPARATORS}')) AS separators,
     len(regexp_extract_all(t, '{LITTER}')) AS litter,
-    len(regexp_extract_all(t, '!')) AS shouts,
+    len(regexp_extract_all(t, '!')) AS shouts, len(regexp_extract_all(t, '{PUNCTUATION}')) AS marks, regexp_matches(t, '{CUT_OFF}') AS cut_off,
     regexp_matches(translate(t, '{ASCII_UPPER_TO_LOWER[0]}', '{ASCII_UPPER_TO_LOWER[1]}'), '{BOILERPLATE}') AS boilerplate,
     NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') AS bare
   FROM s WHERE t <> ''
 ), rules AS (
-  SELECT *, (separators >= 2 AND separators * 4 >= words) OR (litter >= 3 AND litter * 2 >= words) OR (shouts >= 4 AND shouts * 4 >= words) OR boilerplate OR bare AS bad FROM spoken
+  SELECT *, (separators >= 2 AND separators * 4 >= words) OR (litter >= 3 AND litter * 2 >= words) OR (shouts >= 4 AND shouts * 4 >= words) OR (marks >= 6 AND marks * 2 >= n) OR (cut_off AND words < 8) OR boilerplate OR bare AS bad FROM spoken
 ), lines AS (
   SELECT r, count(*) - count(DISTINCT line) AS dup, sum(n) AS total, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost, sum(CASE WHEN bad THEN 1 ELSE 0 END) AS failed FROM rules GROUP BY r
 ), f AS (

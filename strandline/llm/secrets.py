@@ -24,7 +24,30 @@ ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee]
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
-MIN_ASSIGN, MIN_ACCESS, MAX_OWNERS, MASK = 12, 18, 2, "[REDACTED]"
+MIN_ASSIGN, MIN_ACCESS, MASK = 12, 18, "[REDACTED]"
+#: Owners and repositories that a value may be in before it counts as a widely copied example.
+MAX_OWNERS, MAX_REPOS = 2, 4
+
+
+#: Elements of a block of a running sum.
+BLOCK = 256
+
+
+def _running(lengths: Column) -> Column:
+    """Running sums of an array of longs, by blocks, so that what is appended one by one stays short."""
+    empty = F.array().cast("array<bigint>")
+
+    def appended(values: Column) -> Column:
+        step = lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x)).alias("out"))
+        return F.aggregate(values, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    inside = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / BLOCK).cast("int")), lambda b: appended(F.slice(lengths, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def whole(blocks: Column) -> Column:
+        before = appended(F.transform(blocks, lambda b: F.element_at(b, -1)))
+        return F.flatten(F.zip_with(blocks, F.concat(F.array(F.lit(0).cast("long")), F.slice(before, 1, F.size(before) - 1)), lambda b, o: F.transform(b, lambda v: v + o)))
+
+    return F.transform(F.array(inside), whole)[0]
 
 
 def _matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -33,15 +56,9 @@ def _matches(text: Column, pattern: str, group: int = 0) -> Column:
     empty = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
 
     def placed(f: Column) -> Column:
-        zipped = F.arrays_zip(F.slice(f["gaps"], F.lit(1), F.size(f["whole"])).alias("gap"), f["whole"].alias("whole"), f["value"].alias("value"))
-        zero = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
-
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["gap"])
-            end = start + F.length(x["whole"])
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
-
-        return F.aggregate(zipped, zero, step, lambda acc: acc["out"])
+        lengths = F.zip_with(F.slice(f["gaps"], F.lit(1), F.size(f["whole"])), f["whole"], lambda gap, whole: (F.length(gap) + F.length(whole)).cast("long"))
+        zipped = F.arrays_zip(_running(lengths).alias("end"), f["whole"].alias("whole"), f["value"].alias("value"))
+        return F.transform(zipped, lambda x: F.struct((x["end"] - F.length(x["whole"])).alias("start"), x["end"].alias("end"), x["value"].alias("value")))
 
     return F.when(text.rlike(pattern), F.transform(F.array(found), placed)[0]).otherwise(empty)
 
@@ -85,17 +102,18 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.sum("n").alias("n_docs"), F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
 
 
-def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, **columns) -> DataFrame:
+def scan(docs: DataFrame, max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS, **columns) -> DataFrame:
     """(doc_id, text_hash, spans) of every row: spans is an array of (start, kind, end, hash, n_docs, n_repos,
-    n_owners, live), base spans always and opaque ones if live; live: held by at most max_owners owners.
+    n_owners, live), base spans always and opaque ones if live; live: held by at most max_owners owners
+    in at most max_repos repositories.
 
-    Null texts count as empty. Rows with the same id and text have the same spans. Repeated rows count
+    Null texts count as empty; texts may have any length and any number of spans. An empty table gives no rows. Rows with the same id and text have the same spans. Repeated rows count
     each in n_docs. Other columns are not read, nulls in them are values like any other.
     """
     found = found_in(docs, **columns)
     each = found.where(F.size("spans") > 0).select("doc_id", "text_hash", F.explode("spans").alias("x")).select("doc_id", "text_hash", "x.*")
     owned = written(ownership(found), "owned")  # read back, so that a hot value's side of the join can be split
-    judged = each.join(owned, "hash").withColumn("live", F.col("n_owners") <= max_owners).where((F.col("kind") < 3) | F.col("live"))
+    judged = each.join(owned, "hash").withColumn("live", (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).where((F.col("kind") < 3) | F.col("live"))
     of = judged.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "kind", "end", "hash", "n_docs", "n_repos", "n_owners", "live"))).alias("judged"))
     rows = found.select("doc_id", "text_hash")
     return rows.join(of, rows["doc_id"].eqNullSafe(of["doc_id"]) & (rows["text_hash"] == of["text_hash"]), "left").select(
@@ -159,10 +177,10 @@ each AS (
   SELECT * FROM base UNION ALL
   SELECT * FROM opaque o WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.r = o.r AND b.start < o."end" AND o.start < b."end")
 ), owners AS (
-  SELECT value, count(DISTINCT coalesce('+' || source, '-')) AS n FROM each JOIN d USING (r) GROUP BY value
+  SELECT value, count(DISTINCT coalesce('+' || source, '-')) <= {MAX_OWNERS} AND count(DISTINCT coalesce('+' || source, '-') || '/' || coalesce('+' || lang, '-')) <= {MAX_REPOS} AS live FROM each JOIN d USING (r) GROUP BY value
 ), judged AS (
-  SELECT r, kind, start, n <= {MAX_OWNERS} AS live, ['{"', '".join(KINDS)}'][kind + 1] || ':' || start || ':' || "end" AS shown
-  FROM each JOIN owners USING (value) WHERE kind < 3 OR n <= {MAX_OWNERS}
+  SELECT r, kind, start, live, ['{"', '".join(KINDS)}'][kind + 1] || ':' || start || ':' || "end" AS shown
+  FROM each JOIN owners USING (value) WHERE kind < 3 OR live
 )
 SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   sha256(coalesce(string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < 3), '')) AS base_sha256,

@@ -112,6 +112,14 @@ def test_line_runs_shuffle_nothing(spark):
     runs.close()
 
 
+def test_secrets_in_long_texts(spark):
+    """Tens of thousands of spans in one text, and a text of millions of characters."""
+    text = "\n".join(f"é {i:020x} pass" for i in range(30_000))
+    rows = secrets.scan(docs_of(spark, [text, "word " * 600_000 + "ab" * 20])).collect()
+    got = {r["doc_id"]: [(x["start"], x["end"]) for x in r["spans"]] for r in rows}
+    assert got[0] == [(i * 28 + 2, i * 28 + 22) for i in range(30_000)] and got[1] == [(3_000_000, 3_000_040)]
+
+
 def test_lines_with_text_ids_and_long_texts(spark):
     texts = {f"d{i}": f"{LINE}\nown {i}" for i in range(6)} | {"e": "x" * 300_000 + "\n" + "\n".join(f"{LINE} {k}" for k in range(20_000)), "f": "\n" * 50_000}
     got = {r["doc_id"]: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame(list(texts.items()), "doc_id string, text string")).collect()}
@@ -131,6 +139,9 @@ def test_secrets(spark):
     many = df.unionByName(docs_of(spark, [f"{key} again"] * 3).withColumn("source", F.concat(F.lit("t"), F.col("doc_id").cast("string"))))
     spans = secrets.scan(many).where("doc_id = 5").collect()
     assert spans[0]["spans"] == []  # five owners hold it: an example
+    alike = docs_of(spark, [f"{key} again"] * 5).withColumns({"source": F.lit("one"), "lang": F.concat(F.lit("l"), F.col("doc_id").cast("string"))})
+    assert [x["n_repos"] for x in secrets.scan(alike.where("doc_id < 4")).first()["spans"]] == [4]
+    assert secrets.scan(alike).first()["spans"] == []  # five repositories hold it, of one owner: an example too
     masked = {r["doc_id"]: r["text"] for r in secrets.redact(df.withColumns({"live": F.lit(1), "text_hash": F.lit(1)})).collect()}
     assert masked[4] == "é😀 [REDACTED] [REDACTED]" and masked[1] == "token: short" and masked[2] is None
     assert secrets.scan(df.limit(0)).count() == 0

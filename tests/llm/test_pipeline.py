@@ -26,7 +26,8 @@ def words_of(t):
 def bad_line(s):
     n = len(words_of(s))
     separators, litter, shouts = len(re.findall(Q.SEPARATORS, s)), len(re.findall(Q.LITTER, s)), s.count("!")
-    return (separators >= 2 and separators * 4 >= n) or (litter >= 3 and litter * 2 >= n) or (shouts >= 4 and shouts * 4 >= n) or bool(re.match(Q.BOILERPLATE, s.translate(LOWER))) or not re.search(r"[^\W_]", s)
+    marks = len(re.findall(Q.PUNCTUATION, s))
+    return (separators >= 2 and separators * 4 >= n) or (litter >= 3 and litter * 2 >= n) or (shouts >= 4 and shouts * 4 >= n) or (marks >= 6 and marks * 2 >= len(s)) or (n < 8 and bool(re.search(Q.CUT_OFF, s))) or bool(re.match(Q.BOILERPLATE, s.translate(LOWER))) or not re.search(r"[^\W_]", s)
 
 
 def quality(docs):
@@ -88,8 +89,8 @@ def near(docs):
 
 
 def secret(docs):
-    found, owners = {}, defaultdict(set)
-    for i, (t, source, _) in docs.items():
+    found, owners, repos = {}, defaultdict(set), defaultdict(set)
+    for i, (t, source, lang) in docs.items():
         spans = [(m.start(), m.end(), m[2]) for m in re.finditer(S.ASSIGN, t) if len(m[2]) >= 12]
         spans += [(m.start(), m.end(), m[0]) for m in re.finditer(S.ACCESS, t) if len(m[0]) >= 18]
         spans += [(m.start(), m.end(), m[0]) for m in re.finditer(S.HEX, t)]
@@ -98,10 +99,11 @@ def secret(docs):
         found[i] = spans
         for s in spans:
             owners[s[2]].add(source)
+            repos[s[2]].add((source, lang))
     out = {}
     for i, (t, *rest) in docs.items():
         at, parts = 0, []
-        for a, b in sorted((s[0], s[1]) for s in found[i] if len(owners[s[2]]) <= S.MAX_OWNERS):
+        for a, b in sorted((s[0], s[1]) for s in found[i] if len(owners[s[2]]) <= S.MAX_OWNERS and len(repos[s[2]]) <= S.MAX_REPOS):
             if a >= at:
                 parts += [t[at:a], S.MASK]
             at = max(at, b)
