@@ -94,3 +94,28 @@ def fixed_width(line: Column, fields: list[tuple[str, int, str]]) -> list[Column
             out.append(F.nullif(F.trim(F.substring(line, at, width)), F.lit("")).try_cast(kind).alias(name))
         at += width
     return out
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor of two positive longs: Euclid's steps, of which 64-bit numbers need 92 at most."""
+    pair = F.struct(F.greatest(a, b).cast("long").alias("a"), F.least(a, b).cast("long").alias("b"))
+    step = lambda p, _: F.when(p["b"] == 0, p).otherwise(F.struct(p["b"].alias("a"), F.pmod(p["a"], F.when(p["b"] == 0, F.lit(1).cast("long")).otherwise(p["b"])).alias("b")))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair, step, lambda p: p["a"])
+
+
+def lcm(a: Column, b: Column) -> Column:
+    return F.floor(a / gcd(a, b)).cast("long") * b
+
+
+def even_range(start: Column, stop: Column, step: Column, error: str = "raise", epsilon: float = 1e-6) -> Column:
+    """Array of start, start + step and so on up to stop. Where stop is off by over epsilon steps: null, or it is moved to the
+    nearest, the next smaller or the next larger multiple (error: raise, round, floor, ceil)."""
+    x = (stop - start) / step
+    n = {"floor": F.floor, "ceil": F.ceil}.get(error, F.rint)(x).cast("int") + 1
+    values = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: start + i * step)
+    out = F.when(n < 1, F.array().cast("array<double>")).otherwise(values)
+    return F.when(F.abs(x - (n - 1)) <= epsilon, out) if error == "raise" else out
+
+
+def below_nyquist(frequency: Column, deltat: Column) -> Column:
+    return frequency < 0.5 / deltat

@@ -166,3 +166,27 @@ def fixed_width(spark, d):
     nation = F.when(F.col("c_nationkey") < 10, F.lit("  ")).otherwise(F.col("c_nationkey").cast("string"))
     line = F.concat(F.lpad(F.col("c_custkey").cast("string"), 9, " "), F.lit("--"), F.rpad(F.substring("c_mktsegment", 1, 4), 6, " "), F.lpad(nation, 3, " "))
     return c.select("c_custkey", *S.fixed_width(line, [("k", 9, "long"), ("", 2, ""), ("seg", 6, "string"), ("nation", 3, "int")])).fillna(-1, ["nation"])
+
+
+@register("geo_filters", f"""WITH {_P}, {_DIST}, t AS (SELECT place, lat, lon, dist, {_AZI} AS azi, degrees(asin(sin(acos(greatest(-1, least(1, {_COS})))) * sin(radians({_AZI}) - atan2(cos(radians({LAT0})) * cos(radians(40.0)) * sin(radians(20.0 - {LON0})), sin(radians(40.0)) - sin(radians({LAT0})) * (sin(radians({LAT0})) * sin(radians(40.0)) + cos(radians({LAT0})) * cos(radians(40.0)) * cos(radians(20.0 - {LON0}))))))) AS off FROM dist)
+SELECT place, abs(((75.0 - azi + 180) % 360 + 360) % 360 - 180) <= 35 AS swath, dist BETWEEN 3000000 AND 9000000 AS ring, abs(off) <= 12.5 AS path FROM t""")
+def geo_filters(spark, d):
+    swath = G.in_swath(*_here(), 75.0, 70.0)
+    path = G.near_path(F.lit(LAT0), F.lit(LON0), F.lit(40.0), F.lit(20.0), F.col("lat"), F.col("lon"), 12.5)
+    return _places(spark, d).select("place", swath.alias("swath"), G.in_distance(*_here(), 3e6, 9e6).alias("ring"), path.alias("path"))
+
+
+@register("geo_distance_3d", f"""WITH {_P}, c AS (SELECT place, lat, lon, abs(w) AS h FROM places), q AS (SELECT unnest([0, 1]) AS side), e AS (SELECT place, side, CASE side WHEN 0 THEN lat ELSE {LAT0} END AS a, CASE side WHEN 0 THEN lon ELSE {LON0} END AS o, CASE side WHEN 0 THEN -h ELSE -5000.0 END AS z FROM c, q),
+n AS (SELECT *, 6378137.0 / sqrt(1 - (1 / 298.257223563) * (2 - 1 / 298.257223563) * pow(sin(radians(a)), 2)) AS n FROM e), x AS (SELECT place, side, (n + z) * cos(radians(a)) * cos(radians(o)) AS x, (n + z) * cos(radians(a)) * sin(radians(o)) AS y, (n * (1 - (1 / 298.257223563) * (2 - 1 / 298.257223563)) + z) * sin(radians(a)) AS z FROM n)
+SELECT u.place AS place, round(sqrt(pow(u.x - v.x, 2) + pow(u.y - v.y, 2) + pow(u.z - v.z, 2)), 2) + 0.0 AS dist FROM x u JOIN x v ON u.place = v.place AND u.side = 0 AND v.side = 1""")
+def geo_distance_3d(spark, d):
+    dist = G.distance_3d(F.col("lat"), F.col("lon"), F.abs("w"), F.lit(LAT0), F.lit(LON0), F.lit(5000.0))
+    return _places(spark, d).select("place", (F.round(dist, 2) + 0.0).alias("dist"))
+
+
+@register("number_helpers", """WITH o AS (SELECT o_orderkey, o_custkey + 1 AS a, o_orderkey % 9973 + 1 AS b FROM orders) SELECT o_orderkey, gcd(a, b)::BIGINT AS gcd, lcm(a, b)::BIGINT AS lcm, CASE WHEN a % 4 = 0 THEN a // 4 + 1 END AS exact, a // 4 + 1 AS down, ceil(a / 4)::BIGINT + 1 AS up, 10.0 / b < 0.5 / 0.05 AS below FROM o""")
+def number_helpers(spark, d):
+    o = tables.read(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + 1).alias("a"), (F.col("o_orderkey") % 9973 + 1).alias("b"))
+    a, b, zero, step = F.col("a"), F.col("b"), F.lit(0.0), F.lit(4.0)
+    exact, down, up = (F.size(S.even_range(zero, a.cast("double"), step, e)).cast("long") for e in ("raise", "floor", "ceil"))
+    return o.select("o_orderkey", S.gcd(a, b).alias("gcd"), S.lcm(a, b).alias("lcm"), exact.alias("exact"), down.alias("down"), up.alias("up"), S.below_nyquist(10.0 / b, F.lit(0.05)).alias("below"))

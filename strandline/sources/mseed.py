@@ -90,6 +90,11 @@ def records(data: bytes) -> Iterator[tuple[str, int, float, str, np.ndarray]]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Records of all files below a path."""
+    return read_contents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """Records of (path, content) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,7 +104,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     cols = list(zip(*rows, strict=True))
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols[:5]] + [pa.array(list(cols[5]), pa.list_(pa.float64()))], names=["path", "codes", "tmin_ns", "deltat", "quality", "ydata"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)
 
 
 def encode(codes: str, tmin_ns: int, deltat: float, y: np.ndarray, power: int = 12) -> bytes:

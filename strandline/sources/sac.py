@@ -47,6 +47,13 @@ def encode(codes: str, tmin_ns: int, deltat: float, y: np.ndarray) -> bytes:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    """The traces of all files below a path."""
+    return read_contents(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def read_contents(files: DataFrame) -> DataFrame:
+    """The traces of (path, content) rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(p, *decode(c)) for p, c in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True)]
@@ -55,4 +62,4 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([v.astype(float) for v in c] if i == 6 else c, k) for i, (c, k) in enumerate(zip(cols, kinds, strict=True))], names=["path", "codes", "tmin_ns", "deltat", "stla", "stlo", "ydata"])
 
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.mapInArrow(run, SCHEMA)

@@ -302,3 +302,21 @@ def test_kagan_angle():
         assert np.allclose(M.kagan_angle(a, r @ a @ r.T), deg, atol=1e-4) and axis @ r @ axis == 1
     parts = M.decompose(a)
     assert np.allclose(parts[:, 0], parts[:, 1] + parts[:, 2]) and np.allclose(parts[:, 2], parts[:, 3] + parts[:, 4]) and (parts >= -1e-12).all()
+
+
+def test_files_are_told_apart(spark, tmp_path):
+    from strandline.sources import files, sac
+
+    y = np.arange(100.0)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.mseed").write_bytes(mseed.encode("XX.AB..BHZ.", T0, 0.5, y))
+    (tmp_path / "b.sac").write_bytes(sac.encode("XX.CD..BHZ.", T0, 0.5, y))
+    (tmp_path / "c.xml").write_text("<?xml version='1.0'?><FDSNStationXML/>")
+    (tmp_path / "d.txt").write_text("none of these")
+    kinds = {r["path"].rsplit("/", 1)[1]: r["format"] for r in files.detect(spark, str(tmp_path)).collect()}
+    assert kinds == {"a.mseed": "mseed", "b.sac": "sac", "c.xml": "stationxml", "d.txt": None}
+    rows = files.load(spark, str(tmp_path)).collect()
+    assert sorted(r["codes"] for r in rows) == ["XX.AB..BHZ.", "XX.CD..BHZ."] and all(list(r["ydata"]) == list(y) for r in rows)
+    assert files.load(spark, str(tmp_path / "b.sac"), "sac").count() == 1
+    chosen = files.select_files(spark, str(tmp_path), r"/[abd]\.", "txt$").collect()
+    assert sorted(r["path"].rsplit("/", 1)[1] for r in chosen) == ["a.mseed", "b.sac"]
