@@ -143,6 +143,8 @@ def resample(y: np.ndarray, dt: float, dt_new: float) -> np.ndarray:
     k = min(n // 2, m // 2) + 1
     out = np.zeros((len(y), m // 2 + 1), complex)
     out[:, :k] = spectrum[:, :k]
+    if m > n and n % 2 == 0:
+        out[:, n // 2] /= 2  # the highest frequency lies on both sides of the wider spectrum
     return np.fft.irfft(out, m, axis=1) * (m / n)
 
 

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,13 +19,17 @@ from ..functions import kernels as K
 
 
 def _by_shape(batch: pa.RecordBatch, y: str, dt: str) -> Iterator[tuple[list[int], np.ndarray, float]]:
-    groups: dict[tuple[int, float], list[int]] = {}
-    rows = batch.column(y).to_pylist()
-    for i, (row, step) in enumerate(zip(rows, batch.column(dt).to_pylist(), strict=True)):
-        if row and step and None not in row:
-            groups.setdefault((len(row), step), []).append(i)
-    for (_, step), ids in groups.items():
-        yield ids, np.array([rows[i] for i in ids], float), step
+    """(rows of the batch, their samples, interval) of all traces of one length and interval; those with nulls are left out."""
+    column = batch.column(y)
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    steps = pc.fill_null(batch.column(dt).cast(pa.float64()), 0.0).to_numpy(zero_copy_only=False)
+    ok = (lengths > 0) & (steps != 0)
+    flat = column.flatten()
+    if flat.null_count:
+        ok[pc.list_parent_indices(column).filter(pc.is_null(flat)).to_numpy()] = False
+    for n, step in sorted(set(zip(lengths[ok].tolist(), steps[ok].tolist(), strict=True))):
+        ids = np.flatnonzero(ok & (lengths == n) & (steps == step))
+        yield ids.tolist(), column.take(pa.array(ids)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), n), step
 
 
 def map_traces(traces: DataFrame, kernel: Callable[[np.ndarray, float], np.ndarray], out: str = "ydata", y: str = "ydata", dt: str = "deltat") -> DataFrame:
@@ -96,10 +101,11 @@ def downsample(traces: DataFrame, factor: int, **rest) -> DataFrame:
     """Every factor-th sample, on the grid of multiples of the new interval, after the anti-alias filter."""
     step = F.rint(F.col("deltat") * 1e9).cast("long")
     number = F.call_function("div", F.col("tmin_ns"), step)
-    first = F.pmod(-number, F.lit(factor)).cast("int")
     out = map_traces(traces, lambda y, dt: _smoothed(y, factor), **rest)
-    picked = F.filter("ydata", lambda v, i: F.pmod(i - first, F.lit(factor)) == 0)
-    return out.withColumns({"ydata": picked, "tmin_ns": F.col("tmin_ns") + first * step, "deltat": F.col("deltat") * factor})
+    # a column of its own: inside of a lambda, names of columns that are replaced beside it mean the new ones
+    out = out.withColumn("__first", F.pmod(-number, F.lit(factor)).cast("int"))
+    out = out.withColumn("ydata", F.filter("ydata", lambda v, i: F.pmod(i - F.col("__first"), F.lit(factor)) == 0))
+    return out.withColumns({"tmin_ns": F.col("tmin_ns") + F.col("__first") * step, "deltat": F.col("deltat") * factor}).drop("__first")
 
 
 def _smoothed(y: np.ndarray, factor: int) -> np.ndarray:
@@ -111,8 +117,13 @@ def _smoothed(y: np.ndarray, factor: int) -> np.ndarray:
 def spectrum(traces: DataFrame, pad_to_pow2: bool = False) -> DataFrame:
     """traces with arrays freq, re and im of the real Fourier transform."""
     size = (lambda n: K.next_pow2(n)) if pad_to_pow2 else (lambda n: n)
-    out = map_traces(traces, lambda y, dt: np.fft.rfft(y, size(y.shape[1]), axis=1).real, out="re")
-    out = map_traces(out, lambda y, dt: np.fft.rfft(y, size(y.shape[1]), axis=1).imag, out="im")
+
+    def both(y: np.ndarray, dt: float) -> np.ndarray:
+        z = np.fft.rfft(y, size(y.shape[1]), axis=1)
+        return np.concatenate([z.real, z.imag], axis=1)
+
+    half = F.floor(F.size("__z") / 2).cast("int")
+    out = map_traces(traces, both, out="__z").withColumns({"re": F.slice("__z", F.lit(1), half), "im": F.slice("__z", half + 1, half)}).drop("__z")
     n = F.size("ydata") if not pad_to_pow2 else F.pow(F.lit(2.0), F.ceil(F.log2(F.size("ydata").cast("double"))))
     return out.withColumn("freq", F.transform("re", lambda v, i: i / (n * F.col("deltat"))))
 

@@ -183,7 +183,8 @@ def homogeneous_set(spark, d):
     return md.homogeneous(t, ["k"]).select("trace_id", "tmin_ns", F.size("ydata").cast("long").alias("n"), r6(A.total(F.col("ydata"))).alias("total"))
 
 
-@register("stations_thinned", None)
+@register("stations_thinned", """WITH p AS (SELECT c_custkey AS place, ((c_custkey * 37) % 170) - 85.0::DOUBLE AS lat, ((c_custkey * 101) % 360) - 180.0::DOUBLE AS lon, c_acctbal AS w FROM customer), r AS (SELECT *, floor((lat + 90) / 10) AS r FROM p),
+c AS (SELECT *, floor(((lon + 180) % 360 + 360) % 360 / 360 * greatest(1.0, floor(36 * cos(radians((r + 0.5) * 10 - 90))))) AS c FROM r) SELECT place, lat, lon FROM (SELECT *, row_number() OVER (PARTITION BY r, c ORDER BY w, lat, lon) AS k FROM c) WHERE k = 1""")
 def stations_thinned(spark, d):
     return md.thin_out(tables.places(spark, d), "lat", "lon", "w", 10.0).select("place", "lat", "lon")
 

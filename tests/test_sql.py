@@ -13,9 +13,11 @@ def test_same_as_sql(name, same_as_sql):
 
 @pytest.mark.parametrize("name", sorted(set(MADE) - set(SQL)))
 def test_runs(name, spark):
+    """Columns and types; tests/test_query_values.py compares the values."""
     df = MADE[name](spark, "/root/testdata/sf0.001")
     assert len(df.columns) == len(set(df.columns))
-    assert df.count() >= 0
+    rows = df.collect()
+    assert rows and any(v is not None for r in rows for v in r)
 
 
 def test_entry(spark):
