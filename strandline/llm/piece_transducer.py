@@ -42,7 +42,7 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: What a worker remembers, which only saves work: bytes of words and other chunks, none of them longer than so many characters, and pairs of pieces.
-REMEMBERED, LONGEST, PAIRS = 32 << 20, 64, 150_000
+REMEMBERED, LONGEST, PAIRS = 64 << 20, 64, 300_000
 #: Classes of characters that the normaliser tells apart, and its states: before the text, after other characters, after a space.
 SPACE, OTHER = 0, 1
 BEFORE, INSIDE, AFTER = 0, 1, 2
