@@ -210,7 +210,7 @@ def moving_average(spark, d):
 
 @register("moving_sum", f"WITH {_P} SELECT codes, i, round(sum(y) OVER (PARTITION BY codes ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 6) + 0.0 AS total FROM samples")
 def moving_sum(spark, d):
-    return tables.samples(spark, d).select("codes", "i", r6(wn.moving_sum(F.col("y"), 5, ["codes"], "i")).alias("total"))
+    return wn.moving_sum(tables.samples(spark, d), "y", 5, ["codes"], "i").select("codes", "i", r6(F.col("total")).alias("total"))
 
 
 @register("sta_lta", f"""WITH {_P}, w AS (SELECT codes, i, row_number() OVER (PARTITION BY codes ORDER BY i) AS j, avg(y * y) OVER (PARTITION BY codes ORDER BY i ROWS 3 PRECEDING) AS s, avg(y * y) OVER (PARTITION BY codes ORDER BY i ROWS 15 PRECEDING) AS l FROM samples) SELECT codes, i, round(s / l * 4 / 16, 6) + 0.0 AS ratio FROM w WHERE j >= 16""")

@@ -111,6 +111,19 @@ def test_moving_average(spark, n, size):
         want[:h] = want[h]
         want[h + size - n :] = want[h + size - n - 1]
     assert np.allclose(got, want)
+    dealt = [r["avg"] for r in wn.moving_avg(df, "y", n, ["k"], "i", width=6, rows=4).orderBy("i").collect()]
+    assert np.allclose(dealt, want)
+
+
+def test_frames_in_runs_of_ranks(spark):
+    """Keys cut into runs give what windows over whole keys give."""
+    rng = np.random.default_rng(5)
+    rows = [(k, int(t), float(v)) for k, size in (("a", 90), ("b", 7), (None, 25)) for t, v in zip(np.sort(rng.choice(10_000, size, replace=False)), rng.standard_normal(size) * 3, strict=True)]
+    df = spark.createDataFrame(rows, "k string, t long, y double")
+    for f in (lambda **d: wn.moving_sum(df, "y", 6, ["k"], "t", **d), lambda **d: wn.sta_lta_right(df, "y", 2, 9, ["k"], "t", **d), lambda **d: wn.crossings(df, "y", 0.5, ["k"], "t", **d), lambda **d: wn.peak_candidates(df, "y", 0.5, 5, ["k"], "t", **d)):
+        want, got = ([tuple(r) for r in f(**d).orderBy("k", "t").collect()] for d in ({}, {"width": 500, "rows": 12}))
+        assert len(want) == len(got) > 10
+        assert all(a[:2] == b[:2] and np.allclose([x or 0 for x in a[2:]], [x or 0 for x in b[2:]]) for a, b in zip(want, got, strict=True))
 
 
 def test_polygon(spark):
