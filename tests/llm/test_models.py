@@ -136,11 +136,21 @@ def test_embedding_blocks_and_sizes(spark):
     assert len(got) == len(rows) + 6 and {r["component_id"] for r in got} == {0} and max(r["n_links"] for r in got) == len(rows) + 4
 
 
-def test_embedding_query_recall(spark):
-    sf = "/root/testdata/sf0.1"
-    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.query(spark, sf).collect()}
-    links, _ = brute_embeddings([(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()])
-    assert len(links) > 10 and sum(got.values()) >= 0.95 * 2 * len(links)
+def test_embedding_query_recall(spark, tmp_path):
+    """The table's vectors, which have no links, with near copies of every third among them."""
+    rng = np.random.default_rng(9)
+    rows = [(r["vec_id"], r["embedding"], r["label"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
+    for i, v, label in rows[::3]:
+        for k in (1, 2):
+            off = rng.standard_normal(len(v))
+            rows.append((10_000 * k + i, [float(x) for x in np.array(v) + 0.27 * np.linalg.norm(v) * off / np.linalg.norm(off)], label))
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.query(spark, str(tmp_path)).collect()}
+    links, component = brute_embeddings([(i, np.array(v, np.float32).astype(float), label) for i, v, label in rows])
+    count = Counter(x for p in links for x in p)
+    assert len(got) == len(rows) and len(links) > 300
+    assert all(n <= count[i] for i, (n, _) in got.items()) and sum(n for n, _ in got.values()) >= 0.97 * 2 * len(links)
+    assert sum(got[i][1] == component[i] for i in component) >= 0.97 * len(rows)
 
 
 def plain_fingerprint(text):
