@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
 CAPACITY = 2048
 #: Texts of these characters alone are encoded by the faster library, which holds the same vocabulary;
@@ -169,11 +169,14 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, pool: int = 16384, **of_pieces) -> DataFrame:
     """Every piece of every document with its sequence_id and offset.
 
-    ``pool``: about how many documents are packed together. An empty table gives no rows; repeated rows
-    are packed each for itself; null ids are kept.
+    ``pool``: about how many pieces are packed together; pieces that fill a sequence need no packing and get negative
+    numbers. An empty table gives no rows; repeated rows are packed each for itself; null ids are kept; pieces of one
+    length (ties) may take each other's places. Texts may have any length.
     """
-    pools = max(1, -(-docs.count() // pool))
-    return pack(pieces(docs, id_col, text_col, capacity, **of_pieces), "length", capacity, pools)
+    cut = written(pieces(docs, id_col, text_col, capacity, **of_pieces), "pieces")
+    whole = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = cut.where(F.col("length") < capacity)
+    return pack(rest, "length", capacity, max(1, -(-rest.count() // pool))).unionByName(whole)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,11 +165,14 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Labelled rows whose id's crc32 mod 5 is 0 are held out and never learnt from. Null labels and ids
     are not learnt from, of several labels for an id the largest counts; null ids are scored and not held out. Without any label to
-    learn from every score is 0.5. Null texts count as empty; empty texts have a score like any other.
+    learn from every score is 0.5. Null texts count as empty; empty texts have a score like any other. Of several texts of one
+    id the one with the smallest features is learnt from, all are scored; equal bins (ties) score alike. Repeated rows come
+    repeated, and an empty table gives no rows. Texts may have any length.
     """
     x = written(features(docs, id_col, text_col), "features")
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("y")).where("id is not null and y is not null").groupBy("id").agg(F.max("y").alias("y"))
-    rows = known.where(~held_out()).join(x.dropDuplicates(["id"]), "id").orderBy(F.xxhash64("id"), "id").limit(max_train).select("x", "y").collect()
+    once = known.where(~held_out()).join(x, "id").groupBy("id", "y").agg(F.min("x").alias("x"))
+    rows = once.orderBy(F.xxhash64("id"), "id").limit(max_train).select("x", "y").collect()
     model = fit(np.array([r["x"] for r in rows], float).reshape(len(rows), len(FEATURES)), np.array([r["y"] for r in rows], float))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -110,8 +110,9 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES, weights: list[int
     """pages with host, path, rule (null where none fits), score (null where a rule fits) and verdict.
 
     A rule fits its host and all its subdomains where the path starts with the rule's; the longest wins.
-    Null urls and urls without :// have empty host and path and are judged like any other. Columns of
-    pages with one of these names are replaced.
+    Null urls and urls without :// have empty host and path and are judged like any other; urls may have any length.
+    Repeated rows are judged each for itself, a score of exactly 0 (a tie) allows, and an empty table gives no rows.
+    Columns of pages with one of these names are replaced.
     """
     weights = weights if weights is not None else train(labelled_urls(pages.sparkSession))
     pages = pages.drop("host", "path", "rule", "score", "verdict")
