@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import divergence_audit, embedding_dedup, line_dedup, masked_lm, packing, periodic_runs, piece_transducer, quality_model, quality_rules, secrets, simhash, url_filter
+from . import divergence_audit, embedding_dedup, line_dedup, masked_lm, packing, periodic_runs, piece_transducer, quality_model, quality_rules, secrets, simhash, toxicity, url_filter
 
 QUERIES = {
     "op1_embedding_dedup": embedding_dedup.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_packing": packing.query,
     "op10_simhash": simhash.query,
+    "op11_toxicity": toxicity.query,
     "op12_periodic_runs": periodic_runs.query,
     "op13_divergence_audit": divergence_audit.query,
 }
