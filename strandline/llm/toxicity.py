@@ -31,7 +31,7 @@ THRESHOLD = 0.5
 #: Labelled rows of each class that are learnt from at most: those with the smallest hashes of their ids.
 MAX_TRAIN = 5_000
 #: Terms of a lexicon at most; letters of the longest beginning that is tried; words to each side of a hit that are looked at.
-MAX_TERMS, MAX_STEM, WINDOW = 400, 12, 6
+MAX_TERMS, MAX_STEM, WINDOW = 150, 12, 6
 #: Characters of text that are run through the table at once.
 SLICE = 1 << 21
 #: Share of a term's own hits that misspelled ones are expected to have, before any is seen.
