@@ -22,6 +22,12 @@ def cheby1(order: int, ripple_db: float, corner: float) -> tuple[np.ndarray, np.
 
 
 def _digital(poles: np.ndarray, gain: float, corners: list[float], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients b, a of _zeros_poles."""
+    zeros, poles, gain = _zeros_poles(poles, gain, corners, kind)
+    return np.real(gain * np.poly(zeros)), np.real(np.poly(poles))
+
+
+def _zeros_poles(poles: np.ndarray, gain: float, corners: list[float], kind: str) -> tuple[np.ndarray, np.ndarray, float]:
     """Frequency transformation of a low-pass prototype without zeros, then the bilinear one."""
     w = 4 * np.tan(np.pi * np.asarray(corners, float) / 2)
     n, zeros = len(poles), np.array([], complex)
@@ -43,7 +49,52 @@ def _digital(poles: np.ndarray, gain: float, corners: list[float], kind: str) ->
         poles = np.concatenate([half + root, half - root])
     gain = gain * np.real(np.prod(4 - zeros) / np.prod(4 - poles))
     z = np.concatenate([(4 + zeros) / (4 - zeros), -np.ones(len(poles) - len(zeros))])
-    return np.real(gain * np.poly(z)), np.real(np.poly((4 + poles) / (4 - poles)))
+    return z, (4 + poles) / (4 - poles), gain
+
+
+def _pairs(roots: np.ndarray) -> list[np.ndarray]:
+    """Real polynomials of degree two or less: conjugates together, real roots from both ends."""
+    roots = np.asarray(roots, complex)
+    upper = roots[roots.imag > 1e-9 * np.maximum(1, np.abs(roots))]
+    real = np.sort(roots[np.abs(roots.imag) <= 1e-9 * np.maximum(1, np.abs(roots))].real)
+    out = [np.array([1.0, -2 * r.real, abs(r) ** 2]) for r in upper[np.argsort(np.abs(upper))]]
+    while len(real):
+        own, real = (real[[0, -1]], real[1:-1]) if len(real) > 1 else (real, real[:0])
+        out.append(np.pad(np.poly(own), (0, 2 - len(own))))
+    return out
+
+
+def sections(zeros: np.ndarray, poles: np.ndarray, gain: float) -> np.ndarray:
+    """Rows (b0, b1, b2, 1, a1, a2) of a cascade of second order; that of a filter of higher order keeps its precision."""
+    over, under = _pairs(zeros), _pairs(poles)
+    one = np.array([1.0, 0.0, 0.0])
+    n = max(len(over), len(under), 1)
+    rows = np.array([np.concatenate([over[i] if i < len(over) else one, under[i] if i < len(under) else one]) for i in range(n)])
+    rows[0, :3] *= gain
+    return rows
+
+
+def sections_of(b: np.ndarray, a: np.ndarray) -> np.ndarray:
+    """The cascade of a filter that is given by coefficients; leading zeros of b are delays."""
+    b, a = np.trim_zeros(np.asarray(b, float), "b") / a[0], np.trim_zeros(np.asarray(a, float), "b") / a[0]
+    lead = int(np.flatnonzero(b)[0]) if b.any() else 0
+    rows = sections(np.roots(b[lead:]) if b.any() else np.array([]), np.roots(a), float(b[lead]) if b.any() else 0.0)
+    for _ in range(lead):
+        rows = np.concatenate([rows, [[0.0, 1.0, 0.0, 1.0, 0.0, 0.0]]])
+    return rows
+
+
+def butter_sections(order: int, corners: list[float], kind: str) -> np.ndarray:
+    poles = np.exp(1j * np.pi * (2 * np.arange(1, order + 1) + order - 1) / (2 * order))
+    return sections(*_zeros_poles(poles, 1.0, corners, kind))
+
+
+def sosfilt(rows: np.ndarray, y: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of samples through a cascade, and its states after them, (rows of samples, 2 x sections)."""
+    z = np.zeros((len(y), len(rows), 2)) if state is None else np.array(state, float).reshape(len(y), len(rows), 2)
+    for i, r in enumerate(rows):
+        y, z[:, i] = _recursive(r[:3], r[3:], np.asarray(y, float), z[:, i])
+    return y, z.reshape(len(y), -1)
 
 
 def firwin(taps: int, corner: float) -> np.ndarray:
@@ -54,7 +105,7 @@ def firwin(taps: int, corner: float) -> np.ndarray:
 
 
 def lfilter(b: np.ndarray, a: np.ndarray, y: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Filtered rows and the state after them, (rows, taps - 1); all rows go through each sample together."""
+    """Filtered rows and the state after them, (rows, taps - 1); all rows, and up to order two all blocks of long ones, go through each sample together."""
     n = max(len(a), len(b))
     b, a = (np.pad(np.asarray(c, float), (0, n - len(c))) / a[0] for c in (b, a))
     z = np.zeros((len(y), n - 1)) if state is None else np.array(state, float)
@@ -64,7 +115,17 @@ def lfilter(b: np.ndarray, a: np.ndarray, y: np.ndarray, state: np.ndarray | Non
         out = np.apply_along_axis(np.convolve, 1, y, b) if y.size else np.zeros((len(y), y.shape[1] + n - 1))
         out[:, : n - 1] += z[:, : out.shape[1]]
         return out[:, : y.shape[1]], out[:, y.shape[1] :]
-    out = np.empty_like(y, float)
+    return _recursive(b, a, y, z) if n <= 3 else _samplewise(b, a, y, z)
+
+
+def _recursive(b: np.ndarray, a: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of order two or less: blocks of a long trace go side by side, so that the loop is as long as a block."""
+    block = int(np.sqrt(y.shape[1]))
+    return _blocks(b, a, y, z, block) if block >= 32 else _samplewise(b, a, y, z)
+
+
+def _samplewise(b: np.ndarray, a: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, z = np.empty_like(y, float), z.copy()
     for i in range(y.shape[1]):
         x = y[:, i]
         v = b[0] * x + z[:, 0]
@@ -75,6 +136,38 @@ def lfilter(b: np.ndarray, a: np.ndarray, y: np.ndarray, state: np.ndarray | Non
     return out, z
 
 
+def transition(a: np.ndarray) -> np.ndarray:
+    """What a filter's state becomes over one sample of zero: states are columns."""
+    a = np.asarray(a, float) / a[0]
+    out = np.eye(len(a) - 1, k=1)
+    out[:, 0] -= a[1:]
+    return out
+
+
+def _blocks(b: np.ndarray, a: np.ndarray, y: np.ndarray, z: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """A prefix scan: blocks from rest, their end states summed with doubling strides, then what each start state adds."""
+    rows, n = len(y), y.shape[1] // block
+    whole = np.asarray(y[:, : n * block], float).reshape(rows * n, block)
+    out, ends = _samplewise(b, a, whole, np.zeros((rows * n, len(a) - 1)))
+    ends = ends.reshape(rows, n, -1)
+    step = transition(a)
+    over = np.linalg.matrix_power(step, block)
+    ends[:, 0] += z @ over.T
+    stride = 1
+    while stride < n:
+        ends[:, stride:] = ends[:, stride:] + ends[:, :-stride] @ over.T
+        over, stride = over @ over, 2 * stride
+    starts = np.concatenate([z[:, None], ends[:, :-1]], axis=1)
+    fade = np.empty((len(step), block))  # the first entry of the state, sample after sample
+    row = np.eye(len(step))[0]
+    for i in range(block):
+        fade[:, i] = row
+        row = row @ step
+    out = (out.reshape(rows, n, block) + starts @ fade).reshape(rows, n * block)
+    rest, z = _samplewise(b, a, y[:, n * block :], ends[:, -1])
+    return np.concatenate([out, rest], axis=1), z
+
+
 def next_pow2(n: int) -> int:
     return 1 << max(n - 1, 0).bit_length()
 
@@ -100,8 +193,7 @@ def bandpass_fft(y: np.ndarray, dt: float, low: float, high: float) -> np.ndarra
 
 def iir(y: np.ndarray, dt: float, kind: str, corners: list[float], order: int = 4, demean: bool = True) -> np.ndarray:
     """Butterworth low-, high-, band-pass or band-stop."""
-    b, a = butter(order, [2 * dt * c for c in corners], kind)
-    return lfilter(b, a, y - y.mean(axis=1, keepdims=True) if demean else y)[0]
+    return sosfilt(butter_sections(order, [2 * dt * c for c in corners], kind), y - y.mean(axis=1, keepdims=True) if demean else y)[0]
 
 
 def autocorr(y: np.ndarray, dt: float, n: int) -> np.ndarray:

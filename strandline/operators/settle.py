@@ -6,15 +6,14 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settled(df: DataFrame, name: str) -> DataFrame:
-    """df written below spark.checkpoint.dir and read back, for what is read several times.
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own below spark.checkpoint.dir.
 
     Where the setting is unset, a temporary folder serves if all of Spark is this machine; on a cluster it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
@@ -22,6 +21,11 @@ def settled(df: DataFrame, name: str) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="strandline-"))
         base = sc.getCheckpointDir()
-    path = f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/strandline/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new path in the shared folder and read back, for what is read several times."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

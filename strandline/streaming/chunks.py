@@ -44,9 +44,12 @@ def stateful(chunks: DataFrame, step: Callable[[int, float, np.ndarray, np.ndarr
 
 
 def lfilter(chunks: DataFrame, b: np.ndarray, a: np.ndarray) -> DataFrame:
-    """Each channel filtered as if its chunks were one trace."""
+    """Each channel filtered as if its chunks were one trace; filters with feedback as a cascade, whose states are carried."""
+    rows = K.sections_of(b, a) if len(a) > 1 else None
+
     def step(t, dt, y, memory):
-        out, z = K.lfilter(b, a, y[None], None if memory is None else memory[None])
+        own, z = y[None], None if memory is None else memory[None]
+        out, z = K.lfilter(b, a, own, z) if rows is None else K.sosfilt(rows, own, z)
         return [(t, dt, out[0])], z[0]
 
     return stateful(chunks, step)
