@@ -14,33 +14,41 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, table
 
-BUCKETS, GRAMS, EPOCHS, RATE, DECAY, SCALE = 1024, (3, 4), 120, 0.5, 0.002, 10_000
+BUCKETS, GRAMS, EPOCHS, RATE, DECAY, SCALE = 4096, (3, 4), 60, 0.5, 0.004, 10_000
 #: Labelled rows that training accepts; the dual form holds their products, a square table.
 MAX_LABELLED = 2_000
-# Rules as (host, path, verdict) and the labelled urls.
+# Rules as (host, path, verdict) and the words of the labelled urls.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
+#: Words of unwanted sites by kind - gambling, sex, medicine, fraud, pirated goods, advertising - in five languages.
 UNWANTED = (
-    "casino-royal", "best-casino-games", "online-casino-win", "win-money-fast", "mega-win-slots", "slots-jackpot",
-    "free-bets-today", "sports-bets", "bets-bonus", "free-spins", "poker-win", "lucky-win-casino",
-    "cheap-pills-shop", "buy-pills-online", "cheap-meds", "viagra-pills", "pills-discount", "cheap-pharma",
-    "adult-videos", "xxx-adult", "adult-dating", "hot-sex-cams", "adult-xx", "porn-tube",
-    "spam-links", "link-farm", "content-farm", "spam-mail", "farm-of-links", "spam-farm-net",
-    "ads-server", "ad-track", "click-track-ads", "tracker-ads", "banner-ads", "popup-track",
-)
+    "roulette", "blackjack", "jackpot", "lotto", "baccarat", "bingo", "slotmachine", "gluecksspiel", "sportwetten", "apuestas", "tragaperras", "pariez", "loterie", "scommesse",
+    "escort", "hentai", "nude", "erotik", "webcamgirls", "fetish", "milf", "camsex", "sexe", "putas", "nackt", "incontri", "hookup", "strip",
+    "viagra", "cialis", "xanax", "steroid", "tramadol", "potenzmittel", "pastillas", "kratom", "slimming", "botox", "nootropic", "farmacia24",
+    "phishing", "payday", "doubler", "forexsignal", "getrich", "kredit24", "giftcard", "airdrop", "ponzi", "scam", "fakeid", "prestamos",
+    "keygen", "warez", "cracked", "torrentz", "nulled", "replica", "fakewatch", "serialz", "modapk", "leaked", "hacktool", "cheatz",
+    "popunder", "clickbait", "adserver", "banners", "backlinks", "seoboost", "doorway", "traffic4u", "werbung", "publicidad", "affiliate", "redirect",
+)
+#: Words of sites that people go to for their own sake, in the same languages.
 WANTED = (
-    "library", "garden", "museum", "weather", "news", "university",
-    "python", "history", "recipes", "physics", "mountain", "river",
-    "thorough", "nation", "station", "therapy", "theatre", "mother",
-    "another", "northern", "earth", "thing", "relation", "motion",
-    "tradition", "thread", "throne", "health", "method", "birth",
-    "attention", "double", "ration", "human", "ocean", "notion",
-)
+    "library", "garden", "museum", "weather", "newspaper", "university", "school", "bakery", "hospital", "orchestra", "railway", "village", "physics", "mountain",
+    "bibliothek", "rathaus", "zeitung", "wanderweg", "schule", "feuerwehr", "kochbuch", "buchladen", "verein", "heimat", "forschung", "werkstatt", "konzert", "kirche",
+    "biblioteca", "museo", "escuela", "cocina", "historia", "ciudad", "noticias", "jardin", "universidad", "montana", "poesia", "hospitales", "libros", "gobierno",
+    "mairie", "ecole", "cuisine", "histoire", "journal", "voyage", "jardinage", "cinema", "librairie", "recherche", "meteo", "patrimoine", "randonnee", "musique",
+    "scuola", "giornale", "ricette", "teatro", "comune", "paesaggio", "python", "chemistry", "recipes", "knitting", "birding", "astronomy", "cycling", "pottery",
+    "theatre", "heritage", "nature", "station", "council", "theology", "education", "harbour", "translation", "archive", "statistics", "grammar",
+)
 #: Both halves of the labelled table get these in turn, so that neither prefix, domain nor path tells them apart.
 PREFIXES, DOMAINS, PATHS = ("", "www.", "blog.", "m.", ""), ("test", "example.test", "net.test", "example.net"), ("/en/12", "/", "/de/5.html", "/fr/77/", "/index.html", "/es/3", "/articles/2024/item")
+JOINTS = ("", "-", "24", "-the-", "online", "-und-")
+
+
+def names(words: tuple[str, ...]) -> list[str]:
+    """Names of two words of one kind; every word is in two of them."""
+    return [f"{w}{JOINTS[i % len(JOINTS)]}{words[(i + 5) % len(words)]}" for i, w in enumerate(words)]
 
 
-def _urls(names: tuple[str, ...]) -> list[str]:
-    return [f"https://{PREFIXES[i % len(PREFIXES)]}{n}.{DOMAINS[i % len(DOMAINS)]}{PATHS[i % len(PATHS)]}" for i, n in enumerate(names)]
+def _urls(words: tuple[str, ...]) -> list[str]:
+    return [f"https://{PREFIXES[i % len(PREFIXES)]}{n}.{DOMAINS[i % len(DOMAINS)]}{PATHS[i % len(PATHS)]}" for i, n in enumerate(names(words))]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
@@ -60,14 +68,15 @@ def _buckets(host: Column, path: Column, buckets: int) -> Column:
     """Buckets of the n-grams of host and path, repeats included; digits are alike."""
     whole = F.concat(F.lit("^"), host, F.lit("$"), F.regexp_replace(path, "[0-9]+", "0"))
 
-    def grams_of(text: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substr(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    def grams_of(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0)))
+        return F.when(F.size(chars) >= n, F.transform(starts, lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))).otherwise(F.array().cast("array<string>"))
 
-    def of(text: Column) -> Column:
-        return F.concat(*(grams_of(text, n) for n in GRAMS))
+    def of(chars: Column) -> Column:
+        return F.concat(*(grams_of(chars, n) for n in GRAMS))
 
-    grams = F.transform(F.array(whole), of)[0]
+    # cut into characters once: a substring far inside a long text costs as much as the way there
+    grams = F.transform(F.array(F.filter(F.split(whole, ""), lambda c: c != "")), of)[0]
     return F.transform(grams, lambda g: (F.conv(F.substring(F.md5(g), 1, 6), 16, 10).cast("long") % buckets).cast("int"))
 
 
