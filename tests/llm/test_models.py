@@ -121,6 +121,20 @@ def test_embeddings_near_the_threshold(spark, mean):
     assert whole == {i: (count[i], component[i]) for i in component}
 
 
+def test_embedding_comparisons_grow_slowly():
+    """Vectors compared with each: four times the table makes less than 1.3 times as many, and all its buckets' pairs are counted."""
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((64_000, 64))
+    per_vector = []
+    for n in (4_000, 16_000, 64_000):
+        one = embedding_dedup.coder(x[:4096], n, 0.93, 0.98)
+        keys = one.keys(one.codes(x[:n]))
+        counts = [np.unique(keys[:, t], return_counts=True)[1] for t in range(keys.shape[1])]
+        per_vector.append(sum(float((c * (c - 1) / 2).sum()) for c in counts) / n)
+        assert len(one.cuts) == keys.shape[1] > 1
+    assert all(b < 1.3 * a for a, b in zip(per_vector, per_vector[1:]))
+
+
 def test_embedding_blocks_and_sizes(spark):
     """A bucket that is cut into blocks gives the same rows; very large and very small components keep their direction."""
     rng = np.random.default_rng(3)
