@@ -107,10 +107,16 @@ def substring(codes: np.ndarray, cut: tuple[int, int, int]) -> np.ndarray:
     return (codes[:, word] >> np.uint64(shift)) & np.uint64((1 << width) - 1)
 
 
-def _cuts(bits: int, width: int, tables: int) -> list[tuple[int, int, int]]:
-    """(word, shift, width) of so many substrings, whole ones in every word, whose bits are the upper ones of 64."""
-    each = bits // width
-    return [(t // each, 64 - (t % each + 1) * width, width) for t in range(tables)]
+def _cuts(bits: int, width: float, tables: int) -> list[tuple[int, int, int]]:
+    """(word, shift, width) of so many substrings of ``width`` bits on average, whole ones in every word, whose bits are the upper ones of 64."""
+    out, word, used = [], 0, 0
+    for t in range(tables):
+        own = min(int((t + 1) * width + 1e-9) - int(t * width + 1e-9), bits)
+        if used + own > bits:
+            word, used = word + 1, 0
+        used += own
+        out.append((word, 64 - used, own))
+    return out
 
 
 def pairs_at(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.ndarray:
@@ -126,9 +132,9 @@ def pairs_at(x: np.ndarray, threshold: float, rng: np.random.Generator) -> np.nd
     return threshold * x + np.sqrt(1 - threshold**2) * off
 
 
-def width_for(n: int) -> int:
-    """Bits that leave IN_BUCKET of n vectors in a bucket, if codes are balanced, and one more for every ten, as longer substrings take more tables."""
-    return min(max(int(np.ceil(1.1 * np.log2(max(n, 1) / IN_BUCKET))), LEAST_WIDTH), MOST_WIDTH)
+def width_for(n: int) -> float:
+    """Bits that leave IN_BUCKET of n vectors in a bucket, if codes are balanced, and some more, as longer substrings take more tables."""
+    return float(min(max(1.2 * np.log2(max(n, 1) / IN_BUCKET), LEAST_WIDTH), MOST_WIDTH))
 
 
 def coder(x: np.ndarray, n: int, threshold: float, recall: float | None, learnt: bool = True) -> Coder:
@@ -147,7 +153,7 @@ def coder(x: np.ndarray, n: int, threshold: float, recall: float | None, learnt:
         if recall is None:
             return one
         a, b, c = one.codes(x), one.codes(near), one.codes(other)
-        for width in range(min(width_for(n), bits), 0, -1):
+        for width in np.arange(min(width_for(n), bits), 0.99, -1.0):
             most = _cuts(bits, width, MAX_TABLES)
             found = [np.zeros(len(a), bool), np.zeros(len(a), bool)]
             share = 0.0
