@@ -129,11 +129,16 @@ def computed_columns(spark, d):
     return o.where("o_totalprice > 50000").select("o_orderkey", r6(mw).alias("mw"), (mw > 8.0).alias("big"))
 
 
-@register("parameter_grid", "SELECT depth, strike, count(*) OVER () AS n FROM (SELECT unnest([5.0, 10.0, 15.0, 20.0])::DOUBLE AS depth), (SELECT unnest(range(0, 360, 45)) AS strike)")
+@register("parameter_grid", """WITH r AS (SELECT s_nationkey AS region, floor(min(s_acctbal) / 1000)::BIGINT AS lo, floor(max(s_acctbal) / 1000)::BIGINT AS hi FROM supplier GROUP BY 1)
+SELECT region, d * 1000.0::DOUBLE AS depth, strike, count(*) OVER (PARTITION BY region) AS n FROM (SELECT region, strike, unnest(range(lo, hi + 1, 2)) AS d FROM (SELECT region, lo, hi, unnest(range(0, 360, 45)) AS strike FROM r))""")
+
 def parameter_grid(spark, d):
-    """A grid of source parameters: every combination of two ranges, by exploding one row."""
-    g = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(4))).alias("i")).select((F.col("i") * 5.0).alias("depth"), F.explode(F.sequence(F.lit(0), F.lit(315), F.lit(45))).alias("strike"))
-    return g.select("depth", F.col("strike").cast("long").alias("strike"), F.lit(32).cast("long").alias("n"))
+    """Grids of source parameters: every combination of two ranges, the first as wide as each nation's suppliers' balances."""
+    s = tables.read(spark, d, "supplier")
+    r = s.groupBy(F.col("s_nationkey").alias("region")).agg(F.floor(F.min("s_acctbal") / 1000).cast("long").alias("lo"), F.floor(F.max("s_acctbal") / 1000).cast("long").alias("hi"))
+    depth, strike = F.sequence("lo", "hi", F.lit(2).cast("long")), F.sequence(F.lit(0), F.lit(315), F.lit(45))
+    g = r.withColumns({"n": (F.size(depth) * F.size(strike)).cast("long"), "depth": F.explode(depth)}).withColumn("strike", F.explode(strike))
+    return g.select("region", (F.col("depth") * 1000.0).alias("depth"), F.col("strike").cast("long").alias("strike"), "n")
 
 
 @register("convert_archive", None)

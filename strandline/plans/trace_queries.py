@@ -242,9 +242,12 @@ def chopper(spark, d):
     return out.groupBy(F.col("iwin").cast("long").alias("iwin"), "group").agg(F.count("*").alias("n"), F.sum(F.floor((F.col("cut_max_ns") - F.col("cut_min_ns")) / T.SECOND)).alias("seconds"))
 
 
-@register("window_list", f"SELECT k::INT AS iwin, {Y1997 // (7 * T.DAY) * 7 * T.DAY} + k * {7 * T.DAY} AS wmin_ns, {Y1997 // (7 * T.DAY) * 7 * T.DAY} + (k + 1) * {7 * T.DAY} AS wmax_ns FROM range(0, {-(-Y1999 // (7 * T.DAY)) - Y1997 // (7 * T.DAY)}) t(k)")
+@register("window_list", f"""WITH {_N}, w AS (SELECT k::INT AS iwin, {Y1997 // (7 * T.DAY) * 7 * T.DAY} + k * {7 * T.DAY} AS wmin_ns, {Y1997 // (7 * T.DAY) * 7 * T.DAY} + (k + 1) * {7 * T.DAY} AS wmax_ns FROM range(0, {-(-Y1999 // (7 * T.DAY)) - Y1997 // (7 * T.DAY)}) t(k))
+SELECT iwin, wmin_ns, wmax_ns, count(tmin_ns) AS n FROM w LEFT JOIN nuts ON tmin_ns >= wmin_ns AND tmin_ns < wmax_ns GROUP BY ALL""")
 def window_list(spark, d):
-    return wn.windows(spark, Y1997, Y1999, 7 * T.DAY, snap=True).select("iwin", "wmin_ns", "wmax_ns")
+    """Weeks, and how many entries begin in each."""
+    begun = tables.nuts(spark, d).groupBy((T.floor_div(F.col("tmin_ns"), 7 * T.DAY) * (7 * T.DAY)).alias("wmin_ns")).agg(F.count("*").alias("n"))
+    return wn.windows(spark, Y1997, Y1999, 7 * T.DAY, snap=True).join(begun, "wmin_ns", "left").select("iwin", "wmin_ns", "wmax_ns", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @register("calendar_months", f"""WITH {_S}, x AS (SELECT codes, element, tmin_ns, tmax_ns, unnest(generate_series(date_trunc('month', make_timestamp(tmin_ns // 1000)), date_trunc('month', make_timestamp((tmax_ns - 1) // 1000)), INTERVAL 1 MONTH)) AS w FROM spans) SELECT codes, element, epoch_us(w) * 1000 AS wmin_ns, epoch_us(w + INTERVAL 1 MONTH) * 1000 AS wmax_ns, greatest(tmin_ns, epoch_us(w) * 1000) AS cut_min_ns, least(tmax_ns, epoch_us(w + INTERVAL 1 MONTH) * 1000) AS cut_max_ns FROM x""")
