@@ -67,8 +67,8 @@ def filter_channels_gaps(spark, d):
 
 
 @register("stations_by_radius", f"""WITH RECURSIVE {tables.SQL['places']},
-o AS (SELECT row_number() OVER (ORDER BY w, place) AS i, place, lat, lon FROM places),
-near AS (SELECT a.i, list(b.i) AS nb FROM o a JOIN o b ON b.i < a.i AND abs(a.lat - b.lat) <= 9
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY w, place) AS i, place, lat, lon FROM places),
+near AS MATERIALIZED (SELECT a.i, list(b.i) AS nb FROM o a JOIN o b ON b.i < a.i AND abs(a.lat - b.lat) <= 9
   AND degrees(2 * asin(least(1.0, sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)))) <= 8.3 GROUP BY a.i),
 g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept
       UNION ALL SELECT g.i + 1, CASE WHEN near.nb IS NOT NULL AND list_has_any(g.kept, near.nb) THEN g.kept ELSE list_append(g.kept, g.i + 1) END FROM g LEFT JOIN near ON near.i = g.i + 1 WHERE g.i < (SELECT max(i) FROM o))
