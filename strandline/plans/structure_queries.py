@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
-from ..operators import components, recursion, settle, stages, thinning
+from ..functions.times import ns_of
+from ..operators import components, polygons, recursion, selections, settle, stages, thinning
 from ..sources import archive_source
 from . import tables
 from .signal_queries import _chunks
@@ -124,3 +125,65 @@ def response_chain(spark, d):
     c = c.withColumns({"short": stages.simplified(F.col("whole")), "front": stages.evaluate(stages.combined(stages.between(F.col("stages"), last=2)), 1.0), "h": stages.evaluate(F.col("whole"), 1.0)}).withColumn("hs", stages.evaluate(F.col("short"), 1.0))
     amp = lambda h: F.sqrt(F.col(f"{h}.re") ** 2 + F.col(f"{h}.im") ** 2)
     return c.select("epoch", F.size(stages.faults(F.col("stages"))).alias("n_faults"), F.size("short.zeros").alias("n_zeros"), r6(F.col("h.re")).alias("re"), r6(F.col("h.im")).alias("im"), r6(F.col("hs.re")).alias("re_short"), r6(amp("front")).alias("front"))
+
+
+_STARS = """stars AS MATERIALIZED (SELECT p_partkey AS polygon, 5 + p_partkey % 4 AS n, radians((p_partkey * 53) % 180 - 89.5) AS la, radians((p_partkey * 149) % 360 - 179.5) AS lo, radians(1.3 + p_partkey % 7 * 1.1) AS r, radians(p_partkey % 61) AS turn, p_partkey % 197 = 0 AS outer_side FROM part),
+corners AS MATERIALIZED (SELECT polygon, k, n, outer_side, cos(rr) * cos(la) * cos(lo) + sin(rr) * (-cos(az) * sin(la) * cos(lo) - sin(az) * sin(lo)) AS x, cos(rr) * cos(la) * sin(lo) + sin(rr) * (-cos(az) * sin(la) * sin(lo) + sin(az) * cos(lo)) AS y, cos(rr) * sin(la) + sin(rr) * cos(az) * cos(la) AS z, cos(la) * cos(lo) AS cx, cos(la) * sin(lo) AS cy, sin(la) AS cz
+  FROM (SELECT *, r * (CASE WHEN k % 2 = 1 THEN 0.5 ELSE 1 END) AS rr, turn - 2 * pi() * k / n AS az FROM stars, range(9) t(k) WHERE k < n))"""
+
+
+def _stars(spark, d):
+    """Stars and other polygons around places made from parts; some hold all but their middle."""
+    k = F.col("p_partkey")
+    n = (5 + k % 4).cast("int")
+    la, lo, r, turn = F.radians(k * 53 % 180 - 89.5), F.radians(k * 149 % 360 - 179.5), F.radians(1.3 + k % 7 * 1.1), F.radians(k % 61)
+
+    def corner(i):
+        rr, az = r * F.when(i % 2 == 1, 0.5).otherwise(1.0), turn - 2 * F.pi() * i / n
+        z = F.cos(rr) * F.sin(la) + F.sin(rr) * F.cos(az) * F.cos(la)
+        x = F.cos(rr) * F.cos(la) * F.cos(lo) + F.sin(rr) * (-F.cos(az) * F.sin(la) * F.cos(lo) - F.sin(az) * F.sin(lo))
+        y = F.cos(rr) * F.cos(la) * F.sin(lo) + F.sin(rr) * (-F.cos(az) * F.sin(la) * F.sin(lo) + F.sin(az) * F.cos(lo))
+        return F.struct(F.degrees(F.atan2(z, F.sqrt(x * x + y * y))).alias("lat"), F.degrees(F.atan2(y, x)).alias("lon"))
+
+    line = F.transform(F.sequence(F.lit(0), n - 1), corner)
+    return tables.read(spark, d, "part").select(k.alias("polygon"), F.when(k % 197 == 0, F.reverse(line)).otherwise(line).alias("corners"))
+
+
+@register("places_in_polygons", f"""WITH {tables.SQL['places']}, {_STARS},
+p AS MATERIALIZED (SELECT place, cos(radians(lat)) * cos(radians(lon)) AS px, cos(radians(lat)) * sin(radians(lon)) AS py, sin(radians(lat)) AS pz FROM places),
+e AS MATERIALIZED (SELECT a.polygon, a.outer_side, a.cx, a.cy, a.cz, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS by_, b.z AS bz FROM corners a JOIN corners b ON a.polygon = b.polygon AND b.k = (a.k + 1) % a.n),
+held AS (SELECT place, polygon, any_value(outer_side) AS outer_side, bool_or((cy * az - cz * ay) * px + (cz * ax - cx * az) * py + (cx * ay - cy * ax) * pz >= 0
+  AND (ay * bz - az * by_) * px + (az * bx - ax * bz) * py + (ax * by_ - ay * bx) * pz > 0 AND (by_ * cz - bz * cy) * px + (bz * cx - bx * cz) * py + (bx * cy - by_ * cx) * pz > 0) AS held FROM p, e GROUP BY place, polygon)
+SELECT place, polygon FROM held WHERE held <> outer_side""")
+def places_in_polygons(spark, d):
+    """Places in as many polygons as there are parts, at the poles and across the date line too."""
+    return polygons.points_in_polygons(tables.places(spark, d), _stars(spark, d), "polygon").select("place", "polygon")
+
+
+@register("polygon_cells", f"WITH {_STARS} SELECT polygon, n::INT AS n_edges, true AS whole FROM stars")
+def polygon_cells(spark, d):
+    """Every edge of a polygon lies in cells of its cover, and no cell lies in another of the same polygon."""
+    c = polygons.cover(_stars(spark, d), "polygon")
+    n = F.size(F.array_distinct(F.flatten(F.collect_list("edges"))))
+    return c.groupBy(F.col("id").alias("polygon")).agg(n.alias("n_edges"), (F.count("*") == F.count_distinct("cell")).alias("whole"))
+
+
+_ASKED = """asked AS (SELECT l_returnflag AS network, 'S' || (l_suppkey % 20) AS station, '' || (l_linenumber % 2) AS location, 'C' || (l_partkey % 7) AS channel, epoch_us(date_trunc('month', l_shipdate)) * 1000 AS tmin_ns, epoch_us(date_trunc('month', l_shipdate) + INTERVAL 1 MONTH) * 1000 AS tmax_ns FROM lineitem)"""
+
+
+@register("selections_merged", f"""WITH {_ASKED},
+f AS (SELECT *, coalesce(lag(tmax_ns) OVER (PARTITION BY network, station, location, channel ORDER BY tmin_ns) < tmin_ns, true)::INT AS fresh FROM (SELECT DISTINCT * FROM asked)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY network, station, location, channel ORDER BY tmin_ns) AS k FROM f),
+t AS (SELECT network, station, location, channel, min(tmin_ns) AS tmin_ns, max(tmax_ns) AS tmax_ns FROM g GROUP BY network, station, location, channel, k),
+c AS (SELECT network, station, location, list(channel ORDER BY channel) AS channel, tmin_ns, tmax_ns FROM t GROUP BY ALL),
+l AS (SELECT network, station, list(location ORDER BY location) AS location, channel, tmin_ns, tmax_ns FROM c GROUP BY network, station, channel, tmin_ns, tmax_ns),
+s AS (SELECT network, list(station ORDER BY station) AS station, location, channel, tmin_ns, tmax_ns FROM l GROUP BY network, location, channel, tmin_ns, tmax_ns)
+SELECT array_to_string(list(network ORDER BY network), '|') AS network, array_to_string(station, '|') AS station, array_to_string(location, '|') AS location, array_to_string(channel, '|') AS channel, tmin_ns, tmax_ns FROM s GROUP BY station, location, channel, tmin_ns, tmax_ns""")
+def selections_merged(spark, d):
+    """Months asked for by order lines as the rectangles to request."""
+    month = F.date_trunc("month", "l_shipdate")
+    asked = tables.read(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("network"), F.concat(F.lit("S"), (F.col("l_suppkey") % 20).cast("string")).alias("station"), (F.col("l_linenumber") % 2).cast("string").alias("location"), F.concat(F.lit("C"), (F.col("l_partkey") % 7).cast("string")).alias("channel"),
+        ns_of(month).alias("tmin_ns"), ns_of(month + F.expr("INTERVAL 1 MONTH")).alias("tmax_ns"),
+    )
+    return selections.merge_selections(asked).select(*(F.array_join(a, "|").alias(a) for a in selections.AXES), "tmin_ns", "tmax_ns")
