@@ -104,6 +104,85 @@ def firwin(taps: int, corner: float) -> np.ndarray:
     return h / h.sum()
 
 
+def equiripple(taps: int, bands: tuple[tuple[float, float], ...], gains: tuple[float, ...], weights: tuple[float, ...], density: int = 16) -> np.ndarray:
+    """Symmetric filter of an odd number of taps with the least weighted error over bands, in half cycles per sample (0 to 1).
+
+    Exchange of extremal frequencies: the cosine polynomial that errs by one amount, with alternating signs, at taps // 2 + 2
+    frequencies is evaluated in barycentric form; the largest errors, found on a grid and refined between its
+    points by parabolas, are the next frequencies, until all are as large as the first to 1e-11 of the gains.
+    """
+    edges = [f for band in bands for f in band]
+    if taps % 2 == 0 or not len(bands) == len(gains) == len(weights) or any(b <= a for a, b in zip(edges, edges[1:])) or edges[0] < 0 or edges[-1] > 1:
+        raise ValueError("an odd number of taps and rising bands between 0 and 1, each with gain and weight, are needed")
+    half, count = taps // 2, taps // 2 + 2
+    total = sum(b - a for a, b in bands)
+    sizes = [max(8, int(np.ceil(density * count * (b - a) / total))) for a, b in bands]
+    f = np.concatenate([np.linspace(a, b, n) for (a, b), n in zip(bands, sizes)])
+    band = np.repeat(np.arange(len(bands)), sizes)
+    gain, weight, lo, hi = (np.array(v, float) for v in (gains, weights, [a for a, _ in bands], [b for _, b in bands]))
+    at = np.rint(np.linspace(0, len(f) - 1, count)).astype(int)
+    pole_f, pole_band = f[at], band[at]
+    sign = (-1.0) ** np.arange(count)
+    step = np.array([(b - a) / (n - 1) for (a, b), n in zip(bands, sizes)])
+
+    def fitted():
+        x = np.cos(np.pi * pole_f)
+        d = 2 * (x[:, None] - x)  # doubled, as products of such distances stay near one
+        np.fill_diagonal(d, 1.0)
+        logs = np.log(np.abs(d)).sum(axis=1)
+        c = np.prod(np.sign(d), axis=1) * np.exp(logs.min() - logs)
+        delta = (c @ gain[pole_band]) / (c @ (sign / weight[pole_band]))
+        y = gain[pole_band] - sign * delta / weight[pole_band]
+
+        def value(at_f):
+            gap = np.cos(np.pi * at_f)[:, None] - x
+            hit = np.abs(gap) < 1e-15
+            r = c / np.where(hit, 1.0, gap)
+            plain = (r @ y) / r.sum(axis=1)
+            return np.where(hit.any(axis=1), y[hit.argmax(axis=1)], plain)
+
+        return delta, value
+
+    for _ in range(100):
+        delta, value = fitted()
+        error = lambda q, k: weight[k] * (gain[k] - value(q))
+        q, k = np.concatenate([f, pole_f]), np.concatenate([band, pole_band])  # between the grid's points the last frequencies count too
+        order = np.argsort(q, kind="stable")
+        q, k = q[order], k[order]
+        e = error(q, k)
+        side, e = np.sign(e), np.abs(e)
+        apart = (k[1:] != k[:-1]) | (side[1:] != side[:-1])
+        inner = np.concatenate([[True], (e[1:] >= e[:-1]) | apart]) & np.concatenate([(e[:-1] >= e[1:]) | apart, [True]])
+        q, k, side = q[inner], k[inner], side[inner]
+        h = step[k]
+        for _ in range(5):
+            a, m, b = np.clip(q - h, lo[k], hi[k]), q, np.clip(q + h, lo[k], hi[k])
+            ea, em, eb = (side * error(z, k) for z in (a, m, b))
+            bend = (b - m) * (em - ea) + (m - a) * (em - eb)
+            move = np.where((bend > 0) & (a < m) & (m < b), ((b - m) ** 2 * (em - ea) - (m - a) ** 2 * (em - eb)) / np.where(bend > 0, 2 * bend, 1.0), 0.0)
+            near = np.clip(m - move, a, b)
+            choices = np.stack([ea, em, eb, side * error(near, k)])
+            q = np.choose(choices.argmax(axis=0), [a, m, b, near])
+            h = h / 4
+        e = error(q, k)
+        runs = np.concatenate([[0], np.cumsum(np.sign(e[1:]) != np.sign(e[:-1]))])
+        best = np.array([np.flatnonzero(runs == r)[np.abs(e[runs == r]).argmax()] for r in range(runs[-1] + 1)])
+        while len(best) > count:
+            ends = np.abs(e[best[[0, -1]]])
+            best = best[1:] if ends[0] < ends[1] else best[:-1]
+        if len(best) < count:
+            raise ValueError("the filter has more taps than these bands can tell apart")
+        pole_f, pole_band = q[best], k[best]
+        sign = np.sign(e[best])
+        if np.abs(e).max() - np.abs(delta) < 1e-11 * max(1.0, np.abs(gain).max()):
+            break
+    _, value = fitted()
+    k = np.arange(half + 1)
+    amp = value(2 * k / taps)
+    side = (amp[0] + 2 * np.cos(2 * np.pi * np.outer(k, k[1:]) / taps) @ amp[1:]) / taps
+    return np.concatenate([side[:0:-1], side])
+
+
 def lfilter(b: np.ndarray, a: np.ndarray, y: np.ndarray, state: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Filtered rows and the state after them, (rows, taps - 1); all rows, and up to order two all blocks of long ones, go through each sample together."""
     n = max(len(a), len(b))

@@ -7,6 +7,7 @@ together; nothing is shuffled. Traces with nulls or no samples give null.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,20 +98,32 @@ def resample(traces: DataFrame, deltat: float, **rest) -> DataFrame:
     return map_traces(traces, lambda y, dt: K.resample(y, dt, deltat), **rest).withColumn("deltat", F.lit(float(deltat)))
 
 
-def downsample(traces: DataFrame, factor: int, **rest) -> DataFrame:
-    """Every factor-th sample, on the grid of multiples of the new interval, after the anti-alias filter."""
+def downsample(traces: DataFrame, factor: int, filter: str = "window", **rest) -> DataFrame:
+    """Every factor-th sample, on the grid of multiples of the new interval, after the anti-alias filter.
+
+    filter: window, or equiripple with its pass band up to 0.75 and its stop band from 1 of the new highest frequency on.
+    """
     step = F.rint(F.col("deltat") * 1e9).cast("long")
     number = F.call_function("div", F.col("tmin_ns"), step)
-    out = map_traces(traces, lambda y, dt: _smoothed(y, factor), **rest)
+    out = map_traces(traces, lambda y, dt: _smoothed(y, factor, filter), **rest)
     # a column of its own: inside of a lambda, names of columns that are replaced beside it mean the new ones
     out = out.withColumn("__first", F.pmod(-number, F.lit(factor)).cast("int"))
     out = out.withColumn("ydata", F.filter("ydata", lambda v, i: F.pmod(i - F.col("__first"), F.lit(factor)) == 0))
     return out.withColumns({"tmin_ns": F.col("tmin_ns") + F.col("__first") * step, "deltat": F.col("deltat") * factor}).drop("__first")
 
 
-def _smoothed(y: np.ndarray, factor: int) -> np.ndarray:
-    taps = 40 * factor // 2 * 2 + 1
-    h = K.firwin(taps, 0.75 / factor)
+@lru_cache
+def _smoother(factor: int, filter: str) -> np.ndarray:
+    if filter == "window":
+        return K.firwin(40 * factor // 2 * 2 + 1, 0.75 / factor)
+    if filter == "equiripple":
+        return K.equiripple(45 * factor // 2 * 2 + 1, ((0, 0.75 / factor), (1 / factor, 1)), (1.0, 0.0), (1.0, 50.0))
+    raise ValueError(f"unknown filter {filter}")
+
+
+def _smoothed(y: np.ndarray, factor: int, filter: str) -> np.ndarray:
+    h = _smoother(factor, filter)
+    taps = len(h)
     return np.stack([np.convolve(r, h, "valid") for r in np.pad(y, ((0, 0), (taps // 2, taps // 2)), "edge")])
 
 
