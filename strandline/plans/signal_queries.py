@@ -109,36 +109,44 @@ def _chunks(spark, d, gap: int):
     return tables.traces(spark, d).select((k % 10).alias("codes"), "deltat", (F.lit(T0) + F.floor(k / 10) * ((64 + gap) * 500_000_000)).alias("tmin_ns"), "ydata")
 
 
-@register("degap", f"""WITH {_T}, c AS (SELECT trace_id % 10 AS codes, count(*) AS k, sum(list_sum(ydata)) AS s FROM traces GROUP BY 1) SELECT codes, {T0} AS tmin_ns, k * 64 AS n, round(s, 5) + 0.0 AS total FROM c""")
+def _each(df, *keys):
+    """One row for each sample, with the start of its trace."""
+    return df.select(*keys, "tmin_ns", F.posexplode("ydata").alias("i", "y")).select(*keys, "tmin_ns", (F.col("tmin_ns") + F.col("i") * F.lit(500_000_000).cast("long")).alias("t_ns"), r6(F.col("y")).alias("y"))
+
+
+def _laid(gap: int) -> str:
+    """The samples of _chunks: number j of the trace, place k in it."""
+    return f"WITH {_T}, x AS (SELECT trace_id % 10 AS codes, trace_id // 10 AS j, k, {T0} + ((trace_id // 10) * {64 + gap} + k) * 500000000 AS t_ns, ydata[k + 1] AS y FROM traces, range(64) r(k))"
+
+
+@register("degap", f"{_laid(0)} SELECT codes, {T0} AS tmin_ns, t_ns, round(y, 6) + 0.0 AS y FROM x")
 def degap(spark, d):
-    out = jn.degap(_chunks(spark, d, 0), ["codes"])
-    return out.select("codes", "tmin_ns", F.size("ydata").cast("long").alias("n"), (F.round(A.total(F.col("ydata")), 5) + 0.0).alias("total"))
+    return _each(jn.degap(_chunks(spark, d, 0), ["codes"]), "codes")
 
 
-@register("degap_fill", f"""WITH {_T}, c AS (SELECT trace_id % 10 AS codes, trace_id, ydata, lead(ydata[1]) OVER (PARTITION BY trace_id % 10 ORDER BY trace_id) AS nxt FROM traces) SELECT codes, {T0} AS tmin_ns, count(*) * 64 + (count(*) - 1) * 2 AS n, round(sum(list_sum(ydata)) + sum(coalesce(ydata[64] + nxt, 0)), 5) + 0.0 AS total FROM c GROUP BY codes""")
+@register("degap_fill", f"""{_laid(2)}, l AS (SELECT a.codes, a.t_ns + h * 500000000 AS t_ns, a.y + (b.y - a.y) * h / 3.0 AS y FROM x a JOIN x b ON a.codes = b.codes AND b.j = a.j + 1 AND a.k = 63 AND b.k = 0, range(1, 3) r(h))
+SELECT codes, {T0} AS tmin_ns, t_ns, round(y, 6) + 0.0 AS y FROM (SELECT codes, t_ns, y FROM x UNION ALL SELECT * FROM l)""")
 def degap_fill(spark, d):
-    out = jn.degap(_chunks(spark, d, 2), ["codes"])
-    return out.select("codes", "tmin_ns", F.size("ydata").cast("long").alias("n"), (F.round(A.total(F.col("ydata")), 5) + 0.0).alias("total"))
+    return _each(jn.degap(_chunks(spark, d, 2), ["codes"]), "codes")
 
 
-@register("degap_overlap", f"""WITH {_T}, c AS (SELECT trace_id % 10 AS codes, trace_id, ydata, lead(trace_id) OVER (PARTITION BY trace_id % 10 ORDER BY trace_id) IS NULL AS final FROM traces) SELECT codes, {T0} AS tmin_ns, count(*) * 61 + 3 AS n, round(sum(CASE WHEN final THEN list_sum(ydata) ELSE list_sum(ydata[1:61]) END), 5) + 0.0 AS total FROM c GROUP BY codes""")
+@register("degap_overlap", f"{_laid(-3)} SELECT codes, {T0} AS tmin_ns, t_ns, round(arg_max(y, j), 6) + 0.0 AS y FROM x GROUP BY codes, t_ns")
 def degap_overlap(spark, d):
-    out = jn.degap(_chunks(spark, d, -3), ["codes"])
-    return out.select("codes", "tmin_ns", F.size("ydata").cast("long").alias("n"), (F.round(A.total(F.col("ydata")), 5) + 0.0).alias("total"))
+    """Where two traces overlap the second one's samples stay."""
+    return _each(jn.degap(_chunks(spark, d, -3), ["codes"]), "codes")
 
 
-@register("deoverlap", f"""WITH {_T}, c AS (SELECT trace_id % 10 AS codes, trace_id // 10 AS j, ydata FROM traces) SELECT codes, {T0} + j * 27000000000::BIGINT + (CASE WHEN j > 0 THEN 5000000000 ELSE 0 END) AS tmin_ns, CASE WHEN j > 0 THEN 54 ELSE 64 END AS n, round(list_sum(CASE WHEN j > 0 THEN ydata[11:64] ELSE ydata END), 6) + 0.0 AS total FROM c""")
+@register("deoverlap", f"{_laid(-10)} SELECT codes, {T0} + (j * 54 + CASE WHEN j > 0 THEN 10 ELSE 0 END) * 500000000 AS tmin_ns, t_ns, round(y, 6) + 0.0 AS y FROM x WHERE j = 0 OR k >= 10")
 def deoverlap(spark, d):
-    out = jn.deoverlap(_chunks(spark, d, -10), ["codes"], "first")
-    return out.select("codes", "tmin_ns", F.size("ydata").alias("n"), r6(A.total(F.col("ydata"))).alias("total"))
+    return _each(jn.deoverlap(_chunks(spark, d, -10), ["codes"], "first"), "codes")
 
 
-@register("merge_archives", f"""WITH {_T}, c AS (SELECT trace_id % 10 AS codes, trace_id // 10 AS j, ydata FROM traces), n AS (SELECT codes, max(j) AS last FROM c GROUP BY codes) SELECT codes, {T0} AS tmin_ns, (last + 1) * 64 AS n FROM n""")
+@register("merge_archives", f"{_laid(0)} SELECT codes, {T0} AS tmin_ns, t_ns, round(y + CASE WHEN j % 2 = 0 THEN 1 ELSE 0 END, 6) + 0.0 AS y FROM x")
 def merge_archives(spark, d):
-    """Even chunks against all chunks: one trace per code comes out."""
+    """Even chunks, whose samples are one more, against all chunks: one trace per code comes out, with theirs where both are."""
     all_of = _chunks(spark, d, 0)
     even = all_of.where((F.col("tmin_ns") - T0) % (2 * 64 * 500_000_000) == 0).withColumn("ydata", F.transform("ydata", lambda v: v + 1))
-    return jn.merge_archives(even, all_of, ["codes"]).select("codes", "tmin_ns", F.size("ydata").cast("long").alias("n"))
+    return _each(jn.merge_archives(even, all_of, ["codes"]), "codes")
 
 
 @register("event_groups", """WITH g AS (SELECT user_id AS codes, event_id, epoch_us(ts) * 1000 AS t_ns, coalesce(epoch_us(ts) * 1000 - lag(epoch_us(ts) * 1000) OVER (PARTITION BY user_id ORDER BY ts) >= 7200000000000, true)::INT AS fresh FROM events) SELECT codes, event_id, (sum(fresh) OVER (PARTITION BY codes ORDER BY t_ns ROWS UNBOUNDED PRECEDING))::BIGINT AS "group" FROM g""")
