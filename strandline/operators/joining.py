@@ -181,11 +181,15 @@ def merge_archives(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     covered = settled(met.groupBy(*group, F.col("qmin_ns").alias("tmin_ns"), F.col("qmax_ns").alias("__q")).agg(F.collect_list(F.struct(F.col("tmin_ns").alias("lo"), (F.col("tmax_ns") - step).alias("hi"))).alias("__taken")), "covered")
     timed = b.select(*cols).withColumn("__q", tmax_ns(F.col("tmin_ns"), F.col("deltat"), F.col("ydata")) + 1).join(covered, [*group, "tmin_ns", "__q"], "left").where(F.size("ydata") > 0)
     whole = timed.where("__taken is null").select(*cols)
-    free = F.transform("ydata", lambda v, i: ~F.exists("__taken", lambda s: (F.col("tmin_ns") + i * step >= s["lo"]) & (F.col("tmin_ns") + i * step <= s["hi"])))
-    parts = timed.where("__taken is not null").withColumns({"__free": free}).withColumn("__s", F.explode(F.transform(F.array("__free"), lambda fr: F.filter(F.transform(fr, lambda ok, i: F.when(ok & F.coalesce(~F.get(fr, i - 1), F.lit(True)), i)), lambda i: i.isNotNull()))[0]))
-    length = F.coalesce(F.array_position(F.slice("__free", F.col("__s") + 1, F.size("__free")), F.lit(False)), F.lit(0)).cast("int")
-    left = parts.withColumn("__n", F.when(length == 0, F.size("ydata") - F.col("__s")).otherwise(length - 1))
-    cut = left.select(*keys, "deltat", (F.col("tmin_ns") + F.col("__s") * step).alias("tmin_ns"), F.slice("ydata", F.col("__s") + 1, F.col("__n")).alias("ydata"))
+    # the spans taken, as places in the trace in their order, leave what lies before, between and behind them
+    up = lambda t: -floor_div(F.col("tmin_ns") - t, step)
+    taken = F.transform(F.array_sort("__taken"), lambda s: F.struct(up(s["lo"]).alias("lo"), floor_div(s["hi"] - F.col("tmin_ns"), step).alias("hi")))
+    parts = timed.where("__taken is not null").withColumn("__taken", taken)
+    begin = lambda k: F.when(k == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), F.get("__taken", k - 1)["hi"] + 1))
+    end = lambda k: F.least(F.size("ydata"), F.coalesce(F.get("__taken", k)["lo"], F.size("ydata")))
+    runs = F.transform(F.sequence(F.lit(0), F.size("__taken")), lambda k: F.struct(begin(k).cast("int").alias("s"), end(k).cast("int").alias("e")))
+    left = parts.withColumn("__r", F.explode(F.filter(runs, lambda r: r["s"] < r["e"])))
+    cut = left.select(*keys, "deltat", (F.col("tmin_ns") + F.col("__r.s") * step).alias("tmin_ns"), F.slice("ydata", F.col("__r.s") + 1, F.col("__r.e") - F.col("__r.s")).alias("ydata"))
     return degap(settled(a.select(*cols).unionByName(whole).unionByName(cut), "merged"), keys, maxgap=1)
 
 

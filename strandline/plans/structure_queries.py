@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.times import ns_of
-from ..operators import components, polygons, recursion, selections, settle, stages, thinning
+from ..operators import components, deltas, index, polygons, recursion, selections, settle, stages, thinning
 from ..sources import archive_source
 from . import tables
 from .signal_queries import _chunks
@@ -187,3 +187,32 @@ def selections_merged(spark, d):
         ns_of(month).alias("tmin_ns"), ns_of(month + F.expr("INTERVAL 1 MONTH")).alias("tmax_ns"),
     )
     return selections.merge_selections(asked).select(*(F.array_join(a, "|").alias(a) for a in selections.AXES), "tmin_ns", "tmax_ns")
+
+
+# Order lines as entries of files, in two states: in the second, files are new, gone or have other ends of their entries.
+_LATER = f"WITH {tables.SQL['nuts']}, later AS (SELECT kind, substr(codes, 1, 1) AS codes, tmin_ns, tmax_ns + (CASE WHEN file_id % 6 = 0 THEN 86400000000000 ELSE 0 END) AS tmax_ns FROM nuts WHERE file_id % 5 <> 0)"
+
+
+def _maintained(spark, d):
+    """The tables after a first filling, an update and a compaction."""
+    n = tables.nuts(spark, d).select("file_id", F.col("file_id").cast("string").alias("path"), "kind", F.substring("codes", 1, 1).alias("codes"), "tmin_ns", "tmax_ns")
+    old = n.where("file_id % 4 <> 0")
+    new = n.where("file_id % 5 <> 0").withColumn("tmax_ns", F.col("tmax_ns") + F.when(F.col("file_id") % 6 == 0, 86_400_000_000_000).otherwise(0))
+    listed = lambda df, m: df.select("path", m.alias("mtime"), F.lit(1).alias("size")).distinct()
+    states = index.sync(listed(old, F.lit(0)), listed(new, F.when(F.col("file_id") % 6 == 0, 1).otherwise(0)))
+    path, to = settle.new_path(spark, "index"), settle.new_path(spark, "index")
+    deltas.append(old.withColumn("sign", F.lit(1).cast("long")), path, 0)
+    deltas.append(deltas.changes(old, states, new), path, 1)
+    deltas.compact(spark, path, to)
+    return deltas.bounds(spark, to)
+
+
+@register("index_maintained", f"{_LATER} SELECT kind, codes, count(*) AS n, min(tmin_ns) AS tmin_ns, max(tmax_ns) AS tmax_ns FROM later GROUP BY ALL")
+def index_maintained(spark, d):
+    """Counts and spans from signed changes, against a rebuild."""
+    return deltas.summary(_maintained(spark, d))
+
+
+@register("coverage_maintained", f"{_LATER}, s AS (SELECT kind, codes, t_ns, sum(step) AS step FROM (SELECT kind, codes, tmin_ns AS t_ns, 1 AS step FROM later UNION ALL SELECT kind, codes, tmax_ns, -1 FROM later) GROUP BY ALL HAVING sum(step) <> 0) SELECT kind, codes, t_ns, (sum(step) OVER (PARTITION BY kind, codes ORDER BY t_ns))::BIGINT AS count FROM s")
+def coverage_maintained(spark, d):
+    return deltas.coverage(_maintained(spark, d))
