@@ -170,13 +170,15 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Every piece of every document with its sequence_id and offset.
 
     ``pool``: about how many pieces are packed together; pieces that fill a sequence need no packing and get negative
-    numbers. An empty table gives no rows; repeated rows are packed each for itself; null ids are kept; pieces of one
+    numbers. An empty table gives no rows; repeated rows are packed each for itself, dealt into pools by a number of
+    their own; null ids are kept; pieces of one
     length (ties) may take each other's places. Texts may have any length.
     """
-    cut = written(pieces(docs, id_col, text_col, capacity, **of_pieces), "pieces")
+    salted = pieces(docs, id_col, text_col, capacity, **of_pieces).withColumn("__salt", F.monotonically_increasing_id())
+    cut = written(salted, "pieces")  # the numbers are read back, never made again
     whole = cut.where(F.col("length") == capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = cut.where(F.col("length") < capacity)
-    return pack(rest, "length", capacity, max(1, -(-rest.count() // pool))).unionByName(whole)
+    return pack(rest, "length", capacity, max(1, -(-rest.count() // pool))).unionByName(whole).drop("__salt")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
