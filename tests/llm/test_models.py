@@ -461,6 +461,15 @@ def test_pieces_round_trip(spark):
     assert [r["decoded"] for r in piece_transducer.decode(none).collect()] == [None, ""]
 
 
+def test_packing_deals_repeated_rows(spark):
+    """Copies of one row without an id don't fall into one pool."""
+    df = spark.createDataFrame([(None, "one text of some words")] * 600, "doc_id long, text string").repartition(3)
+    rows = packing.pack_documents(df, pool=100).collect()
+    assert len(rows) == 600 and "__salt" not in rows[0]
+    pools = Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(pools) == 6 and max(pools.values()) < 200
+
+
 def test_quality_model_is_additive_with_pairs():
     rng = np.random.default_rng(9)
     x = rng.random((4000, 4))
@@ -487,6 +496,115 @@ def test_quality_held_out(spark):
     assert sum(got[i]["predicted"] == labels[i] for i in held) >= 0.9 * len(held)
 
 
+def _plain_features(text):
+    """FEATURES from the characters of a text, counted one by one."""
+    raw = (text or "").encode()
+    words, word = [], b""
+    for c in raw + b" ":
+        if c in b" \t\n\x0b\x0c\r":
+            words += [word] if word else []
+            word = b""
+        else:
+            word += bytes([c])
+    n, size = max(len(words), 1), max(len(raw), 1)
+    have = lambda chars: sum(raw.count(c) for c in chars)
+    lines = [x for x in raw.split(b"\n") if any(c not in b" \t\n\x0b\x0c\r" for c in x)]
+    upper, lower = (sum(a <= c <= b for c in raw) for a, b in (b"AZ", b"az"))
+    repeats = sum(1 for k in range(1, len(words)) if words[k] == words[k - 1])
+    most = max((words.count(w) for w in set(words)), default=0)
+    return [
+        np.log1p(len(words)), sum(len(w) for w in words) / n, have(b"#*$%&<>~^{}") / n, have(b"|") / n, have(b"!") / n, upper / max(upper + lower, 1), len(set(words)) / n, most / n, repeats / n,
+        sum(48 <= c <= 57 for c in raw) / size, have(b".,;:?") / n, len(words) / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1), have(b" \t\n\x0b\x0c\r") / size, sum(c > 127 for c in raw) / size,
+    ]
+
+
+def _plain_tree(g, h, depth):
+    """Values of bins under the best tree, by trying every split."""
+    whole = sum(g) / (sum(h) + 1.0)
+    best, at = sum(g) ** 2 / (sum(h) + 1.0), None
+    for k in range(1, len(g)) if depth else ():
+        gl, hl = sum(g[:k]), sum(h[:k])
+        gr, hr = sum(g) - gl, sum(h) - hl
+        gain = gl * gl / (hl + 1.0) + gr * gr / (hr + 1.0)
+        if hl >= 1.0 and hr >= 1.0 and gain > best:
+            best, at = gain, k
+    return [whole] * len(g) if at is None else _plain_tree(g[:at], h[:at], depth - 1) + _plain_tree(g[at:], h[at:], depth - 1)
+
+
+def _plain_grid(g, h):
+    best, value = -1.0, None
+    for k in range(1, len(g)):
+        gain, rows = 0.0, []
+        for part in (range(k), range(k, len(g))):
+            gs, hs = ([sum(m[r][c] for r in part) for c in range(len(g[0]))] for m in (g, h))
+            values = _plain_tree(gs, hs, 1)
+            gain += sum(2 * a * v - (b + 1.0 / len(hs)) * v * v for a, b, v in zip(gs, hs, values))
+            rows += [values] * len(part)
+        if gain > best:
+            best, value = gain, rows
+    flat_g, flat_h = (sum(map(sum, m)) for m in (g, h))
+    return value or [[flat_g / (flat_h + 1.0)] * len(g[0]) for _ in g]
+
+
+def _plain_scores(x, learnt, y):
+    """Scores of all rows of x by boosting on the learnt rows, bins and tables as plain lists."""
+
+    def bins(k):
+        edges = [sorted(set(np.quantile([x[i][f] for i in learnt], np.linspace(0, 1, k + 1)[1:-1]).tolist())) for f in range(15)]
+        return [[sum(e < row[f] for e in edges[f]) for f in range(15)] for row in x], [len(e) + 1 for e in edges]
+
+    (at, sizes), (low, few) = bins(32), bins(8)
+    rate = min(max(sum(y) / len(y), 1e-3), 1 - 1e-3)
+    z = [float(np.log(rate / (1 - rate)))] * len(x)
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    for _ in range(150):
+        for f in range(15):
+            g, h = [0.0] * sizes[f], [0.0] * sizes[f]
+            for i, label in zip(learnt, y):
+                p = sigmoid(z[i])
+                g[at[i][f]] += label - p
+                h[at[i][f]] += p * (1 - p)
+            values = _plain_tree(g, h, 2)
+            z = [v + 0.1 * values[at[i][f]] for i, v in enumerate(z)]
+
+    def grid(f, k):
+        g, h = ([[0.0] * few[k] for _ in range(few[f])] for _ in "gh")
+        for i, label in zip(learnt, y):
+            p = sigmoid(z[i])
+            g[low[i][f]][low[i][k]] += label - p
+            h[low[i][f]][low[i][k]] += p * (1 - p)
+        return g, h, _plain_grid(g, h)
+
+    gains = []
+    for f in range(15):
+        for k in range(f + 1, 15):
+            g, h, v = grid(f, k)
+            gains.append((sum(2 * a * w - b * w * w for rg, rh, rv in zip(g, h, v) for a, b, w in zip(rg, rh, rv)), f, k))
+    pairs = [(f, k) for gain, f, k in sorted(gains, reverse=True)[:8] if gain > 0]
+    for _ in range(40):
+        for f, k in pairs:
+            v = grid(f, k)[2]
+            z = [w + 0.1 * v[low[i][f]][low[i][k]] for i, w in enumerate(z)]
+    return [sigmoid(v) for v in z]
+
+
+def test_quality_query_against_plain_version(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["quality"] is not None}
+    ids = sorted(docs)
+    x = [_plain_features(docs[i]) for i in ids]
+    learnt = [k for k, i in enumerate(ids) if i in labels and zlib.crc32(str(i).encode()) % 5]
+    order = {r["id"]: k for k, r in enumerate(spark.createDataFrame([(ids[k],) for k in learnt], "id long").orderBy(F.xxhash64("id"), "id").collect())}
+    learnt.sort(key=lambda k: order[ids[k]])
+    want = dict(zip(ids, _plain_scores(x, learnt, [labels[ids[k]] for k in learnt])))
+    got = {r["doc_id"]: r for r in quality_model.query(spark, sf).collect()}
+    assert set(got) == set(want)
+    for i in ids:
+        assert abs(got[i]["score"] - want[i]) < 1e-6, i
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and got[i]["predicted"] == int(want[i] >= 0.3)
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (2, ""), (3, "good text here. " * 9), (3, "good text here. " * 9), (None, "x"), (4, "z" * 200_000)], "doc_id long, text string").withColumns({"x": F.lit(1), "score": F.lit(2)})
     labels = spark.createDataFrame([(1, 0), (2, None), (None, 1), (3, 1), (3, 0)], "doc_id long, quality int")
