@@ -69,15 +69,15 @@ def restitute(traces: DataFrame, responses: DataFrame, limits: tuple[float, floa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
-                y = r["ydata"]
-                if not y or r["n_matches"] != 1:
+            out, ys = [], batch.column("ydata")
+            for i, r in enumerate(batch.drop_columns(["ydata"]).to_pylist()):
+                y = ys[i].values
+                if y is None or not len(y) or r["n_matches"] != 1:
                     out.append(None)
                     continue
                 zeros, poles = ([complex(v["re"], v["im"]) for v in r[f"epoch_{n}"] or []] for n in ("zeros", "poles"))
                 instrument = R.inverse(R.pole_zero(zeros, poles, r["epoch_gain"]))
-                out.append(K.transfer(np.array([y], float), r["deltat"], R.multiply(instrument, convert), limits, tfade=tfade)[0])
+                out.append(K.transfer(y.to_numpy(zero_copy_only=False)[None].astype(float), r["deltat"], R.multiply(instrument, convert), limits, tfade=tfade)[0])
             yield pa.RecordBatch.from_arrays([batch.column("codes"), batch.column("deltat"), batch.column("t_ns"), pa.array(out, pa.list_(pa.float64())), batch.column("n_matches")], names=schema.names)
 
     return met.select("codes", "deltat", "t_ns", "ydata", "n_matches", "epoch_zeros", "epoch_poles", "epoch_gain").mapInArrow(run, schema)

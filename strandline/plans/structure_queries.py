@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import expressions
 from ..functions import kernels as K
 from ..functions.times import ns_of
-from ..operators import components, deltas, index, polygons, recursion, selections, settle, stages, thinning
+from ..operators import components, deltas, graph, index, polygons, recursion, selections, settle, stages, thinning
 from ..sources import archive_source
 from . import tables
 from .signal_queries import _chunks
@@ -216,3 +217,48 @@ def index_maintained(spark, d):
 @register("coverage_maintained", f"{_LATER}, s AS (SELECT kind, codes, t_ns, sum(step) AS step FROM (SELECT kind, codes, tmin_ns AS t_ns, 1 AS step FROM later UNION ALL SELECT kind, codes, tmax_ns, -1 FROM later) GROUP BY ALL HAVING sum(step) <> 0) SELECT kind, codes, t_ns, (sum(step) OVER (PARTITION BY kind, codes ORDER BY t_ns))::BIGINT AS count FROM s")
 def coverage_maintained(spark, d):
     return deltas.coverage(_maintained(spark, d))
+
+
+@register("timing_instants", """WITH a AS (SELECT l_orderkey AS k, min(l_quantity) FILTER (l_returnflag = 'A')::DOUBLE AS a, min(l_quantity) FILTER (l_returnflag = 'N')::DOUBLE AS n, min(l_quantity) FILTER (l_returnflag = 'R')::DOUBLE AS r FROM lineitem GROUP BY 1),
+o AS (SELECT o_orderkey, o_totalprice::DOUBLE AS d, a, n, r FROM orders LEFT JOIN a ON k = o_orderkey)
+SELECT o_orderkey, round(least(a, n, d / 3500) - 1.5, 6) + 0.0 AS early, round(coalesce(r, a) * 1.1, 6) + 0.0 AS either, round(greatest(a, n, r) - 0.002142857 * d / 1000, 6) + 0.0 AS late, round(d * 1.1 / 7000 + 1, 6) + 0.0 AS direct, 100.0::DOUBLE AS fixed FROM o""")
+def timing_instants(spark, d):
+    """Instants by texts over the arrival times of order lines."""
+    li = tables.read(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("phase"), F.col("l_quantity").alias("t"))
+    o = tables.read(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("m")).join(expressions.arrival_map(li, ["o_orderkey"], "phase", "t"), "o_orderkey", "left")
+    texts = {"early": "first{stored:A|stored:N|vel_surface:3.5}-1.5", "either": "{stored:R|stored:A}+10%", "late": "last{stored:A|stored:N|stored:R}-2.142857e-3S", "direct": "vel:7 + 1", "fixed": "100"}
+    return o.select("o_orderkey", *(r6(expressions.timing(t, F.col("arrivals"), F.col("m"), F.col("m") * 1.1)).alias(n) for n, t in texts.items()))
+
+
+@register("grid_points", """WITH p AS (SELECT p_partkey, p_size::DOUBLE AS lo, p_size + p_partkey % 17::DOUBLE AS hi FROM part)
+SELECT p_partkey, lo + i * 5 AS depth, 1000.0 + j * 1000 AS distance, hi - k * 2 AS component FROM p, unnest(range(0, floor((hi - lo) / 5)::BIGINT + 1)) a(i), range(3) b(j), unnest(range(0, floor((hi - lo) / 2)::BIGINT + 1)) c(k)""")
+def grid_points(spark, d):
+    """Parts as stores of which each has ranges of its own, asked for by one text."""
+    lo = F.col("p_size").cast("double")
+    hi = lo + F.col("p_partkey") % 17
+    axis = lambda step: (F.col("lo"), F.col("hi"), F.lit(step))
+    p = tables.read(spark, d, "part").select("p_partkey", lo.alias("lo"), hi.alias("hi"))
+    return expressions.grid(p, "::,1k:3k@3,::-2", {"depth": axis(5.0), "distance": axis(1.0), "component": axis(1.0)}).drop("lo", "hi")
+
+
+@register("graph_channels", f"""{'WITH ' + _PTS}, w AS (SELECT 'XX.C' || codes || '..BH' AS head, t_ns + 1000000000 AS t_ns, max(y) FILTER (c = 0) AS z, max(y) FILTER (c = 1) AS n, max(y) FILTER (c = 2) AS e FROM pts GROUP BY ALL),
+r AS (SELECT head || 'R.STrtz' AS codes, t_ns, -0.5 * e - sqrt(0.75) * n AS y FROM w UNION ALL SELECT head || 'T.STrtz', t_ns, -sqrt(0.75) * e + 0.5 * n FROM w UNION ALL SELECT head || 'Z.STrtz', t_ns, z FROM w)
+SELECT codes, t_ns, round(y, 6) + 0.0 AS y FROM r WHERE y IS NOT NULL""")
+def graph_channels(spark, d):
+    """All channels of a shift and a rotation after it."""
+    t = _components(spark, d).withColumn("codes", F.concat(F.lit("XX.C"), F.col("codes").cast("string"), F.lit("..BH"), "channel", F.lit("."))).drop("channel")
+    shifted = graph.shift(graph.Stored(t), 1.0)
+    g = graph.Graph([shifted, graph.to_rtz(shifted, 30.0, longest=100)])
+    return _samples(g.get(["XX.*..BH?.STrtz"], T0 - 10**15, T0 + 10**17), "codes").select("codes", "t_ns", r6(F.col("y")).alias("y"))
+
+
+@register("graph_mappings", f"""WITH {tables.SQL['nuts']}, b AS (SELECT DISTINCT codes, string_split(codes, '.')[1] || '.' || string_split(codes, '.')[2] || '..' AS head FROM nuts WHERE file_id % 3 <> 1 OR part % 2 = 0)
+SELECT head || '.' AS group, string_agg(codes, '|' ORDER BY codes) AS in_codes, head || 'R.Trt|' || head || 'T.Trt' AS out_codes FROM b GROUP BY head""")
+def graph_mappings(spark, d):
+    """What a rotation reads and gives, kept up from one state of the available codes to another."""
+    n = tables.nuts(spark, d)
+    old = n.where("file_id % 3 <> 0").select("codes").distinct()
+    new = n.where("file_id % 3 <> 1 or part % 2 = 0").select("codes").distinct()
+    node = graph.Turned(None, [[0.6, 0.8], [-0.8, 0.6]], "FO", "RT")
+    after = graph.update_mappings(graph.mappings(old, node), new.join(old, "codes", "left_anti"), old.join(new, "codes", "left_anti"), node)
+    return after.select("group", *(F.array_join(c, "|").alias(c) for c in ("in_codes", "out_codes")))
