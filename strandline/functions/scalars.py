@@ -107,14 +107,26 @@ def lcm(a: Column, b: Column) -> Column:
     return F.floor(a / gcd(a, b)).cast("long") * b
 
 
+def _even(start: Column, stop: Column, step: Column, error: str, epsilon: float) -> tuple[Column, Column]:
+    """(number of values of even_range, whether there are any to give)."""
+    x = (stop - start) / step
+    n = {"floor": F.floor, "ceil": F.ceil}.get(error, F.rint)(x).cast("int") + 1
+    return n, F.abs(x - (n - 1)) <= epsilon if error == "raise" else F.lit(True)
+
+
 def even_range(start: Column, stop: Column, step: Column, error: str = "raise", epsilon: float = 1e-6) -> Column:
     """Array of start, start + step and so on up to stop. Where stop is off by over epsilon steps: null, or it is moved to the
     nearest, the next smaller or the next larger multiple (error: raise, round, floor, ceil)."""
-    x = (stop - start) / step
-    n = {"floor": F.floor, "ceil": F.ceil}.get(error, F.rint)(x).cast("int") + 1
+    n, ok = _even(start, stop, step, error, epsilon)
     values = F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: start + i * step)
     out = F.when(n < 1, F.array().cast("array<double>")).otherwise(values)
-    return F.when(F.abs(x - (n - 1)) <= epsilon, out) if error == "raise" else out
+    return F.when(ok, out) if error == "raise" else out
+
+
+def even_size(start: Column, stop: Column, step: Column, error: str = "raise", epsilon: float = 1e-6) -> Column:
+    """How many values even_range has, without making them."""
+    n, ok = _even(start, stop, step, error, epsilon)
+    return F.when(ok, F.when(n < 1, 0).otherwise(n))
 
 
 def below_nyquist(frequency: Column, deltat: Column) -> Column:
