@@ -9,11 +9,14 @@ from .intervals import BLOCK, sweep
 from .prefix import running_sum, with_next
 
 
-def coverage(spans: DataFrame, keys: list[str], tmin: int | None = None, tmax: int | None = None, block: int = BLOCK) -> DataFrame:
-    """The changes of the count; with bounds, the count at tmin, the changes in (tmin, tmax] and the count at tmax."""
-    steps = running_sum(sweep(spans, keys), keys, "t_ns", {"step": "count"}, block).select(*keys, "t_ns", "count")
+def coverage(spans: DataFrame, keys: list[str], tmin: int | None = None, tmax: int | None = None, block: int = BLOCK, until: str | None = None) -> DataFrame:
+    """The changes of the count; with bounds, the count at tmin, the changes in (tmin, tmax] and the count at tmax.
+
+    Without bounds, ``until`` names a column for the next change, found in the same pass; spans_of and total take it as tmax_ns.
+    """
     if tmin is None and tmax is None:
-        return steps
+        return running_sum(sweep(spans, keys), keys, "t_ns", {"step": "count"}, block, following=until).drop("step")
+    steps = running_sum(sweep(spans, keys), keys, "t_ns", {"step": "count"}, block).select(*keys, "t_ns", "count")
     inside = steps
     if tmin is not None:
         inside = inside.where(F.col("t_ns") > tmin)
@@ -31,7 +34,7 @@ def coverage(spans: DataFrame, keys: list[str], tmin: int | None = None, tmax: i
 
 def spans_of(steps: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, tmin_ns, tmax_ns, count): stretches of equal positive count."""
-    following = with_next(steps.select(*keys, "t_ns", "count"), keys, "t_ns", "tmax_ns", block)
+    following = steps if "tmax_ns" in steps.columns else with_next(steps.select(*keys, "t_ns", "count"), keys, "t_ns", "tmax_ns", block)
     return following.select(*keys, F.col("t_ns").alias("tmin_ns"), "tmax_ns", "count").where("count > 0 and tmax_ns is not null")
 
 
@@ -42,8 +45,11 @@ def total(steps: DataFrame, keys: list[str]) -> DataFrame:
 
 def uncovered_by(a: DataFrame, b: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     """(keys, tmin_ns, tmax_ns): where spans of a, but none of b, are."""
-    steps = sweep(a, keys).select(*keys, "t_ns", F.col("step").alias("in_a"), F.lit(0).cast("long").alias("in_b")).unionByName(sweep(b, keys).select(*keys, "t_ns", F.lit(0).cast("long").alias("in_a"), F.col("step").alias("in_b")))
-    merged = steps.groupBy(*keys, "t_ns").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b"))
+    def ends(spans: DataFrame, name: str, other: str) -> DataFrame:
+        each = F.explode(F.array(F.struct(F.col("tmin_ns").alias("t_ns"), F.lit(1).alias("s")), F.struct(F.col("tmax_ns").alias("t_ns"), F.lit(-1).alias("s"))))
+        return spans.select(*keys, each.alias("e")).select(*keys, "e.t_ns", F.col("e.s").alias(name), F.lit(0).alias(other))
+
+    merged = ends(a, "in_a", "in_b").unionByName(ends(b, "in_b", "in_a")).groupBy(*keys, "t_ns").agg(F.sum("in_a").alias("in_a"), F.sum("in_b").alias("in_b")).where("in_a <> 0 or in_b <> 0")
     both = running_sum(merged, keys, "t_ns", {"in_a": "n_a", "in_b": "n_b"}, block)
     bare = (F.col("n_a") > 0) & (F.col("n_b") == 0)
     before = (F.col("n_a") - F.col("in_a") > 0) & (F.col("n_b") - F.col("in_b") == 0)

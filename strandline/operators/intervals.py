@@ -56,9 +56,8 @@ def interval_join(content: DataFrame, queries: DataFrame, keys: list[str] | None
 
 def sweep(spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, t_ns, step): +1 at each start and -1 at each end, summed per instant, zero sums left out."""
-    up = spans.select(*keys, F.col("tmin_ns").alias("t_ns"), F.lit(1).alias("step"))
-    down = spans.select(*keys, F.col("tmax_ns").alias("t_ns"), F.lit(-1).alias("step"))
-    return up.unionAll(down).groupBy(*keys, "t_ns").agg(F.sum("step").cast("long").alias("step")).where("step <> 0")
+    ends = F.explode(F.array(F.struct(F.col("tmin_ns").alias("t_ns"), F.lit(1).alias("step")), F.struct(F.col("tmax_ns").alias("t_ns"), F.lit(-1).alias("step"))))
+    return spans.select(*keys, ends.alias("__e")).groupBy(*keys, F.col("__e.t_ns").alias("t_ns")).agg(F.sum("__e.step").cast("long").alias("step")).where("step <> 0")
 
 
 def islands(spans: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:

@@ -9,33 +9,39 @@ from pyspark.sql import functions as F
 from ..functions.times import floor_div
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], width: int) -> DataFrame:
+def running_sum(df: DataFrame, keys: list[str], order: str, values: dict[str, str], width: int, following: str | None = None, largest: dict[str, str] | None = None) -> DataFrame:
     """df with a running sum per key for each (value column: name of its sum), in the order of a long column.
 
-    The order is cut into blocks of ``width``. Sums within a block are a window over (key, block); what
-    lies before a block is a window over one row per (key, block). Rows of equal order share their sum.
+    The order is cut into blocks of ``width``. What lies before a block is a window over one row per (key, block);
+    it goes into the block as a row of its own in front, and one window over (key, block) sums both, so that the long
+    table is dealt out once and not joined. Rows of equal order share their sum; rows without an order are left out.
+    ``largest`` are running maxima likewise, of other columns. ``following`` is the next larger order per key, null after the last, for
+    orders that are distinct per key: the first order of the next block that has rows goes into a block behind its last row.
     """
-    block = floor_div(F.col(order), width)
-    parts = df.withColumn("__block", block)
-    inside = W.partitionBy(*keys, "__block").orderBy(order).rangeBetween(W.unboundedPreceding, 0)
-    before = W.partitionBy(*keys).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
-    totals = parts.groupBy(*keys, "__block").agg(*(F.sum(v).alias(f"__sum_{n}") for v, n in values.items()))
-    offsets = totals.select(*keys, "__block", *(F.coalesce(F.sum(f"__sum_{n}").over(before), F.lit(0)).alias(f"__off_{n}") for n in values.values()))
-    summed = parts.select("*", *(F.sum(v).over(inside).alias(f"__in_{n}") for v, n in values.items()))
-    on = [summed[k].eqNullSafe(offsets[k]) for k in keys] + [summed["__block"] == offsets["__block"]]
-    return summed.join(offsets, on).select(*(summed[c] for c in df.columns), *((F.col(f"__in_{n}") + F.col(f"__off_{n}")).alias(n) for n in values.values()))
+    largest = largest or {}
+    if values.keys() & largest.keys():
+        raise ValueError("a column is either summed or its maximum taken")
+    parts = df.where(F.col(order).isNotNull()).withColumns({"__block": floor_div(F.col(order), width), "__carried": F.lit(False)})
+    of = {**{v: F.sum for v in values}, **{v: F.max for v in largest}}
+    totals = parts.groupBy(*keys, "__block").agg(*(f(v).alias(f"__of_{v}") for v, f in of.items()), F.min(order).alias("__first"))
+    by = W.partitionBy(*keys).orderBy("__block")
+    before = by.rowsBetween(W.unboundedPreceding, -1)
+    edges = totals.select(*keys, "__block", *(f(f"__of_{v}").over(before).alias(v) for v, f in of.items()), F.lead("__first").over(by).alias("__then"))
+    front = F.struct(F.lit(None).cast("long").alias("t"), F.lit(True).alias("sums"))
+    behind = F.struct(F.col("__then").alias("t"), F.lit(False).alias("sums"))
+    ends = F.array(front, behind) if following and of else F.array(behind if following else front)
+    carried = edges.withColumn("__e", F.explode(ends)).where("__e.sums or __e.t is not null")
+    carried = carried.select(*keys, "__block", *(F.when(F.col("__e.sums"), F.col(v)).alias(v) for v in of), F.col("__e.t").alias(order), F.lit(True).alias("__carried"))
+    inside = W.partitionBy(*keys, "__block").orderBy(F.col(order).asc_nulls_first())
+    so_far = inside.rangeBetween(W.unboundedPreceding, 0)
+    made = {n: F.sum(v).over(so_far) for v, n in values.items()} | {n: F.max(v).over(so_far) for v, n in largest.items()}
+    if following:
+        made[following] = F.lead(order).over(inside)
+    both = parts.unionByName(carried, allowMissingColumns=True)
+    out = both.select("*", *(c.alias(f"__made_{n}") for n, c in made.items())).where(~F.col("__carried"))
+    return out.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields), *(F.col(f"__made_{n}").alias(n) for n in made))
 
 
 def with_next(df: DataFrame, keys: list[str], order: str, name: str, width: int) -> DataFrame:
-    """df with the next larger value of its order column per key, null after the last; orders are distinct per key.
-
-    Within a block it is a window over (key, block); for a block's last row it is the first order of the
-    next block that has rows, a window over one row per (key, block).
-    """
-    parts = df.withColumn("__block", floor_div(F.col(order), width))
-    inside = W.partitionBy(*keys, "__block").orderBy(order)
-    firsts = parts.groupBy(*keys, "__block").agg(F.min(order).alias("__first"))
-    following = firsts.select(*keys, "__block", F.lead("__first").over(W.partitionBy(*keys).orderBy("__block")).alias("__then"))
-    led = parts.withColumn("__in", F.lead(order).over(inside))
-    on = [led[k].eqNullSafe(following[k]) for k in keys] + [led["__block"] == following["__block"]]
-    return led.join(following, on).select(*(led[c] for c in df.columns), F.coalesce("__in", "__then").alias(name))
+    """df with the next larger value of its order column per key, null after the last; of rows of equal order the last has it, others their own."""
+    return running_sum(df, keys, order, {}, width, following=name)
