@@ -50,8 +50,48 @@ def interval_join(content: DataFrame, queries: DataFrame, keys: list[str] | None
 
     met = filed(c, "tmin_ns", "tmax_ns", "__kc", has_q, "__cf").join(filed(q, "qmin_ns", "qmax_ns", "__kq", has_c, "__qf"), [*keys, "__k", "__b"])
     overlap = (F.col("tmin_ns") < F.greatest("qmax_ns", F.col("qmin_ns") + 1)) & (F.greatest("tmax_ns", F.col("tmin_ns") + 1) > F.col("qmin_ns"))
-    once = (F.col("__k") == F.greatest("__kc", "__kq")) & (F.col("__b") == F.greatest("__cf", "__qf"))
-    return met.where(overlap & once).drop("__k", "__b", "__kc", "__kq", "__cf", "__qf")
+    # neither side is filed below its class nor before its first bucket, so the wider class and the later bucket are one side's own
+    once = (F.col("__oc") | F.col("__oq")) & (F.col("__cf") | F.col("__qf"))
+    return met.where(overlap & once).drop("__b", "__oc", "__oq", "__cf", "__qf")
+
+
+def overlap_stats(content: DataFrame, queries: DataFrame, keys: list[str] | None = None, block: int = BLOCK) -> DataFrame:
+    """(keys, qmin_ns, qmax_ns, n, first, last): how many content rows overlap each distinct query row with equal keys, the smallest
+    tmin_ns and the largest tmax_ns of those; queries that nothing overlaps are left out, as are rows without a bound.
+
+    No pairs are made. A query is overlapped by what starts before its end, less what ends by its start; the smallest
+    start among what ends after its start, and the largest end among what starts before its end, are those of overlapping
+    rows if there are any. All of these are running sums and maxima by blocks of time over starts, ends and queries.
+    """
+    keys = keys or []
+    end = F.greatest("tmax_ns", F.col("tmin_ns") + 1)
+    q = queries.where("qmin_ns is not null").select(*keys, "qmin_ns", "qmax_ns").distinct()
+    names = ["opened", "closed", "tmax_ns", "back"]
+    nothing = {"opened": F.lit(0), "closed": F.lit(0), "tmax_ns": F.lit(None), "back": F.lit(None)}
+
+    def at(t: Column, **given: Column) -> Column:
+        return F.struct(t.cast("long").alias("t_ns"), *((given.get(n, nothing[n])).cast("long").alias(n) for n in names))
+
+    def each(df: DataFrame, a: Column) -> DataFrame:
+        return df.select(*keys, a.alias("__e")).groupBy(*keys, F.col("__e.t_ns").alias("t_ns")).agg(F.sum("__e.opened").alias("opened"), F.sum("__e.closed").alias("closed"), F.max("__e.tmax_ns").alias("tmax_ns"), F.max("__e.back").alias("back"))
+
+    def asked(side: str, t: Column) -> DataFrame:
+        return q.select(*keys, t.cast("long").alias("t_ns"), F.struct(F.lit(side).alias("side"), "qmin_ns", "qmax_ns").alias("__q"))
+
+    def met(content: DataFrame, asked: DataFrame) -> DataFrame:
+        # counts and maxima stay what they are: a query's row adds nothing
+        rows = content.withColumn("__q", F.lit(None).cast(asked.schema["__q"].dataType)).unionByName(asked, allowMissingColumns=True)
+        return running_sum(rows, keys, "t_ns", {"opened": "__opened", "closed": "__closed"}, block, largest={"tmax_ns": "__last", "back": "__back"}).where("__q is not null")
+
+    whole = content.where("tmin_ns is not null and tmax_ns is not null")
+    ahead = each(whole, F.explode(F.array(at(F.col("tmin_ns"), opened=F.lit(1), tmax_ns=F.col("tmax_ns")), at(end, closed=F.lit(1)))))
+    behind = each(whole, at(-end, back=-F.col("tmin_ns")))
+    stop = F.greatest("qmax_ns", F.col("qmin_ns") + 1)
+    found = met(ahead, asked("stop", stop - 1).unionByName(asked("start", F.col("qmin_ns")))).unionByName(met(behind, asked("back", -F.col("qmin_ns") - 1)))
+    of = lambda side, v: F.max(F.when(F.col("__q.side") == side, F.col(v)))
+    n = F.coalesce(of("stop", "__opened"), F.lit(0)) - F.coalesce(of("start", "__closed"), F.lit(0))
+    per = found.groupBy(*keys, F.col("__q.qmin_ns").alias("qmin_ns"), F.col("__q.qmax_ns").alias("qmax_ns")).agg(n.alias("n"), (-of("back", "__back")).alias("first"), of("stop", "__last").alias("last"))
+    return per.where("n > 0")
 
 
 def sweep(spans: DataFrame, keys: list[str]) -> DataFrame:
