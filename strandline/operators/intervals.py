@@ -161,8 +161,10 @@ def block_length(deltat: Column, n_samples: int = 100_000) -> Column:
 def blocks(spans: DataFrame, n_samples: int = 100_000) -> DataFrame:
     """spans with one row per block they touch: block_min_ns and block_max_ns, aligned to multiples of the block's length."""
     length = F.rint(block_length(F.col("deltat"), n_samples) * SECOND).cast("long")
-    first, last = floor_div(F.col("tmin_ns"), length), floor_div(F.col("tmax_ns") - 1, length)
-    return spans.withColumn("__b", F.explode(F.sequence(first, F.greatest(first, last)))).withColumns({"block_min_ns": F.col("__b") * length, "block_max_ns": (F.col("__b") + 1) * length}).drop("__b")
+    # the length is worked out once for a span, not for each of its blocks; what is exploded are the blocks' starts
+    cut = spans.withColumn("__length", length).withColumns({"__first": floor_div(F.col("tmin_ns"), F.col("__length")), "__last": floor_div(F.col("tmax_ns") - 1, F.col("__length"))})
+    each = cut.withColumn("__b", F.explode(F.sequence("__first", F.greatest("__first", "__last"))))
+    return each.withColumns({"block_min_ns": F.col("__b") * F.col("__length"), "block_max_ns": (F.col("__b") + 1) * F.col("__length")}).drop("__b", "__length", "__first", "__last")
 
 
 def cut_at_boundaries(epochs: DataFrame, group: list[str]) -> DataFrame:
