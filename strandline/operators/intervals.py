@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.times import DAY, SECOND, floor_div
@@ -17,14 +19,14 @@ BLOCK = 365 * DAY
 WIDTHS = tuple(20**k for k in range(9))
 
 
-def interval_join(content: DataFrame, queries: DataFrame, keys: list[str] | None = None) -> DataFrame:
+def interval_join(content: DataFrame, queries: DataFrame, keys: list[str] | None = None, instants: bool = False) -> DataFrame:
     """Pairs of a content row [tmin_ns, tmax_ns) and a query row [qmin_ns, qmax_ns) that overlap, with equal keys.
 
     A row's class is the narrowest of WIDTHS that is as long as it is. Two rows meet in the buckets of
     the wider of their classes, of which each touches two at most; so a row is filed under its own class
     and under those wider ones that the other side has, never under many buckets. A pair that meets twice
     is kept in the later of the first buckets of both, so there are no repeats to remove. Instants are
-    spans of one nanosecond.
+    spans of one nanosecond; where all queries are instants, ``instants`` spares a run over them to learn their classes.
     """
     keys = keys or []
 
@@ -36,19 +38,21 @@ def interval_join(content: DataFrame, queries: DataFrame, keys: list[str] | None
         return df.withColumn(k, of)
 
     c, q = classed(content, "tmin_ns", "tmax_ns", "__kc"), classed(queries, "qmin_ns", "qmax_ns", "__kq")
-    has_c, has_q = (sorted(r[0] for r in df.select(k).distinct().collect() if r[0] is not None) for df, k in ((c, "__kc"), (q, "__kq")))
+    has_c, has_q = ([0] if instants and k == "__kq" else sorted(r[0] for r in df.select(k).distinct().collect() if r[0] is not None) for df, k in ((c, "__kc"), (q, "__kq")))
     if not has_c or not has_q:
         has_c = has_q = [0]
 
-    def filed(df: DataFrame, lo: str, hi: str, k: str, other: list[int], first: str) -> DataFrame:
-        levels = F.array_distinct(F.concat(F.array(F.col(k)), F.filter(F.array(*map(F.lit, other)), lambda x: x > F.col(k))))
+    def filed(df: DataFrame, lo: str, hi: str, k: str, other: list[int], own: str, first: str) -> DataFrame:
+        mine = F.when(F.col(k) >= min(other), F.array(F.col(k))).otherwise(F.array().cast("array<int>"))
+        levels = F.array_distinct(F.concat(mine, F.filter(F.array(*map(F.lit, other)), lambda x: x > F.col(k))))
         width = F.get(F.array(*(F.lit(w * SECOND if w * SECOND < 1 << 62 else 1 << 62).cast("long") for w in WIDTHS)), F.col("__k"))
         out = df.withColumn("__k", F.explode(levels))
         start, end = floor_div(F.col(lo), width), floor_div(F.greatest(F.col(hi), F.col(lo) + 1) - 1, width)
-        exact = out.withColumns({first: start, "__end": end})
-        return exact.withColumn("__b", F.explode(F.sequence(first, F.greatest("__end", first)))).drop("__end")
+        exact = out.withColumns({"__first": start, "__end": end})
+        each = exact.withColumn("__b", F.explode(F.sequence("__first", F.greatest("__end", "__first"))))
+        return each.withColumns({own: F.col("__k") == F.col(k), first: F.col("__b") == F.col("__first")}).withColumn("__b", F.col("__b") * 16 + F.col("__k")).drop("__k", k, "__first", "__end")
 
-    met = filed(c, "tmin_ns", "tmax_ns", "__kc", has_q, "__cf").join(filed(q, "qmin_ns", "qmax_ns", "__kq", has_c, "__qf"), [*keys, "__k", "__b"])
+    met = filed(c, "tmin_ns", "tmax_ns", "__kc", has_q, "__oc", "__cf").join(filed(q, "qmin_ns", "qmax_ns", "__kq", has_c, "__oq", "__qf"), [*keys, "__b"])
     overlap = (F.col("tmin_ns") < F.greatest("qmax_ns", F.col("qmin_ns") + 1)) & (F.greatest("tmax_ns", F.col("tmin_ns") + 1) > F.col("qmin_ns"))
     # neither side is filed below its class nor before its first bucket, so the wider class and the later bucket are one side's own
     once = (F.col("__oc") | F.col("__oq")) & (F.col("__cf") | F.col("__qf"))
@@ -167,18 +171,23 @@ def blocks(spans: DataFrame, n_samples: int = 100_000) -> DataFrame:
     return each.withColumns({"block_min_ns": F.col("__b") * F.col("__length"), "block_max_ns": (F.col("__b") + 1) * F.col("__length")}).drop("__b", "__length", "__first", "__last")
 
 
-def cut_at_boundaries(epochs: DataFrame, group: list[str]) -> DataFrame:
+def cut_at_boundaries(epochs: DataFrame, group: list[str], block: int = BLOCK) -> DataFrame:
     """Epochs cut at every start and end of an epoch in their group.
 
-    The boundaries inside an epoch come from a window over the group's sorted boundaries, joined by the
-    bucketed interval join, never from all pairs of a group.
+    Repeated epochs count once. A piece goes from a boundary of the group to the next one, so each boundary is given its next one
+    once, by blocks of time; an epoch's pieces are the boundaries from its start to before its end, met by the bucketed
+    interval join, and nothing is sorted or made distinct after it.
     """
-    points = epochs.select(*group, F.explode(F.array("tmin_ns", "tmax_ns")).alias("qmin_ns")).distinct().withColumn("qmax_ns", F.col("qmin_ns"))
-    inner = interval_join(epochs.withColumn("__id", F.struct(*epochs.columns)), points, group).where("qmin_ns > tmin_ns and qmin_ns < tmax_ns")
-    cuts = inner.select("__id", F.col("qmin_ns").alias("t")).unionAll(epochs.select(F.struct(*epochs.columns).alias("__id"), F.col("tmin_ns").alias("t")))
-    order = W.partitionBy("__id").orderBy("t")
-    pieces = cuts.distinct().select("__id", "t", F.coalesce(F.lead("t").over(order), F.col("__id.tmax_ns")).alias("u"))
-    return pieces.select(*(F.col(f"__id.{c}").alias(c) for c in epochs.columns if c not in ("tmin_ns", "tmax_ns")), F.col("t").alias("tmin_ns"), F.col("u").alias("tmax_ns"))
+    points = epochs.select(*group, F.explode(F.array("tmin_ns", "tmax_ns")).alias("qmin_ns"))
+    # of equal boundaries the last one has a larger one after it
+    led = with_next(points, group, "qmin_ns", "__u", block).where("__u is null or __u > qmin_ns").withColumn("qmax_ns", F.col("qmin_ns"))
+    whole = epochs.distinct()
+    pieces = interval_join(whole, led, group, instants=True).where("qmin_ns < tmax_ns or qmin_ns = tmin_ns")
+    rest = [c for c in epochs.columns if c not in ("tmin_ns", "tmax_ns")]
+    cut = pieces.select(*rest, F.col("qmin_ns").alias("tmin_ns"), F.when(F.col("tmax_ns") > F.col("tmin_ns"), F.col("__u")).otherwise(F.col("tmax_ns")).alias("tmax_ns"))
+    # what has no group or no start meets no boundary and stays as it is
+    uncut = whole.where(reduce(or_, (F.col(c).isNull() for c in (*group, "tmin_ns"))))
+    return cut.unionByName(uncut)
 
 
 def epoch_lookup(points: DataFrame, epochs: DataFrame, keys: list[str], time: str = "t_ns") -> DataFrame:
@@ -188,7 +197,7 @@ def epoch_lookup(points: DataFrame, epochs: DataFrame, keys: list[str], time: st
     """
     asked = points.select(*keys, F.col(time).alias("qmin_ns")).where("qmin_ns is not null").distinct().withColumn("qmax_ns", F.col("qmin_ns"))
     rest = [c for c in epochs.columns if c not in keys]
-    met = interval_join(epochs, asked, keys)
+    met = interval_join(epochs, asked, keys, instants=True)
     found = met.groupBy(*keys, "qmin_ns").agg(F.max(F.struct("tmin_ns", *(c for c in rest if c != "tmin_ns"))).alias("__e"), F.count("*").alias("n_matches"))
     best = found.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("qmin_ns").alias("__t"), "__e", "n_matches")
     on = [points[k] == best[f"__k{i}"] for i, k in enumerate(keys)] + [points[time] == best["__t"]]
