@@ -20,6 +20,7 @@ from ..functions import kernels as K
 from ..functions import response as R
 from . import intervals, joining
 from .index import overlaps
+from .settle import settled
 
 
 def waveforms(traces: DataFrame, tmin: int, tmax: int, codes: list[str] | None = None, exclude: list[str] | None = None, degap: bool = True, maxgap: int = 5, want_incomplete: bool = True) -> DataFrame:
@@ -119,7 +120,8 @@ def redeem(promises: DataFrame, available: DataFrame, keys: list[str]) -> DataFr
     """What of the promised spans is not available yet, by key; of several sources the one with the smallest rank."""
     from .coverage import uncovered_by
 
-    missing = uncovered_by(promises.select(*keys, "tmin_ns", "tmax_ns"), available.select(*keys, "tmin_ns", "tmax_ns"), keys)
+    # read twice: for the classes of lengths and for the join
+    missing = settled(uncovered_by(promises.select(*keys, "tmin_ns", "tmax_ns"), available.select(*keys, "tmin_ns", "tmax_ns"), keys), "missing")
     asked = intervals.interval_join(promises, missing.select(*keys, F.col("tmin_ns").alias("qmin_ns"), F.col("tmax_ns").alias("qmax_ns")), keys)
     best = asked.groupBy(*keys, "qmin_ns", "qmax_ns").agg(F.min(F.struct("rank", "source")).alias("s"))
     return best.select(*keys, F.col("qmin_ns").alias("tmin_ns"), F.col("qmax_ns").alias("tmax_ns"), "s.source")
