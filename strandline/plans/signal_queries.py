@@ -214,8 +214,8 @@ def gf_seismograms(spark, d):
     """Three components of double couples, with a triangular source time function."""
     p = _pairs_gf(spark, d)
     m6 = S.dc_to_m6(F.col("azi"), F.lit(60.0), F.lit(90.0), F.lit(1.0))
-    terms = gf.component_terms(p, ["pair"], gf.vicinity(_axes(), 10), gf.elastic10_weights(m6, F.col("azi"), F.col("bazi")), F.col("delay"))
-    out = gf.delayed_sum(_store(spark, d), gf.with_stf(terms, gf.stf_weights("triangular", 3.0, 0.5)), ["pair", "component"], 0.5)
+    weights, stf = gf.elastic10_weights(m6, F.col("azi"), F.col("bazi")), gf.stf_weights("triangular", 3.0, 0.5)
+    out = gf.component_sum(_store(spark, d), p, ["pair"], gf.vicinity(_axes(), 10), weights, F.col("delay"), 0.5, 10, stf)
     return out.select("pair", "component", "it", r6(F.col("y")).alias("y"))
 
 
@@ -227,8 +227,8 @@ SELECT pair, component, round(sum(w * c * ydata[least(greatest(40 - trace_id % 7
 @register("gf_force", _GF + _FORCE)
 def gf_force(spark, d):
     p = _pairs_gf(spark, d)
-    terms = gf.component_terms(p, ["pair"], gf.vicinity(_axes(), 10), gf.elastic5_weights([F.lit(1.0), F.lit(0.5), F.lit(-0.2)], F.col("azi"), F.col("bazi")), F.col("delay"))
-    return gf.static_sum(_store(spark, d), terms, ["pair", "component"], 40).select("pair", "component", r6(F.col("y")).alias("y"))
+    weights = gf.elastic5_weights([F.lit(1.0), F.lit(0.5), F.lit(-0.2)], F.col("azi"), F.col("bazi"))
+    return gf.component_static(_store(spark, d), p, ["pair"], gf.vicinity(_axes(), 10), weights, 40, 10).select("pair", "component", r6(F.col("y")).alias("y"))
 
 
 @register("gf_check", f"WITH {_T}, s AS (SELECT CASE WHEN trace_id % 17 = 0 THEN trace_id // 2 ELSE trace_id END AS k, trace_id % 13 = 0 AS empty, trace_id % 13 <> 0 AND trace_id % 11 = 0 AS bad FROM traces), r AS (SELECT k, count(*) AS n, bool_and(empty) AS empty, bool_or(bad) AS bad FROM s GROUP BY k) SELECT count(*) AS n_records, count(*) FILTER (empty) AS n_empty, count(*) FILTER (n > 1) AS n_repeated, count(*) FILTER (bad) AS n_bad FROM r")
