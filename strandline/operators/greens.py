@@ -59,7 +59,8 @@ def _placed(store: DataFrame, rows: DataFrame, target: list[str], together: int,
     records of equal length are summed together: records go to their common span, are multiplied by the weights and convolved with
     the delay's two neighbouring samples and the source time function.
     """
-    met = rows.join(_blocks(store, together), "block").select(*target, "delay", "parts", "records")
+    # where the store is broadcast, few files of targets would else leave all sums to few tasks
+    met = rows.repartition(*target).join(_blocks(store, together), "block").select(*target, "delay", "parts", "records")
     kept = [f for f in met.schema.fields if f.name in target]
     schema = T.StructType([*kept, T.StructField("part", T.StringType()), T.StructField("first", T.LongType()), T.StructField("y", T.ArrayType(T.DoubleType()))])
     times = np.array([t for t, _ in stf])
